@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules, simhash
+from . import decontaminate, quality_rules, sentencepiece, simhash, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op4_sentencepiece": sentencepiece.op4_sentencepiece,
+    "op5_warc": warc.op5_warc,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
-ORACLE_SQL = {"op10_quality_rules": quality_rules.ORACLE_SQL}
+ORACLE_SQL = {"op5_warc": warc.ORACLE_SQL, "op6_decontaminate": decontaminate.ORACLE_SQL, "op10_quality_rules": quality_rules.ORACLE_SQL}
