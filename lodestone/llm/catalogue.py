@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules, sentencepiece, simhash, warc
+from . import decontaminate, quality_rules, secrets, sentencepiece, simhash, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op3_secrets": secrets.op3_secrets,
     "op4_sentencepiece": sentencepiece.op4_sentencepiece,
     "op5_warc": warc.op5_warc,
     "op6_decontaminate": decontaminate.op6_decontaminate,
