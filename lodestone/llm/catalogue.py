@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules, secrets, sentencepiece, simhash, warc
+from . import decontaminate, quality_rules, secrets, sentencepiece, simhash, substring_dedup, suffix_dedup, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_secrets": secrets.op3_secrets,
     "op4_sentencepiece": sentencepiece.op4_sentencepiece,
     "op5_warc": warc.op5_warc,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
