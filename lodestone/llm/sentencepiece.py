@@ -13,7 +13,7 @@ every position follows its output links through all pieces that end there:
   else (pairwise compatibility decides the whole sequence). The result is that of merging.
 
 Characters outside the vocabulary become byte pieces (or the unknown id without them). Solved
-segments are cached per worker up to a fixed number.
+segments are cached per worker, in two generations of a fixed size.
 
 Nulls and empty texts have no ids. Decoding what was encoded gives the text again unless it holds
 U+2581 itself, which the format cannot tell from a space (or, in models without byte pieces, a
@@ -82,6 +82,7 @@ class Model:
     automaton: object = None
     byte_ids: list[int] = field(default_factory=list)
     cache: dict = field(default_factory=dict)
+    older: dict = field(default_factory=dict)
     pairs: dict = field(default_factory=dict)
 
     @classmethod
@@ -162,31 +163,45 @@ class Model:
         return [i for x in reversed(out) for i in x]
 
     def last_pieces(self, s: str) -> list[int]:
-        back: list = [None] * (len(s) + 1)
-        ends = self._ends(s)
-        for e in range(1, len(s) + 1):
-            for i, n in ends.get(e, ()):
-                before = back[e - n]
-                if (e == n and self.stable(i)) or (before is not None and (before[0] is None and self.stable(i) or before[0] is not None and self.fits(before[0], i))):
-                    back[e] = (i, n)
-                    break
+        """The automaton reports matches by end, the longest first: at each end the first that the order of merges allows is the last piece of the prefix."""
+        last, pairs, at = [-2] * (len(s) + 1), self.pairs, 1
+        sizes = [0] * (len(s) + 1)
+        for end, (i, n) in self.automaton.iter(s):
+            end += 1
+            while at < end:
+                if last[at] == -2:
+                    last[at], sizes[at] = -1, 1
+                at += 1
+            if last[end] != -2:
+                continue
+            # -1, a character outside the vocabulary, merges with nothing, as the start does.
+            key = ((last[end - n] if end > n else -1) + 1) << 20 | i
+            fits = pairs.get(key)
+            if fits is None:
+                fits = self._merged_to(key)
+            if fits:
+                last[end], sizes[end] = i, n
+        for e in range(at, len(s) + 1):
+            if last[e] == -2:
+                last[e], sizes[e] = -1, 1
+        out, e = [], len(s)
+        while e:
+            i = last[e]
+            if i >= 0:
+                out.append(i)
             else:
-                back[e] = (None, 1)
-        return self._path(s, back)
-
-    def stable(self, i: int) -> bool:
-        return self._merged_to(i, None)
-
-    def fits(self, i: int, j: int) -> bool:
-        return self._merged_to(i, j)
-
-    def _merged_to(self, i: int, j: int | None) -> bool:
-        got = self.pairs.get((i, j))
-        if got is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            want = [self.pieces[i]] + ([] if j is None else [self.pieces[j]])
-            got = self.pairs[i, j] = merge("".join(want), self.by_piece, self.scores) == want
+                out.extend(reversed(self.unknown(s[e - 1])))
+            e -= sizes[e]
+        out.reverse()
+        return out
+
+    def _merged_to(self, key: int) -> bool:
+        """Whether merging the two pieces of a key (the first may be missing) ends in just them."""
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
+        before, i = (key >> 20) - 1, key & 0xFFFFF
+        want = [self.pieces[i]] if before < 0 else [self.pieces[before], self.pieces[i]]
+        got = self.pairs[key] = merge("".join(want), self.by_piece, self.scores) == want
         return got
 
     def solve(self, s: str) -> bytes:
@@ -197,10 +212,12 @@ class Model:
         for s in self.segments.findall(self.escaped(text)):
             ids = cache.get(s)
             if ids is None:
-                ids = self.solve(s)
+                ids = self.older.get(s)
+                if ids is None:
+                    ids = self.solve(s)
                 if len(s) <= CACHE_CHARS:
                     if len(cache) >= CACHE_ENTRIES:
-                        cache.clear()
+                        self.older, self.cache = cache, (cache := {})
                     cache[s] = ids
             out.append(ids)
         return np.frombuffer(b"".join(out), dtype="<i4")
