@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules, secrets, sentencepiece, simhash, substring_dedup, suffix_dedup, warc
+from . import decontaminate, lm_scoring, quality_rules, secrets, sentencepiece, simhash, substring_dedup, suffix_dedup, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sentencepiece": sentencepiece.op4_sentencepiece,
     "op5_warc": warc.op5_warc,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_lm_scoring": lm_scoring.op7_lm_scoring,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
