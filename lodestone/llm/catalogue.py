@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_scoring, quality_rules, secrets, sentencepiece, simhash, substring_dedup, suffix_dedup, warc
+from . import decontaminate, html_extract, lm_scoring, quality_rules, secrets, sentencepiece, simhash, substring_dedup, suffix_dedup, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_lm_scoring": lm_scoring.op7_lm_scoring,
+    "op8_html_extract": html_extract.op8_html_extract,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
