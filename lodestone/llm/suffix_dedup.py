@@ -10,8 +10,9 @@ document and earlier start) goes. Three phases, none of which holds a corpus in
    their windows start earlier elsewhere. Minimizers with one piece content are done (unless
    the piece repeats its minimizer and so may repeat itself). Later copies within a slice are
    marked before the shuffle, so a group of copies costs its tasks one row a slice.
-2. Construction. The few contents that share a minimizer with different ones are cut from the
-   texts and brought together by minimizer. For each bounded batch of groups the
+2. Construction. The contents that share a minimizer with different ones are cut from the
+   texts, brought together by minimizer, and trimmed to the runs of windows whose hash occurs
+   again in the batch. For each bounded batch of groups the
    Burrows-Wheeler transform of the collection is built column by column: every round inserts
    one symbol per piece, at the place that LF mapping gives, and updates the transform and the
    longest common prefixes in one sequential pass from old files to new (kept in memory below
@@ -44,7 +45,7 @@ from .spans import NULL_ID, keyed, merged, not_first, release, with_spans
 
 WINDOW, K = 100, 16
 #: Windows a piece at most: bounds the rounds of the construction to MOST_WINDOWS + WINDOW.
-MOST_WINDOWS = 512
+MOST_WINDOWS = 128
 #: Bytes hashed at once, and pieces built at once (a larger group of one minimizer is built whole).
 SEGMENT_BYTES, BATCH_PIECES = 2 << 20, 2_000
 #: Columns of the construction beyond this size are kept in files.
@@ -269,50 +270,59 @@ class _Column:
 def construct(contents: list[bytes], window: int = WINDOW, spill_bytes: int = SPILL_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of the collection's suffix array by column-wise insertion: piece, start in the piece, common prefix with the row before (up to window).
 
-    Symbols are shifted by one; 0 stands for "no symbol before", at the front of a piece. Pieces end in markers that are less than all symbols and differ from each other.
+    Symbols are bytes plus one (UTF-8 has no byte 255); 0 stands for "no symbol before", at the
+    front of a piece. Pieces end in markers that are less than all symbols and differ from each
+    other. Which row belongs to which suffix follows from the finished transform, by walking LF
+    mapping from the markers.
     """
     m = len(contents)
     size = np.array([len(c) for c in contents])
-    flat, base = np.frombuffer(b"".join(contents), dtype=np.uint8).astype(np.uint16) + 1, np.cumsum(size) - size
-    with tempfile.TemporaryDirectory() if (int(size.sum()) + m) * 12 > spill_bytes else _Nothing() as folder:
-        bwt, lcp, row = _Column(np.uint16, folder, "bwt"), _Column(np.uint8, folder, "lcp"), _Column(np.int64, folder, "row")
-        symbol = lambda piece, rest: np.where(rest < size[piece], flat[np.minimum(base[piece] + size[piece] - rest - 1, len(flat) - 1)], 0)  # noqa: E731  before the suffix of length rest
+    flat, base = np.frombuffer(b"".join(contents), dtype=np.uint8) + np.uint8(1), np.cumsum(size) - size
+    with tempfile.TemporaryDirectory() if (int(size.sum()) + m) * 2 > spill_bytes else _Nothing() as folder:
+        bwt, lcp = _Column(np.uint8, folder, "bwt"), _Column(np.uint8, folder, "lcp")
+        symbol = lambda piece, rest: np.where(rest < size[piece], flat[np.minimum(base[piece] + size[piece] - rest - 1, len(flat) - 1)], 0).astype(np.uint8)  # noqa: E731  before the suffix of length rest
         every = np.arange(m)
-        bwt.merge(every, symbol(every, np.zeros(m, np.int64)))
+        first = symbol(every, np.zeros(m, np.int64))
+        bwt.merge(every, first)
         lcp.merge(every, np.zeros(m, np.uint8))
-        row.merge(every, every << 32)
-        new = every  # where the rows of the last round stand
+        new, owner, last = every, every, first  # where the rows of the last round stand, of which pieces, and the symbols before them
         for rest in range(1, int(size.max(initial=0)) + 1):
-            b = bwt.data
-            order = np.argsort(b, kind="stable")  # LF mapping of all rows: the marker rows, then the rows by the symbol before them
-            ends = int(np.count_nonzero(b == 0))
-            to = np.empty(len(b), dtype=np.int64)
-            to[order] = np.arange(len(b)) - ends + m
-            live = new[b[new] > 0]
-            if not len(live):
+            go = last > 0
+            new, owner, last = new[go], owner[go], last[go]
+            if not len(new):
                 break
-            k = to[live]
-            by_place = np.argsort(k, kind="stable")
-            live, k = live[by_place], k[by_place]
-            rank = k - m + ends  # place in order
-            sym, total = b[live], len(b)
-            before = np.where(rank > ends, order[np.maximum(rank - 1, 0)], -1)
-            before = np.where((before >= 0) & (b[np.maximum(before, 0)] == sym), before, -1)
-            behind = np.where(rank + 1 < total, order[np.minimum(rank + 1, total - 1)], -1)
-            behind = np.where((behind >= 0) & (b[np.maximum(behind, 0)] == sym), behind, -1)
-            with_before = _common(lcp.data, before, live, window)
-            with_behind = _common(lcp.data, live, np.where(behind < 0, -1, behind), window)
-            piece = (row.data[live] >> 32).astype(np.int64)
-            bwt.merge(k, symbol(piece, np.full(len(piece), rest)))
-            row.merge(k, (piece << 32) | rest)
+            b = bwt.data
+            order = np.argsort(b, kind="stable")  # LF mapping of all rows: rows without a symbol, then the others by it
+            rank = np.empty(len(b), dtype=np.int64)
+            rank[order] = np.arange(len(b))
+            rank = rank[new]
+            # Rows of one round keep their order within a symbol, so sorting few numbers sorts them all.
+            by_place = np.argsort(rank, kind="stable")
+            new, owner, last, rank = new[by_place], owner[by_place], last[by_place], rank[by_place]
+            total, ends = len(b), int(np.count_nonzero(b == 0))
+            before, behind = order[np.maximum(rank - 1, 0)], order[np.minimum(rank + 1, total - 1)]
+            before = np.where((rank > ends) & (b[before] == last), before, -1)
+            behind = np.where((rank + 1 < total) & (b[behind] == last), behind, -1)
+            with_before, with_behind = _common(lcp.data, before, new, window), _common(lcp.data, new, behind, window)
+            k = rank - ends + m
+            last = symbol(owner, np.full(len(owner), rest))
+            bwt.merge(k, last)
             lcp.merge(k, with_before)
             after = k + 1
             fits = after < len(lcp.data)
             # A row directly behind that is new itself has the same value already.
-            lcp.data[after[fits]] = np.where(behind[fits] >= 0, with_behind[fits], 0)
+            lcp.data[after[fits]] = with_behind[fits]
             new = k
-        rows, common = np.array(row.data), np.array(lcp.data)
-    piece, rest = rows >> 32, rows & 0xFFFFFFFF
+        b, common = np.array(bwt.data), np.array(lcp.data)
+    order = np.argsort(b, kind="stable")
+    to = np.empty(len(b), dtype=np.int64)
+    to[order] = np.arange(len(b)) - int(np.count_nonzero(b == 0)) + m
+    piece, rest = np.empty(len(b), dtype=np.int32), np.empty(len(b), dtype=np.int32)
+    at, own, n = every, every, 0
+    while len(at):
+        piece[at], rest[at] = own, n
+        go = b[at] > 0
+        at, own, n = to[at[go]], own[go], n + 1
     return piece, size[piece] - rest, common
 
 
@@ -336,6 +346,28 @@ def _common(lcp: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> np.nd
     return out
 
 
+def repeated_runs(contents: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the piece, start and end of the runs of windows whose hash occurs again: all that a repeated window can lie in."""
+    flat = np.frombuffer(b"".join(contents), dtype=np.uint8)
+    size = np.array([len(c) for c in contents])
+    base = np.cumsum(size) - size
+    if len(flat) < window:
+        return (np.zeros(0, np.int64),) * 3
+    h = kmer_hashes(flat, window)
+    piece = np.repeat(np.arange(len(size)), size)[: len(h)]
+    valid = np.flatnonzero(np.arange(len(h)) + window <= (base + size)[piece])
+    order = valid[np.argsort(h[valid], kind="stable")]
+    same = h[order[1:]] == h[order[:-1]]
+    again = order[np.append(same, False) | np.insert(same, 0, False)]
+    hit = np.zeros(len(h) + 1, dtype=bool)
+    hit[again] = True
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit]).astype(np.int8)))
+    # A run may not go on from one piece into the next: windows of two pieces are never neighbours, as window - 1 starts lie between them.
+    starts, ends = edge[0::2], edge[1::2]
+    owner = piece[starts]
+    return owner, starts - base[owner], ends - base[owner] + window - 1
+
+
 def repeated_windows(contents: list[bytes], window: int = WINDOW):
     """Groups of equal windows: group number, piece, start."""
     piece, start, common = construct(contents, window)
@@ -353,19 +385,37 @@ def compare(cut: DataFrame, window: int = WINDOW) -> DataFrame:
         if not rows:
             return None
         doc, rid, start = (np.array(x, dtype=np.int64) for x in list(zip(*rows, strict=True))[:3])
-        group, piece, at = repeated_windows([r[3] for r in rows], window)
-        d, r, s = doc[piece], rid[piece], start[piece] + at
-        gone = not_first((group,), (d, r, s))
-        d, r, s = d[gone], r[gone], s[gone]
-        order = np.lexsort((s, r, d))
-        d, r, s = d[order], r[order], s[order]
-        if not len(d):
+        owner, a, b = repeated_runs([r[3] for r in rows], window)
+        if not len(owner):
+            return None
+        # Runs of equal content collapse: all but the earliest go whole, the earliest is built.
+        d, r, s, size = doc[owner], rid[owner], start[owner] + a, b - a
+        order, numbers, content = np.lexsort((s, r, d)), {}, []
+        kept, whole = [], []
+        for i in order.tolist():
+            c = rows[owner[i]][3][a[i] : b[i]]
+            seen = numbers.get(c)
+            if seen is None:
+                numbers[c] = i
+                kept.append(i)
+                content.append(c)
+            elif (d[seen], r[seen], s[seen]) != (d[i], r[i], s[i]):
+                whole.append(i)
+        kept, whole = np.array(kept), np.array(whole, dtype=np.int64)
+        group, piece, at = repeated_windows(content, window)
+        piece = kept[piece]
+        x, y, z = d[piece], r[piece], s[piece] + at
+        gone = not_first((group,), (x, y, z))
+        x, y, z = (np.concatenate([u[gone], v[whole]]) for u, v in ((x, d), (y, r), (z, s)))
+        end = np.concatenate([np.full(int(gone.sum()), window), size[whole]]) + z
+        if not len(x):
             return None
-        new = np.ones(len(d), dtype=bool)
-        new[1:] = (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (s[1:] > s[:-1] + window)
+        order = np.lexsort((z, y, x))
+        x, y, z, end = x[order], y[order], z[order], end[order]
+        new = np.ones(len(x), dtype=bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] > end[:-1])
         head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(d)) - 1
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (d[head], r[head], s[head], s[tail] + window)], ["doc", "rid", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (x[head], y[head], z[head], np.maximum.reduceat(end, head))], ["doc", "rid", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, last = [], None
