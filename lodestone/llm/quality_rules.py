@@ -127,7 +127,10 @@ def quality_measures(docs: DataFrame, id_column: str = "doc_id", text: str = "te
 def quality_filter(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
     """The documents that pass, with their own columns."""
     d = prepare(docs.select(F.struct("*").alias("_row"), F.col(text).alias("text")))
-    return d.where(~base_failed() & cascade(ordered(d, rules))).select("_row.*")
+    # A filter on a plain expression would be pushed below the projections and copy the measures into itself,
+    # once for each place that uses them; one on a column that is not deterministic stays where it is.
+    verdict = ~base_failed() & cascade(ordered(d, rules)) & (F.monotonically_increasing_id() >= 0)
+    return d.withColumn("_keep", verdict).where("_keep").select("_row.*")
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

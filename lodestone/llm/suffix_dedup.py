@@ -47,7 +47,9 @@ WINDOW, K = 100, 16
 #: Windows a piece at most: bounds the rounds of the construction to MOST_WINDOWS + WINDOW.
 MOST_WINDOWS = 128
 #: Bytes hashed at once, and pieces built at once (a larger group of one minimizer is built whole).
-SEGMENT_BYTES, BATCH_PIECES = 2 << 20, 2_000
+SEGMENT_BYTES, BATCH_PIECES = 1 << 20, 2_000
+#: Text per slice where pieces and spans become objects.
+SLICE_BYTES = 2 << 20
 #: Columns of the construction beyond this size are kept in files.
 SPILL_BYTES = 256 << 20
 
@@ -446,7 +448,7 @@ def cut_pieces(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> Data
         cols = list(zip(*out, strict=True)) if out else [[]] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(),) * 4 + (pa.binary(),), strict=True)], ["mini", "doc", "rid", "start", "content"])
 
-    return map_slices(docs.join(lists, ["doc", "rid"]).dropDuplicates(["doc", "rid"]).select("doc", "rid", "text", "want"), "text", run, "mini long, doc long, rid long, start long, content binary")
+    return map_slices(docs.join(lists, ["doc", "rid"]).dropDuplicates(["doc", "rid"]).select("doc", "rid", "text", "want"), "text", run, "mini long, doc long, rid long, start long, content binary", SLICE_BYTES)
 
 
 def removals(documents: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
@@ -474,7 +476,7 @@ def removals(documents: DataFrame, window: int = WINDOW, texts: bool = False) ->
         cols = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"][: 1 + len(cols)])
 
-    return map_slices(with_spans(docs, spans.union(built)), "text", finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + more)
+    return map_slices(with_spans(docs, spans.union(built)), "text", finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + more, SLICE_BYTES)
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
