@@ -54,6 +54,12 @@ DEFAULT_RULES = (
 )
 
 
+def barrier() -> Column:
+    """True, but not deterministic. A filter on plain expressions would be pushed below the projections and copy
+    the measures into itself, once for each place that uses them; above such a column it stays."""
+    return F.monotonically_increasing_id() >= 0
+
+
 def prepare(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds the working columns that rules read; the names begin with an underscore.
 
@@ -120,16 +126,14 @@ def quality_measures(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     failed = base_failed()
     return d.select(
         "doc_id", F.size("_words").cast("long").alias("n_words"), F.col("_chars").cast("long").alias("word_chars"), F.col("_symbols").cast("long").alias("n_symbols"),
-        F.col("_dup_lines").cast("long").alias("n_dup_lines"), F.col("_repeat").cast("long").alias("n_repeat_words"), failed.alias("base_failed"), F.when(failed, False).otherwise(cascade(steps)).alias("kept"),
+        F.col("_dup_lines").cast("long").alias("n_dup_lines"), F.col("_repeat").cast("long").alias("n_repeat_words"), failed.alias("base_failed"), F.when(failed, False).otherwise(cascade(steps) & barrier()).alias("kept"),
     )
 
 
 def quality_filter(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
     """The documents that pass, with their own columns."""
     d = prepare(docs.select(F.struct("*").alias("_row"), F.col(text).alias("text")))
-    # A filter on a plain expression would be pushed below the projections and copy the measures into itself,
-    # once for each place that uses them; one on a column that is not deterministic stays where it is.
-    verdict = ~base_failed() & cascade(ordered(d, rules)) & (F.monotonically_increasing_id() >= 0)
+    verdict = ~base_failed() & cascade(ordered(d, rules)) & barrier()
     return d.withColumn("_keep", verdict).where("_keep").select("_row.*")
 
 

@@ -18,6 +18,8 @@ document and earlier start) goes. Three phases, none of which holds a corpus in
    longest common prefixes in one sequential pass from old files to new (kept in memory below
    SPILL_BYTES). Rows joined by common prefixes of WINDOW or more hold equal windows; all but
    the earliest go.
+   Minimizers with more than HOT_PIECES contents are not brought together: their windows are
+   ranked one by one, by two hashes, after each slice has dealt with its own copies.
 3. Cut. Spans are merged per document and removed.
 
 Hashes only decide who is compared, and equality of pieces by 128 bits (minimizer and piece).
@@ -37,42 +39,40 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_slices, saved, table
+from .common import checkpoint, map_slices, saved, table
 from .spans import NULL_ID, keyed, merged, not_first, release, with_spans
 
 WINDOW, K = 100, 16
 #: Windows a piece at most: bounds the rounds of the construction to MOST_WINDOWS + WINDOW.
 MOST_WINDOWS = 128
-#: Bytes hashed at once, and pieces built at once (a larger group of one minimizer is built whole).
-SEGMENT_BYTES, BATCH_PIECES = 1 << 20, 2_000
+#: Bytes hashed at once; pieces built at once, and of one minimizer at most: groups beyond are compared window by window.
+SEGMENT_BYTES, BATCH_PIECES, HOT_PIECES = 1 << 20, 2_000, 2_000
 #: Text per slice where pieces and spans become objects.
 SLICE_BYTES = 2 << 20
 #: Columns of the construction beyond this size are kept in files.
 SPILL_BYTES = 256 << 20
 
-_B = np.uint64(0x9E3779B97F4A7C15)
+_B, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _cached
-    if len(_cached[0]) < n:
-        inverse = np.uint64(pow(int(_B), -1, 1 << 64))
-        make = lambda b: np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, b, dtype=np.uint64)]), dtype=np.uint64)
-        _cached = (make(_B), make(inverse))
-    return _cached[0][:n], _cached[1][:n]
+_cached: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-_cached = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    if base not in _cached or len(_cached[base][0]) < n:
+        make = lambda b: np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, b, dtype=np.uint64)]), dtype=np.uint64)
+        _cached[base] = make(base), make(pow(base, -1, 1 << 64))
+    return tuple(x[:n] for x in _cached[base])
 
 
-def kmer_hashes(data: np.ndarray, k: int = K) -> np.ndarray:
+def kmer_hashes(data: np.ndarray, k: int = K, base: int = _B) -> np.ndarray:
     """A hash of each k bytes: differences of a prefix polynomial, brought to a common power, then mixed."""
     n = len(data)
-    up, down = _powers(n + 1)
+    up, down = _powers(base, n + 1)
     s = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=s[1:])
     h = (s[k:] - s[: n + 1 - k]) * down[: n + 1 - k]
@@ -185,7 +185,7 @@ def deal(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     d, r = doc[row], rid[row]
                     later = not_first((mini, content), (d, r, start))
                     # Marked rows meet nobody: they take a key of their own.
-                    key = np.where(later, (r.view(np.uint64) + start.astype(np.uint64)) * _B, mini)
+                    key = np.where(later, (r.view(np.uint64) + start.astype(np.uint64)) * np.uint64(_B), mini)
                     place = (start << _START) | (later.astype(np.int64) << _LATER) | (twice.astype(np.int64) << _TWICE) | counts
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), content.view(np.int64), d, r, place)], names)
 
@@ -451,6 +451,48 @@ def cut_pieces(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> Data
     return map_slices(docs.join(lists, ["doc", "rid"]).dropDuplicates(["doc", "rid"]).select("doc", "rid", "text", "want"), "text", run, "mini long, doc long, rid long, start long, content binary", SLICE_BYTES)
 
 
+def hot_windows(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc, rid, start, end of repeated windows in pieces of crowded minimizers, without bringing a minimizer's pieces together.
+
+    Windows are known by two 64-bit hashes. Those that their slice knows to be later than another go
+    at once, as runs; of each distinct window one row a slice is left to be ranked.
+    """
+    lists = wanted.groupBy("doc", "rid").agg(F.collect_set("place").alias("want"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts, at = [], []
+        for i, (text, want) in enumerate(zip(_utf8(batch.column(2)), batch.column(3).to_pylist(), strict=True)):
+            for w in want:
+                start = w >> _START
+                parts.append(text[start : start + (w & _COUNT) + window - 1])
+                at.append((i, start))
+        blob = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        size = np.array([len(p) for p in parts], dtype=np.int64)
+        base = np.cumsum(size) - size
+        piece = np.repeat(np.arange(len(size)), size)[: max(0, len(blob) - window + 1)]
+        ok = np.flatnonzero(np.arange(len(piece)) + window <= (base + size)[piece])
+        i, start = (np.array(x, dtype=np.int64) for x in zip(*at, strict=True)) if at else (np.zeros(0, np.int64),) * 2
+        h1, h2 = (kmer_hashes(blob, window, b)[ok] for b in (_B, _B2)) if len(ok) else (np.zeros(0, np.uint64),) * 2
+        piece = piece[ok]
+        d, r, s = batch.column(0).to_numpy()[i[piece]], batch.column(1).to_numpy()[i[piece]], start[piece] + ok - base[piece]
+        later = not_first((h1, h2), (d, r, s))
+        order = np.flatnonzero(later)
+        order = order[np.lexsort((s[order], r[order], d[order]))]
+        x, y, z = d[order], r[order], s[order]
+        new = np.ones(len(x), dtype=bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] > z[:-1] + window)
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(x))[: len(head)] - 1
+        own = y[head].view(np.uint64) ^ (z[head].astype(np.uint64) * np.uint64(_B))
+        f = ~later
+        cols = [np.concatenate(c) for c in ((own, h1[f]), (own, h2[f]), (x[head], d[f]), (y[head], r[f]), (z[head], s[f]), (z[tail] + window, s[f] + window), (np.ones(len(head), bool), np.zeros(int(f.sum()), bool)))]
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in cols], ["h1", "h2", "doc", "rid", "start", "end", "later"])
+
+    found = map_slices(docs.join(lists, ["doc", "rid"]).dropDuplicates(["doc", "rid"]).select("doc", "rid", "text", "want"), "text", run, "h1 long, h2 long, doc long, rid long, start long, end long, later boolean", SLICE_BYTES)
+    order = F.rank().over(Window.partitionBy("h1", "h2", "later").orderBy("doc", "rid", "start"))
+    return found.withColumn("r", order).where("later or r > 1").select("doc", "rid", "start", "end")
+
+
 def removals(documents: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with texts, spans and kept (bytes)."""
     spark = documents.sparkSession
@@ -458,7 +500,14 @@ def removals(documents: DataFrame, window: int = WINDOW, texts: bool = False) ->
     judged = saved(judge(deal(docs, window)), "suffix-judged")
     release(spark)
     spans = judged.where("not build").select("doc", "rid", F.shiftright("place", _START).alias("start"), (F.shiftright("place", _START) + F.col("place").bitwiseAND(_COUNT) + (window - 1)).alias("end"))
-    built = saved(compare(cut_pieces(docs, judged.where("build"), window), window), "suffix-built")
+    wanted = judged.where("build")
+    crowded = checkpoint(wanted.groupBy("mini").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PIECES).select("mini"))
+    if not crowded.isEmpty():
+        hot = saved(hot_windows(docs, wanted.join(crowded, "mini", "left_semi"), window), "suffix-hot")
+        spans = spans.union(hot)
+        wanted = wanted.join(crowded, "mini", "left_anti")
+        release(spark)
+    built = saved(compare(cut_pieces(docs, wanted, window), window), "suffix-built")
     release(spark)
     more = ", spans array<struct<start:long,end:long>>, kept binary" if texts else ""
 

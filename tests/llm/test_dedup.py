@@ -190,8 +190,9 @@ def periodic(seed):
     return rows
 
 
-@pytest.mark.parametrize("batch", [7, 10_000])
-def test_suffixes_equal_brute_force(spark, sf_dir, batch):
+@pytest.mark.parametrize(("batch", "hot"), [(7, 2_000), (10_000, 2_000), (10_000, 2)])
+def test_suffixes_equal_brute_force(spark, sf_dir, monkeypatch, batch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_PIECES", hot)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     try:
         for rows in (periodic(batch), documents(spark, sf_dir)):
