@@ -48,8 +48,8 @@ from .spans import NULL_ID, keyed, merged, not_first, release, with_spans
 WINDOW, K = 100, 16
 #: Windows a piece at most: bounds the rounds of the construction to MOST_WINDOWS + WINDOW.
 MOST_WINDOWS = 128
-#: Bytes hashed at once; pieces built at once, and of one minimizer at most: groups beyond are compared window by window.
-SEGMENT_BYTES, BATCH_PIECES, HOT_PIECES = 1 << 20, 2_000, 2_000
+#: Bytes hashed at once; pieces built at once; pieces of one minimizer that may meet in a task (3 MB, built in about a second): groups beyond are compared window by window.
+SEGMENT_BYTES, BATCH_PIECES, HOT_PIECES = 1 << 20, 2_000, 20_000
 #: Text per slice where pieces and spans become objects.
 SLICE_BYTES = 2 << 20
 #: Columns of the construction beyond this size are kept in files.
