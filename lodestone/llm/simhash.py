@@ -103,7 +103,7 @@ def anchors_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys).view(np.int64)
 
 
-def _forest(homes: np.ndarray, all_fps: np.ndarray, ids: dict) -> list[tuple[int, int]]:
+def _forest(homes: np.ndarray, all_fps: np.ndarray) -> list[tuple[int, int]]:
     """Links between homes and members, without those that earlier ones of this call imply."""
     parent = {}
 
@@ -118,7 +118,7 @@ def _forest(homes: np.ndarray, all_fps: np.ndarray, ids: dict) -> list[tuple[int
         block = homes[i : i + 256]
         near = np.bitwise_count(block[:, None] ^ all_fps[None, :]) <= THRESHOLD
         for a, b in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-            x, y = ids[int(block[a])], ids[int(all_fps[b])]
+            x, y = int(block[a]), int(all_fps[b])
             if x != y and (p := find(x)) != (q := find(y)):
                 parent[max(p, q)] = min(p, q)
                 out.append((x, y))
@@ -126,7 +126,7 @@ def _forest(homes: np.ndarray, all_fps: np.ndarray, ids: dict) -> list[tuple[int
 
 
 def links(classes: DataFrame) -> DataFrame:
-    """classes: fp, id (distinct). Returns a, b: a spanning forest of each anchor's links, as ids."""
+    """classes: fp (distinct), id. Returns a, b: a spanning forest of each anchor's links, each end as a struct of id and fp."""
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,11 +145,16 @@ def links(classes: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by anchor and salt; a group is held whole: its replicas are bounded by the salts, its homes by the 32 values of one anchor times what differs outside its half."""
+
+        def edges(rows):
+            ida, fpa, idb, fpb = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(ida, pa.int64()), pa.array(np.array(fpa, np.uint64).view(np.int64)), pa.array(idb, pa.int64()), pa.array(np.array(fpb, np.uint64).view(np.int64))], ["ia", "fa", "ib", "fb"])
+
         def flush(fps, home, ids):
             if len(fps) < 2 or not home.any():
                 return []
             u = fps.view(np.uint64)
-            return _forest(u[home], u, dict(zip(u.tolist(), ids.tolist(), strict=True)))
+            return [(by_fp[x], x, by_fp[y], y) for x, y in _forest(u[home], u)] if (by_fp := dict(zip(u.tolist(), ids.tolist(), strict=True))) else []
 
         rest, out = None, []
         for batch in batches:
@@ -162,26 +167,24 @@ def links(classes: DataFrame) -> DataFrame:
                     out += flush(cols[2][a:b], cols[1][a:b], cols[3][a:b])
             rest = [c[bounds[-1] :] for c in cols]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+                yield edges(out)
                 out = []
         if rest is not None and (out := flush(rest[2], rest[1], rest[3])):
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+            yield edges(out)
 
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(compare, "a long, b long")
+    return dealt.repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(compare, "ia long, fa long, ib long, fb long").select(F.struct(F.col("ia").alias("id"), F.col("fa").alias("fp")).alias("a"), F.struct(F.col("ib").alias("id"), F.col("fb").alias("fp")).alias("b"))
 
 
 def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp, component_id of every row."""
     fps = saved(fingerprints(docs, id_column, text), "simhash")
-    # Classes are known by their fingerprint, which unlike an id is never null and never shared.
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    nodes = checkpoint(classes.select(F.col("fp").alias("id"), "least"))
-    found = links(nodes.select(F.col("id").alias("fp"), "id"))
-    joined = connected_components(nodes.select("id"), found)
-    named = joined.join(nodes, "id")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = named.select("id", "component").join(least, "component").select(F.col("id").alias("fp"), "component_id")
+    # A class is known by its smallest id and its fingerprint: the order of nodes is that of ids, so the smallest
+    # node of a component names it, and nothing has to be gathered by component. Null ids come last.
+    last = F.lit((1 << 63) - 1)
+    classes = checkpoint(fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), last).alias("id")))
+    found = connected_components(classes.select(F.struct("id", "fp").alias("id")), links(classes))
+    by_fp = found.select("id.fp", F.nullif("component.id", last).alias("component_id"))
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 

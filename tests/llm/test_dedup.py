@@ -86,7 +86,7 @@ def test_no_link_is_lost(spark, monkeypatch, salt_rows):
     fps = sorted(fps)
     signed = [int(np.uint64(f).view(np.int64)) for f in fps]
     ids = spark.createDataFrame([(s,) for s in signed], "id long")
-    edges = simhash.links(ids.select(F.col("id").alias("fp"), "id"))
+    edges = simhash.links(ids.select(F.col("id").alias("fp"), "id")).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     for e in edges.collect():
         assert 0 < ((e.a ^ e.b) & (1 << 64) - 1).bit_count() <= 3
     got = {r.id: r.component for r in connected_components(ids, edges).collect()}
