@@ -9,10 +9,10 @@ threshold (bigrams: MIN_BIGRAM at least) stay out of the model, and where the en
 fit the threshold is the least that makes them fit.
 
 Score: log10 of the product over tokens w after u (the end token before the first one) of
-LAMBDA * low(u w) / high(u) + (1 - LAMBDA) * (mid(w) + 1) / (M + V + 1), where low and high are the
-ends and mid the middle of the count range that the filter reads, and M is the sum of mid over all
-unigrams. Rounding bigrams down and their contexts up keeps the sum over w within 1, false
-positives aside.
+L(u) * low(u w) / high(u) + (1 - L(u)) * (mid(w) + 1) / (M + V + 1). low and high are the ends and
+mid the middle of the count range that the filter reads, M is the sum of mid over all unigrams, and
+L(u) = LAMBDA * (1 - 1 / low(u)): contexts are trusted by their count. Rounding bigrams down and
+their contexts up keeps the sum over w within 1, false positives aside.
 
 The base score needs exact counts. Tokens of at least the count that leaves HEAD_TOKENS of
 them are broadcast; all rarer tokens meet their counts by a shuffle join on the hash. Which way a
@@ -204,6 +204,18 @@ def _thresholds(counts: DataFrame) -> tuple[int, int, int, int, int, float]:
     return tokens, types, head, least, fits(least), mids
 
 
+def probabilities(f: Filter, hashes: np.ndarray, ids: np.ndarray, before: np.ndarray, middle: float, weight: float = LAMBDA) -> np.ndarray:
+    """P(token | token before) for each place, from membership probes alone. middle: M + V + 1."""
+    level = f.levels(hashes).astype(np.int64)
+    mid = np.where(level > 0, MID * 2.0 ** (level - 1), 0.0)
+    high = np.maximum(1.0, 2.0**level)
+    level2 = f.levels(pair_hashes(hashes[before], hashes[ids])).astype(np.int64)
+    low2 = np.where((level2 > 0) & (level[before] > 0), 2.0 ** (level2 - 1), 0.0)
+    # Contexts are trusted by their count: what was seen once has no bigram in the model, and all weight goes to the unigram.
+    trust = np.where(level > 0, weight * (1 - 2.0 ** (1 - level)), 0.0)[before]
+    return trust * np.minimum(1.0, low2 / high[before]) + (1 - trust) * (mid[ids] + 1) / middle
+
+
 def score(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = documents.sparkSession
@@ -217,7 +229,7 @@ def score(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -
     data = build_filter(counts.where(F.col("c") >= F.when(two, max(least, MIN_BIGRAM)).otherwise(least)), n_entries)
     head = counts.where(~two & (F.col("c") >= head_from)).orderBy("h").toArrow()  # HEAD_TOKENS rows at most
     shipped = spark.sparkContext.broadcast((data, head.column("h").to_numpy(), head.column("c").to_numpy()))
-    weight, spread, middle = LAMBDA, float(total + types + 1), mids + types + 1
+    spread, middle = float(total + types + 1), mids + types + 1
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bits, head_h, head_c = shipped.value
@@ -228,14 +240,8 @@ def score(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -
         in_head = head_h[at] == signed if len(head_h) else np.zeros(len(signed), bool)
         c = np.where(in_head, head_c[at], 0) if len(head_h) else np.zeros(len(signed), np.int64)
         sums = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  every text has a token at least
-        level = f.levels(hashes).astype(np.int64)
-        mid1 = np.where(level > 0, MID * 2.0 ** (level - 1), 0.0)
-        high1 = np.maximum(1.0, 2.0**level)
         end = int(ids[bounds[1] - 1])
-        before = contexts(ids, bounds, end)
-        level2 = f.levels(pair_hashes(hashes[before], hashes[ids])).astype(np.int64)
-        low2 = np.where((level2 > 0) & (level[before] > 0), 2.0 ** (level2 - 1), 0.0)
-        p = weight * np.minimum(1.0, low2 / high1[before]) + (1 - weight) * (mid1[ids] + 1) / middle
+        p = probabilities(f, hashes, ids, contexts(ids, bounds, end), middle)
         tail = ~in_head[ids]
         n_tail = sums(tail.astype(np.int64))
         arrays = [batch.column(0), batch.column(1), pa.array(np.diff(bounds)), pa.array(sums(in_head[ids].astype(np.int64))), pa.array(sums(np.log10(c + 1.0)[ids])), pa.array(sums(np.log10(p)))]

@@ -253,9 +253,21 @@ def test_base_scores(spark, sf_dir, monkeypatch, head):
         t, g = tokens(r.text), got[r.doc_id]
         assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (held[r.doc_id], len(t), sum(c[x] > 0 for x in t), n)
         assert g.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t), rel=1e-9)
-    # The model beats the base on texts it was not trained on.
-    out = [g for g in got.values() if g.held_out]
-    assert sum(g.score for g in out) > sum(g.base_score for g in out)
+
+
+def test_model_beats_the_base_where_words_depend_on_each_other(spark):
+    """Held-out texts of a chain in which each word has three successors."""
+    r = random.Random(0)
+    after = {k: r.sample(range(60), 3) for k in range(60)}
+    rows = []
+    for i in range(300):
+        k, w = r.randrange(60), []
+        for _ in range(60):
+            k = r.choice(after[k])
+            w.append(f"w{k}")
+        rows.append((i, " ".join(w)))
+    got = [g for g in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if g.held_out]
+    assert len(got) > 20 and all(g.score > g.base_score + 0.1 * g.n_tokens for g in got)
 
 
 def test_filter_never_reads_too_little(spark):
@@ -271,12 +283,18 @@ def test_filter_never_reads_too_little(spark):
 
 
 def test_probabilities_sum_to_one_at_most(spark):
-    """Over a whole vocabulary after one word."""
-    docs = [(i, t) for i, t in enumerate(["a b a b a c", "a b c c", "b a b", "c a b a"] * 5)]
-    d = spark.createDataFrame(docs, "doc_id long, text string")
-    probe = spark.createDataFrame([(10**9 + k, "a" + w) for k, w in enumerate(["", " a", " b", " c"])], "doc_id long, text string")
-    scored = lm_scoring.score(d.union(probe.where("crc32(cast(doc_id as string)) % 7 = 2"))).count()
-    assert scored >= len(docs)
+    """Over the whole vocabulary, after each word."""
+    r = random.Random(0)
+    texts = [" ".join(r.choices("abcdefgh", weights=[9, 7, 5, 4, 3, 2, 1, 1], k=r.randint(1, 30))).encode() for _ in range(200)]
+    ids, bounds, hashes = lm_scoring.tokenise(texts)
+    before = lm_scoring.contexts(ids, bounds, int(ids[bounds[1] - 1]))
+    one, two = Counter(ids.tolist()), Counter(zip(before.tolist(), ids.tolist(), strict=True))
+    rows = [(int(hashes[i].view(np.int64)), n) for i, n in one.items()] + [(int(lm_scoring.pair_hashes(hashes[[a]], hashes[[b]]).view(np.int64)[0]), n) for (a, b), n in two.items() if n >= 2]
+    f = lm_scoring.Filter(lm_scoring.build_filter(spark.createDataFrame(rows, "h long, c long"), 10 * len(rows)))
+    middle = sum(lm_scoring.MID * 2.0 ** math.floor(math.log2(n)) for n in one.values()) + len(one) + 1
+    v = np.arange(len(hashes))
+    sums = [lm_scoring.probabilities(f, hashes, v, np.full(len(v), u), middle).sum() for u in v]
+    assert 0.5 < min(sums) and max(sums) <= 1.0 + 1e-9
 
 
 def test_thresholds_fit_the_bound(spark, sf_dir, monkeypatch):
