@@ -15,7 +15,7 @@ IMPORT_SUFFIXES = (".py", "/__init__.py", ".ts", ".js", ".tsx", ".jsx")
 IMPORT = r"(?U)(?:from\s+(\.{0,3}[\w.]*)\s+import\s+[\w,\s*]+)|(?:import\s+([\w.]+))"
 CALLING_TYPES = ("function", "method", "chunk")
 LEAST_NAME = 3
-#: Names that regular identifiers don't cover are looked for one by one; more than this many are an error.
+#: Names with a bracket in them are looked for by one pattern; more than this many are an error.
 MOST_ODD_NAMES = 10_000
 
 
@@ -50,17 +50,34 @@ def call_edges(symbols: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst", "caller_file", "callee_file").agg(F.max("line").alias("line"))
 
 
+def _is_word(c: Column) -> Column:
+    return c.rlike(r"(?U)^\w$")
+
+
 def _odd_sites(s: DataFrame, odd: DataFrame) -> DataFrame:
-    """Call sites of names with other characters, such as headings or line ranges: one extraction by a pattern of those names."""
-    empty = s.select("path", "symbol_name", "line_start", F.lit("").alias("callee")).where("false")
-    names = sorted((r.callee for r in odd.limit(MOST_ODD_NAMES + 1).collect()), key=lambda x: (-len(x), x))
-    if len(names) > MOST_ODD_NAMES:
-        raise ValueError(f"more than {MOST_ODD_NAMES} names of functions are no identifiers")
-    if not names:
-        return empty
-    quoted = "|".join("\\Q" + n.replace("\\E", "\\E\\\\E\\Q") + "\\E" for n in names)
-    found = F.array_distinct(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(rf"(?U)\b({quoted})\s*\("), F.lit(1)))
-    return s.select("path", "symbol_name", "line_start", F.explode(found).alias("callee"))
+    """Call sites of names with other characters, such as headings or line ranges.
+
+    What stands before an opening bracket is cut to each length that a name has and joined by equality, so that
+    the number of names doesn't matter. Names that hold a bracket themselves are looked for by a pattern.
+    """
+    keys = ("path", "symbol_name", "line_start")
+    content = F.coalesce("content", F.lit(""))
+    plain = odd.where(~F.contains("callee", F.lit("(")))
+    lengths = [r[0] for r in plain.select(F.length("callee").alias("n")).distinct().collect()]
+    parts = F.split(content, r"\(", -1)
+    tails = s.select(*keys, F.explode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("part")).select(*keys, F.regexp_replace("part", r"(?U)\s+$", "").alias("tail"))
+    cuts = tails.select(*keys, "tail", F.explode(F.array(*(F.lit(n) for n in lengths)).cast("array<int>")).alias("n")).where(F.length("tail") >= F.col("n"))
+    callee, before = F.substring(F.col("tail"), F.length("tail") - F.col("n") + 1, F.col("n")), F.when(F.length("tail") > F.col("n"), F.substring(F.col("tail"), F.length("tail") - F.col("n"), F.lit(1))).otherwise("")
+    named = cuts.select(*keys, callee.alias("callee"), before.alias("before")).where(_is_word(F.substring("callee", 1, 1)) != _is_word(F.col("before")))
+    found = named.join(plain.distinct(), "callee", "left_semi").select(*keys, "callee").distinct()
+    bracketed = sorted((r.callee for r in odd.where(F.contains("callee", F.lit("("))).limit(MOST_ODD_NAMES + 1).collect()), key=lambda x: (-len(x), x))
+    if len(bracketed) > MOST_ODD_NAMES:
+        raise ValueError(f"more than {MOST_ODD_NAMES} names of functions hold a bracket")
+    if bracketed:
+        quoted = "|".join("\\Q" + n.replace("\\E", "\\E\\\\E\\Q") + "\\E" for n in bracketed)
+        more = F.array_distinct(F.regexp_extract_all(content, F.lit(rf"(?U)\b({quoted})\s*\("), F.lit(1)))
+        found = found.unionByName(s.select(*keys, F.explode(more).alias("callee")))
+    return found
 
 
 def import_refs(symbols: DataFrame) -> DataFrame:
