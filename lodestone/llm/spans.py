@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -57,5 +58,7 @@ def merged(cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def release(spark) -> None:
     """Lets Spark drop the shuffle files of finished jobs whose DataFrames are gone, so that they don't add up over the phases."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the cleaner works in the background, on what a collection has found
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.8)
