@@ -9,6 +9,7 @@ over the set of matched phrases.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -37,6 +38,8 @@ class FtsIndex:
     lengths: DataFrame
     stemmed: bool
     counted: tuple[float, float] | None = None
+    #: Number of term buckets by which stored postings are partitioned.
+    buckets: int | None = None
 
     def statistics(self) -> tuple[float, float]:
         """Rows and mean length, counted once an index."""
@@ -57,6 +60,45 @@ def build_index(symbols: DataFrame, stemmed: bool = True) -> FtsIndex:
     return FtsIndex(postings, lengths, stemmed)
 
 
+BUCKETS, SPREAD = 64, 8
+
+
+def save_index(index: FtsIndex, folder: str, buckets: int = BUCKETS) -> None:
+    """Postings partitioned by a hash of the term and sorted by term within files, so that a search reads the buckets of its terms alone.
+
+    The rows of a bucket are spread over a few files, as a frequent term may hold much of the table.
+    """
+    bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
+    p = index.postings.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("symbol_id"), F.lit(SPREAD)))
+    p.sortWithinPartitions("bucket", "term", "symbol_id", "col", "pos").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    index.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+    spark = index.postings.sparkSession
+    rows, mean = load_lengths(spark, folder).agg(F.count("*").cast("double"), F.coalesce(F.avg("n"), F.lit(1.0))).first()
+    # Written last: an index without it is not complete.
+    spark.createDataFrame([(index.stemmed, buckets, rows, mean)], "stemmed boolean, buckets int, rows double, mean double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/statistics")
+
+
+def load_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("symbol_id long, n int").parquet(f"{folder}/lengths")
+
+
+def load_index(spark: SparkSession, folder: str) -> FtsIndex:
+    m = spark.read.parquet(f"{folder}/statistics").first()
+    postings = spark.read.schema("symbol_id long, col string, pos int, term string, bucket int").parquet(f"{folder}/postings")
+    return FtsIndex(postings, load_lengths(spark, folder), m.stemmed, (m.rows, m.mean), m.buckets)
+
+
+def _read(index: FtsIndex, terms: list[str], prefixes: list[str]) -> DataFrame:
+    """Postings that the terms may be among: by bucket where no prefix is asked for, and by value in any case."""
+    wanted = F.col("term").isin(sorted(set(terms))) | _any(F.startswith(F.col("term"), F.lit(p)) for p in sorted(set(prefixes)))
+    postings = index.postings.where(wanted)
+    if index.buckets is None:
+        return postings
+    if not prefixes:
+        postings = postings.where(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % index.buckets for t in terms})))
+    return postings.drop("bucket")
+
+
 @dataclass
 class Phrase:
     terms: list[str]
@@ -259,29 +301,42 @@ def _holds(tree: tuple, matched: Column) -> Column:
     return left & right if kind == "and" else left | right if kind == "or" else left & ~right
 
 
+def _counting(tree: tuple, matched: Column, above: Column | None = None) -> list[Column]:
+    """For each phrase its number where it adds to the score: where every part of the query around it holds."""
+    kind = tree[0]
+    if kind == "phrase":
+        return [F.when(F.lit(True) if above is None else above, F.lit(tree[1]))]
+    if kind != "or":
+        own = _holds(tree, matched)
+        above = own if above is None else above & own
+    return _counting(tree[1], matched, above) + ([] if kind == "not" else _counting(tree[2], matched, above))
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("phrase", T.IntegerType()), T.StructField("p", T.IntegerType())])))
 def _near_clumps(instances: pd.Series, sizes: pd.Series, distance: pd.Series) -> pd.Series:
-    """Instances that take part in a clump that holds every phrase of the group within the distance."""
+    """Instances of the clumps that one sweep over all lists finds. In a clump no phrase ends more than the distance before the last one begins."""
 
     def keep(items, lengths, most):
-        lengths = {int(x["phrase"]): int(x["n"]) for x in lengths}
-        at = {k: sorted({int(i["p"]) for i in items if int(i["phrase"]) == k}) for k in lengths}
-        if not all(at.values()):
+        sizes = {int(x["phrase"]): int(x["n"]) for x in lengths}
+        lists = {k: sorted({int(i["p"]) for i in items if int(i["phrase"]) == k}) for k in sizes}
+        out: set[tuple[int, int]] = set()
+        at = dict.fromkeys(lists, 0)
+        if not all(lists.values()):
             return []
-        out = set()
-        for k, places in at.items():
-            for p in places:
-                # A clump that begins with this instance: of each other phrase the next one at or behind it.
-                chosen = {k: p}
-                for other, theirs in at.items():
-                    if other != k:
-                        nxt = next((q for q in theirs if q >= p), None)
-                        if nxt is None:
-                            break
-                        chosen[other] = nxt
-                else:
-                    if max(chosen.values()) - (p + lengths[k]) <= most:
-                        out |= set(chosen.items())
+        while True:
+            last = max(lists[k][at[k]] for k in lists)
+            late = [k for k in lists if lists[k][at[k]] < last - sizes[k] - most]
+            if not late:
+                out |= {(k, lists[k][at[k]]) for k in lists}
+                # Whichever phrase comes next moves on.
+                ahead = {k: lists[k][at[k] + 1] for k in lists if at[k] + 1 < len(lists[k])}
+                if not ahead:
+                    break
+                late = [min(ahead, key=ahead.get)]
+            for k in late:
+                at[k] += 1
+            if any(at[k] >= len(lists[k]) for k in late):
+                break
         return [{"phrase": a, "p": b} for a, b in sorted(out)]
 
     return pd.Series([keep(a, b, c) for a, b, c in zip(instances, sizes, distance, strict=True)])
@@ -294,34 +349,40 @@ def search(index: FtsIndex, queries: dict[int, str], spark: SparkSession) -> Dat
     terms = spark.createDataFrame(rows, "query_id long, phrase int, i int, wanted string, prefix boolean, first boolean, n_terms int, cols array<string>, near int, distance int")
     # Terms of the queries of one call: bounded by the text of the queries, which came through the driver.
     terms = F.broadcast(terms)
-    exact = index.postings.join(terms.where("not prefix"), F.col("term") == F.col("wanted"))
-    hits = exact
-    if any(r[4] for r in rows):
-        starts = [r[3] for r in rows if r[4]]
-        narrowed = index.postings.where(F.lit(False) | _any(F.startswith(F.col("term"), F.lit(s)) for s in starts))
-        hits = exact.unionByName(narrowed.join(terms.where("prefix"), F.startswith(F.col("term"), F.col("wanted"))))
+    starts = [r[3] for r in rows if r[4]]
+    postings = _read(index, [r[3] for r in rows if not r[4]], starts)
+    hits = postings.join(terms.where("not prefix"), F.col("term") == F.col("wanted"))
+    if starts:
+        hits = hits.unionByName(postings.join(terms.where("prefix"), F.startswith(F.col("term"), F.col("wanted"))))
     hits = hits.where(F.array_contains("cols", F.col("col")))
     keys = ("query_id", "phrase", "symbol_id")
     placed = hits.groupBy(*keys, "col", (F.col("pos") - F.col("i")).alias("p")).agg(F.count_distinct("i").alias("got"), F.first("n_terms").alias("n_terms"), F.first("first").alias("first"), F.first("near").alias("near"), F.first("distance").alias("distance"))
     placed = placed.where((F.col("got") == F.col("n_terms")) & (~F.col("first") | (F.col("p") == 0)))
+    # How rare a phrase is doesn't depend on what is near it.
+    seen = placed.groupBy("query_id", "phrase").agg(F.count_distinct("symbol_id").cast("double").alias("hits"))
     if any(p.near is not None for q in parsed.values() for p in q.phrases):
         sizes = spark.createDataFrame([(k, p.near, [{"phrase": n, "n": len(x.terms)} for n, x in enumerate(q.phrases) if x.near == p.near]) for k, q in parsed.items() for p in q.phrases if p.near is not None], "query_id long, near int, sizes array<struct<phrase:int,n:int>>").distinct()
         groups = placed.where("near >= 0").groupBy("query_id", "near", "symbol_id", "col").agg(F.collect_list(F.struct("phrase", F.col("p").cast("int").alias("p"))).alias("all"), F.first("distance").alias("distance")).join(F.broadcast(sizes), ["query_id", "near"])
         kept = groups.select("query_id", "symbol_id", "col", F.explode(_near_clumps("all", "sizes", "distance")).alias("e")).select("query_id", "e.phrase", "symbol_id", "col", F.col("e.p").alias("p"))
         placed = placed.where("near < 0").select(*keys, "col", "p").unionByName(kept)
     tf = placed.groupBy(*keys).agg(F.count("*").cast("double").alias("f"))
-    seen = tf.groupBy("query_id", "phrase").agg(F.count("*").cast("double").alias("hits"))
     scored = tf.join(F.broadcast(seen), ["query_id", "phrase"]).join(index.lengths, "symbol_id")
     rows_, mean = index.statistics()
     idf = F.log((F.lit(rows_) - F.col("hits") + 0.5) / (F.col("hits") + 0.5))
     idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
     gain = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n") / F.lit(mean)))
-    out = scored.groupBy("query_id", "symbol_id").agg((-F.sum(gain)).alias("rank"), F.collect_set("phrase").alias("matched"))
-    holds = None
+    out = scored.withColumn("gain", gain).groupBy("query_id", "symbol_id").agg(F.array_sort(F.collect_list(F.struct("phrase", "gain"))).alias("gains"))
+    out = out.withColumn("matched", F.transform("gains", lambda g: g.phrase))
+    holds = counting = None
     for k, q in parsed.items():
-        cond = _holds(q.tree, F.col("matched"))
-        holds = F.when(F.col("query_id") == k, cond) if holds is None else holds.when(F.col("query_id") == k, cond)
-    return out.where(F.lit(False) if holds is None else holds).select("query_id", "symbol_id", "rank")
+        cond, adds = _holds(q.tree, F.col("matched")), F.array_compact(F.array(*_counting(q.tree, F.col("matched"))))
+        this = F.col("query_id") == k
+        holds = F.when(this, cond) if holds is None else holds.when(this, cond)
+        counting = F.when(this, adds) if counting is None else counting.when(this, adds)
+    if holds is None:
+        return out.where("false").select("query_id", "symbol_id", F.lit(0.0).alias("rank"))
+    total = F.aggregate(F.filter("gains", lambda g: F.array_contains("counting", g.phrase)), F.lit(0.0), lambda s, g: s + g.gain)
+    return out.where(holds).withColumn("counting", counting).select("query_id", "symbol_id", (-total).alias("rank"))
 
 
 def _any(conditions):

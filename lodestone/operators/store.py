@@ -53,6 +53,9 @@ class SnapshotStore:
         marks = sorted((n for n in names if n.startswith("CURRENT-")), key=lambda n: int(n.split("-")[1]))
         return f"{self.root}/v{marks[-1].split('-')[1]}" if marks else None
 
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
     def read(self) -> dict[str, DataFrame]:
         at = self.current()
         if at is None:

@@ -13,7 +13,7 @@ from ..functions.paths import language
 from ..operators import classify as classification
 from ..operators import graph, render, retrieve
 from ..operators.chunking import chunk_files
-from ..operators.fts import FtsIndex, build_index, parse_query, sanitised, search, symbol_id
+from ..operators.fts import FtsIndex, build_index, load_index, parse_query, sanitised, save_index, search, symbol_id
 from ..operators.parsing import extract_symbols
 from ..operators.store import SnapshotStore, index_status, remove_files, replace_files
 from ..operators.vector_search import Embedder, embed_symbols, top_k
@@ -82,7 +82,14 @@ class Engine:
 
     @cached_property
     def fts(self) -> FtsIndex:
-        return build_index(self.tables["symbols"], self.stemmed)
+        """The inverted index of the current snapshot, stored beside it on first use."""
+        at = self.store.current()
+        if at is None:
+            return build_index(self.tables["symbols"], self.stemmed)
+        folder = f"{at}/fts-{'stemmed' if self.stemmed else 'plain'}"
+        if not self.store.exists(f"{folder}/statistics/_SUCCESS"):
+            save_index(build_index(self.tables["symbols"], self.stemmed), folder)
+        return load_index(self.spark, folder)
 
     @cached_property
     def graphs(self) -> retrieve.Graphs:

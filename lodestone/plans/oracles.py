@@ -54,12 +54,14 @@ tk AS (
   SELECT count(*)::DOUBLE AS rows, avg(n) AS mean FROM le
 )"""
 
-_RANK = """
+def _rank(counts: str = "true") -> str:
+    """counts: where a phrase adds to the score, in terms of query_id, phrase and m (the matched phrases)."""
+    return f"""
 df AS (
   SELECT query_id, phrase, count(*)::DOUBLE AS n FROM hits GROUP BY query_id, phrase
 ), rk AS (
-  SELECT query_id, symbol_id, -sum(CASE WHEN ln((rows - df.n + 0.5) / (df.n + 0.5)) <= 0 THEN 1e-6 ELSE ln((rows - df.n + 0.5) / (df.n + 0.5)) END * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * le.n / mean))) AS rank, list(phrase) AS m
-  FROM hits JOIN df USING (query_id, phrase) JOIN le USING (symbol_id), st GROUP BY query_id, symbol_id
+  SELECT query_id, symbol_id, -sum(CASE WHEN NOT ({counts}) THEN 0 WHEN ln((rows - df.n + 0.5) / (df.n + 0.5)) <= 0 THEN 1e-6 ELSE ln((rows - df.n + 0.5) / (df.n + 0.5)) END * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * le.n / mean))) AS rank, any_value(m) AS m
+  FROM hits JOIN df USING (query_id, phrase) JOIN le USING (symbol_id) JOIN (SELECT query_id, symbol_id, list(phrase) AS m FROM hits GROUP BY query_id, symbol_id) USING (query_id, symbol_id), st GROUP BY query_id, symbol_id
 )"""
 
 
@@ -81,29 +83,19 @@ _FTS = {
     "fts_phrase": (["(symbol_id, col, pos) IN (SELECT (a.symbol_id, a.col, a.pos) FROM po a JOIN po b ON a.symbol_id = b.symbol_id AND a.col = b.col AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the')"], _has(0)),
     "fts_prefix": (["term LIKE 'tha%'"], _has(0)),
     "fts_column": ([_term("7", "path"), _term("uber", "content")], "true"),
-    "fts_precedence": ([_term("que"), _term("de"), _term("that"), _term("with")], f"({_has(0)} AND NOT {_has(1)}) OR ({_has(2)} AND {_has(3)})"),
+    "fts_precedence": ([_term("que"), _term("de"), _term("that"), _term("with")], f"({_has(0)} AND NOT {_has(1)}) OR ({_has(2)} AND {_has(3)})", f"CASE WHEN phrase < 2 THEN {_has(0)} AND NOT {_has(1)} ELSE {_has(2)} AND {_has(3)} END"),
     "fts_first": ([_term("the") + " AND pos = 0"], _has(0)),
 }
 assert set(_FTS) | {"fts_near"} == set(FTS_QUERIES)
 
 
-def _fts(conditions: list[str], tree: str, tail: str = "") -> str:
+def _fts(conditions: list[str], tree: str, counts: str = "true", tail: str = "") -> str:
     hits = " UNION ALL ".join(_hit(0, k, c) for k, c in enumerate(conditions))
-    return f"WITH {INDEX}, hits AS ({hits}), {_RANK} SELECT path, line_start, round(rank, {DIGITS}) AS rank FROM rk JOIN sy USING (symbol_id) WHERE {tree} {tail}"
-
+    return f"WITH {INDEX}, hits AS ({hits}), {_rank(counts)} SELECT path, line_start, round(rank, {DIGITS}) AS rank FROM rk JOIN sy USING (symbol_id) WHERE {tree} {tail}"
 
-_NEAR = f"""
-WITH {INDEX}, a AS (SELECT * FROM po WHERE term = 'that'), b AS (SELECT * FROM po WHERE term = 'with'), pr AS (
-  SELECT a.symbol_id, a.col, a.pos AS pa, b.pos AS pb FROM a JOIN b ON a.symbol_id = b.symbol_id AND a.col = b.col AND abs(a.pos - b.pos) - 1 <= 3
-), nx AS (
-  SELECT * FROM pr WHERE pb = (SELECT min(b.pos) FROM b WHERE b.symbol_id = pr.symbol_id AND b.col = pr.col AND b.pos >= pr.pa) OR pa = (SELECT min(a.pos) FROM a WHERE a.symbol_id = pr.symbol_id AND a.col = pr.col AND a.pos >= pr.pb)
-), hits AS (
-  SELECT 0 AS query_id, 0 AS phrase, symbol_id, count(DISTINCT (col, pa))::DOUBLE AS f FROM nx GROUP BY symbol_id UNION ALL SELECT 0, 1, symbol_id, count(DISTINCT (col, pb))::DOUBLE FROM nx GROUP BY symbol_id
-), {_RANK}
-SELECT path, line_start, round(rank, {DIGITS}) AS rank FROM rk JOIN sy USING (symbol_id)"""
 
 _NORMALISED = f"""
-WITH {INDEX}, hits AS ({_hit(1, 0, _term('that'))} UNION ALL {_hit(2, 0, _term('que'))} UNION ALL {_hit(2, 1, _term('les'))}), {_RANK}
+WITH {INDEX}, hits AS ({_hit(1, 0, _term('that'))} UNION ALL {_hit(2, 0, _term('que'))} UNION ALL {_hit(2, 1, _term('les'))}), {_rank()}
 SELECT query_id::BIGINT AS query_id, symbol_id, round(1 - abs(rank) / max(abs(rank)) OVER (PARTITION BY query_id), {DIGITS}) AS fts_score FROM rk"""
 
 _DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
@@ -119,12 +111,16 @@ _WORDS = {k: [w for w in t.split() if w != "OR"] for k, t in TASK_TEXTS.items()}
 _CONJUNCTION = {1: "len(list_distinct(m)) = 2", 2: "len(list_distinct(m)) = 3", 3: "len(list_distinct(m)) = 6", 4: f"({_has(0)} AND {_has(1)}) OR {_has(2)}"}
 
 
+#: Of the disjunction, the words of its first part add to the score where both occur.
+_COUNTS = f"query_id <> 4 OR phrase = 2 OR ({_has(0)} AND {_has(1)})"
+
+
 def _hybrid(each_side: str, fetch: str, limits: str) -> str:
     """CTEs up to fu (query_id, symbol_id, score, combined_score, semantic). each_side and fetch: row limits; limits: a CTE that they need."""
     hits = " UNION ALL ".join(_hit(k, n, _term(w)) for k, ws in _WORDS.items() for n, w in enumerate(ws))
     where = " OR ".join(f"(query_id = {k} AND ({c}))" for k, c in _CONJUNCTION.items())
     vectors = values(TASK_VECTORS.items(), "query_id, vec_id")
-    return f"""{INDEX}, hits AS ({hits}), {_RANK}, {limits}
+    return f"""{INDEX}, hits AS ({hits}), {_rank(_COUNTS)}, {limits}
 lx AS (
   SELECT query_id, symbol_id, round(rank, {DIGITS}) AS rank FROM rk WHERE {where}
 ), l2 AS (
@@ -336,7 +332,6 @@ ORACLE_SQL = {
     "indexed_lookup": "SELECT DISTINCT (o_orderkey % 2000)::VARCHAR AS path, (o_orderkey % 2000) IN (SELECT doc_id FROM documents) AS indexed FROM orders",
     "file_symbols": f"WITH {SYM} SELECT path, row_number() OVER (PARTITION BY path ORDER BY line_start)::INT AS place, line_start, line_end FROM sy",
     **{name: _fts(*x) for name, x in _FTS.items()},
-    "fts_near": _NEAR,
     "fts_top": _fts(*_FTS["fts_or"], tail=f"ORDER BY round(rank, {DIGITS}), path, line_start LIMIT {SEARCH_LIMIT}"),
     "fts_normalised": _NORMALISED,
     "vec_l2_normalise": f"SELECT vec_id, (i - 1)::INT AS dim, round(x / nrm, {DIGITS}) AS value FROM (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS i, sqrt(list_dot_product(e, e)) AS nrm FROM (SELECT vec_id, list_transform(embedding, lambda x: (x * 4)::FLOAT)::DOUBLE[] AS e FROM embeddings))",

@@ -78,3 +78,15 @@ def test_tokens(spark):
 
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(fts_tokens(F.col("t"))).collect()]
     assert got == [["foo", "bar", "unicode", "x1y2", "ecole"], [], None]
+
+
+def test_stored_index(spark, both, tmp_path):
+    _, index = both
+    fts.save_index(index, f"{tmp_path}/i", 16)
+    stored = fts.load_index(spark, f"{tmp_path}/i")
+    asked = {1: "run OR token", 2: "nat*", 3: '"the of"', 4: "content: run"}
+    rows = lambda i: sorted((r.query_id, r.symbol_id, round(r.rank, 9)) for r in fts.search(i, asked, spark).collect())
+    assert rows(stored) == rows(index)
+    plan = fts.search(stored, {1: "token"}, spark)._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [", 1)[1].split("]")[0]
+    assert "PushedFilters: [In(term" in plan or "EqualTo(term" in plan
