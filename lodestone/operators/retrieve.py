@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import EXPANDED_SCORE, LEXICAL_ONLY_SCORE, REQUESTED_SCORE, WELL_COVERED_HITS, Flags
+from ..config import EXPANDED_SCORE, LEXICAL_ONLY_SCORE, REQUESTED_SCORE, SCOPES, WELL_COVERED_HITS, Flags
 from ..functions.text import bare_name, estimated_tokens
 from .classify import explain, with_config
 from .fusion import fuse, top_per_query
@@ -117,12 +117,16 @@ def context_results(classified: DataFrame, files_found: DataFrame) -> DataFrame:
     return joined.select("query_id", "task", F.lower("scope_name").alias("scope"), F.coalesce(F.transform("e", lambda x: x.f), F.array().cast("array<struct<path:string,language:string,symbols:array<struct<name:string,symbol_type:string,line_start:int,line_end:int,content:string,score:double>>,relevance_score:double>>")).alias("files"), F.coalesce("total_tokens", F.lit(0)).cast("long").alias("total_tokens"), "any_hit", "reasoning")
 
 
-def get_context(tasks: DataFrame, query_vectors: DataFrame | None, lexical: DataFrame | None, symbols: DataFrame, files: DataFrame, embeddings: DataFrame | None, graphs: Graphs | None, flags: Flags = Flags(), digits: int | None = None) -> DataFrame:
-    """query_id, task, scope, files, total_tokens, explanation of every task.
+def get_context(tasks: DataFrame, query_vectors: DataFrame | None, lexical: DataFrame | None, symbols: DataFrame, files: DataFrame, embeddings: DataFrame | None, graphs: Graphs | None, flags: Flags = Flags(), digits: int | None = None, scope: str | None = None) -> DataFrame:
+    """query_id, task, scope, files, total_tokens, explanation of every task. scope: the name of a scope for all tasks, else each gets its own.
 
     tasks: query_id, task. query_vectors: query_id, embedding. lexical: query_id, symbol_id, rank.
     """
-    classified = with_config(explain(tasks))
+    explained = explain(tasks)
+    if scope is not None:
+        number = {name.lower(): n for n, name, *_ in SCOPES}[scope.lower()]
+        explained = explained.withColumns({"scope": F.lit(number), "scope_name": F.lit(scope.upper())})
+    classified = with_config(explained)
     limits = classified.withColumn("fetch", 2 * F.col("max_symbols"))
     semantic = None
     if query_vectors is not None and embeddings is not None:

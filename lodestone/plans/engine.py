@@ -109,10 +109,10 @@ class Engine:
 
     # Questions
 
-    def get_context(self, tasks: DataFrame) -> DataFrame:
-        """tasks: query_id, task. One nested row a task."""
+    def get_context(self, tasks: DataFrame, scope: str | None = None) -> DataFrame:
+        """tasks: query_id, task. One nested row a task. scope overrides the scope that the rules find."""
         texts = {r.query_id: r.task for r in tasks.select("query_id", "task").collect()}  # queries are typed by someone: few and short
-        return retrieve.get_context(tasks, self._vectors(texts), self._lexical(texts), self.tables["symbols"], self.tables["files"], self.tables["embeddings"], self.graphs, self.flags)
+        return retrieve.get_context(tasks, self._vectors(texts), self._lexical(texts), self.tables["symbols"], self.tables["files"], self.tables["embeddings"], self.graphs, self.flags, scope=scope)
 
     def context_markdown(self, tasks: DataFrame) -> DataFrame:
         return render.context_markdown(self.get_context(tasks))

@@ -70,6 +70,7 @@ def test_lines_engine_without_vectors(spark, project, tmp_path):
     got = {r.query_id: r for r in e.get_context(tasks).collect()}
     assert [f.path for f in got[1].files][0] == "README.md" and got[1].files[0].relevance_score == 0.5
     assert got[2].files == [] and got[2].explanation.startswith("No results found. ")
+    assert {r.scope for r in e.get_context(tasks, scope="architectural").collect()} == {"architectural"}
     e.remove_files(["README.md"])
     assert e.stats().first().file_count == 4
     (project / "main.py").write_text("x\n" * 120)
@@ -110,3 +111,17 @@ def test_graph_round_trip(spark, tmp_path):
     (tmp_path / "g.json").write_text(json.dumps({"call_graph": {"nodes": [{"id": "x"}], "links": [{"source": "x", "target": "y"}]}}))
     n, e = graph.load_node_link(spark, f"{tmp_path}/g.json", "call_graph")
     assert n.first().id == "x" and (e.first().source, e.first().target) == ("x", "y")
+
+
+def test_log_tail(spark, tmp_path):
+    from lodestone.sources import logs
+
+    lines = [f"line {i} " + ("ERROR" if i % 3 == 0 else "WARNING" if i % 3 == 1 else "✓") for i in range(5000)]
+    (tmp_path / "x.log").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")
+    try:
+        got = logs.tail(logs.read_log(spark, f"{tmp_path}/x.log"), 1200).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.value for r in got] == lines[-1200:]
+    assert [r.severity for r in got[-3:]] == [{0: "error", 1: "warning", 2: "success"}[i % 3] for i in range(4997, 5000)]
