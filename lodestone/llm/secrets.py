@@ -39,7 +39,7 @@ from .common import map_slices, table
 #: Documents from which the sentences of the training set are taken.
 SAMPLE_DOCS, SAMPLE_CHARS, WINDOWS, WINDOW = 400, 20_000, 2400, 24
 EPOCHS, RATE, PENALTY = 120, 0.3, 1e-4
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 KINDS = ("assign", "access", "hex", "crf")
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)

@@ -36,7 +36,7 @@ from .common import map_slices, table, text_or_empty
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
+CACHE_ENTRIES, CACHE_CHARS, PAIR_ENTRIES = 200_000, 64, 300_000
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
@@ -197,7 +197,7 @@ class Model:
 
     def _merged_to(self, key: int) -> bool:
         """Whether merging the two pieces of a key (the first may be missing) ends in just them."""
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > PAIR_ENTRIES:
             self.pairs.clear()
         before, i = (key >> 20) - 1, key & 0xFFFFF
         want = [self.pieces[i]] if before < 0 else [self.pieces[before], self.pieces[i]]
