@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import TOKENS_PER_WORD
 
 #: After each of these a new line begins (CR has become LF when the file was read).
-_LINE_END = "(?<=[\n\x0b\f\x1c-\x1e\x85  ])"
+_LINE_END = "(?<=[\n\x0b\f\x1c-\x1e\x85\u2028\u2029])"
 #: What Python's str.split() takes for white space, ASCII range and the common others.
 BLANK = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 

@@ -23,7 +23,7 @@ Row = tuple[str, str, int, int, str]
 #: Languages that section_symbols() handles.
 TEXT_LANGUAGES = ("markdown", "yaml", "toml", "dockerfile", "html", *CHUNK_SIZES)
 
-_LINE_END = re.compile("(?<=[\n\x0b\f\x1c-\x1e\x85  ])")
+_LINE_END = re.compile("(?<=[\n\x0b\f\x1c-\x1e\x85\u2028\u2029])")
 # Statements that begin a SQL symbol.
 _CREATE = re.compile(r"CREATE\s+(?:OR\s+REPLACE\s+)?(?:TABLE|VIEW|FUNCTION|PROCEDURE|INDEX)\s+(\S+)", re.I)
 _STATEMENT = re.compile(r"^(SELECT|INSERT|UPDATE|DELETE|WITH)\b", re.I)
