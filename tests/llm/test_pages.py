@@ -132,6 +132,24 @@ def test_templates_without_markup(spark, shard_tokens):
     assert got == want
 
 
+def test_passage_on_several_pages_of_one_shard(spark):
+    """A host of two shards: a passage on two pages of the one and on one page of the other goes from all three."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    promo = words(rng, 12)
+    own = [words(rng, 20) for _ in range(40)]
+    page = lambda i, *parts: (i, f"http://one.org/{i}", "".join(f"<div>{p}</div>" for p in parts))
+    schema = "page_id long, url string, html string"
+    pages = [page(i, own[i], promo) for i in range(40)]
+    shard = {r.page_id: r.shard for r in html_extract._pages(spark.createDataFrame(pages, schema)).select("page_id", F.pmod(F.xxhash64("key"), F.lit(2)).alias("shard")).collect()}
+    zero, one = ([i for i in shard if shard[i] == k] for k in (0, 1))
+    rows = [pages[i] for i in (*zero[:2], one[0])]
+    total = 3 * 32
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, schema), total - 1).collect()}
+    assert got == {i: own[i] for i, _, _ in rows}
+
+
 def brute_covered(streams, pages, depth):
     seen = {}
     for s, p in zip(streams, pages, strict=True):
