@@ -4,7 +4,10 @@ Texts are cut into units: lines, paragraphs (runs of lines between blank ones),
 sentences=True, the sentences of each, so that a passage inside a longer line is found too.
 A unit is normalised (lower case, white space to one space) and hashed to 128 bits. Digests are
 grouped over all documents; the occurrence with the smallest (doc_id, place) stays, all others
-go. Units of fewer than min_words words always stay. Removed spans keep their offsets into the
+go. Units of fewer than min_words words always stay. With whole=True, as in the query, lines (or
+paragraphs) count at any length and are hashed whole as well as by sentence, and sentences below
+min_words words are hashed together with as many neighbours, after and before them, as reach it: a
+repeated line goes whole, and so does a copy of a document. Removed spans keep their offsets into the
 original text (code points, end exclusive), together with the white space that follows them.
 
 Occurrences that a slice of a few megabytes already knows to be later than another are marked
@@ -52,26 +55,55 @@ def units(text: str, unit: str = "line", sentences: bool = True) -> list[tuple[i
     return out
 
 
-def digests(text: str, unit: str, sentences: bool, min_words: int) -> list[tuple[int, int, int]]:
+def _joined(sizes: list[int], min_words: int) -> set[tuple[int, int]]:
+    """(first, last) sentence of what counts of a line of sentences of these many words: a long sentence alone, a short one with neighbours after and before it."""
+    out = set()
+    for i in range(len(sizes)):
+        for step in (1, -1):
+            j, n = i, sizes[i]
+            while n < min_words and 0 <= j + step < len(sizes):
+                j += step
+                n += sizes[j]
+            if n >= min_words:
+                out.add((min(i, j), max(i, j)))
+    return out
+
+
+def digests(text: str, unit: str, sentences: bool, min_words: int, whole: bool = False) -> list[tuple[int, int, int]]:
     """(128-bit digest, start, end) of the units that count."""
+    digest = lambda w: xxhash.xxh3_128_intdigest(" ".join(w).encode("utf-8", "surrogatepass"))
     out = []
-    for a, b in units(text, unit, sentences):
-        w = text[a:b].lower().split()
-        if len(w) >= min_words:
-            out.append((xxhash.xxh3_128_intdigest(" ".join(w).encode("utf-8", "surrogatepass")), a, b))
+    if not whole:
+        for a, b in units(text, unit, sentences):
+            w = text[a:b].lower().split()
+            if len(w) >= min_words:
+                out.append((digest(w), a, b))
+        return out
+    inner, k = units(text, unit, True) if sentences else [], 0
+    for a, b in units(text, unit, False):
+        own = [text[a:b].lower().split()]
+        out.append((digest(own[0]), a, b))
+        first = k
+        while k < len(inner) and inner[k][1] <= b:
+            k += 1
+        if k - first > 1:
+            own = [text[x:y].lower().split() for x, y in inner[first:k]]
+            for i, j in _joined([len(w) for w in own], min_words):
+                if (i, j) != (0, len(own) - 1):
+                    out.append((digest([t for w in own[i : j + 1] for t in w]), inner[first + i][0], inner[first + j][1]))
     return out
 
 
 _MASK = (1 << 64) - 1
 
 
-def occurrences(docs: DataFrame, unit: str, sentences: bool, min_words: int) -> DataFrame:
+def occurrences(docs: DataFrame, unit: str, sentences: bool, min_words: int, whole: bool = False) -> DataFrame:
     """h1, h2, doc, rid, start, end, later: later rows are known to go and have a key of their own."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for doc, rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            rows += [(d >> 64, d & _MASK, doc, rid, a, b) for d, a, b in digests(text, unit, sentences, min_words)]
+            rows += [(d >> 64, d & _MASK, doc, rid, a, b) for d, a, b in digests(text, unit, sentences, min_words, whole)]
         kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int32)
         cols = [np.array(x, dtype=k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [np.zeros(0, k) for k in kinds]
         h1, h2, doc, rid, start, end = cols
@@ -82,18 +114,18 @@ def occurrences(docs: DataFrame, unit: str, sentences: bool, min_words: int) ->
     return map_slices(docs, "text", run, "h1 long, h2 long, doc long, rid long, start int, end int, later boolean")
 
 
-def removed_spans(docs: DataFrame, unit: str = "line", sentences: bool = True, min_words: int = MIN_WORDS) -> DataFrame:
+def removed_spans(docs: DataFrame, unit: str = "line", sentences: bool = True, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """doc, rid, start, end of the units that go. docs: as keyed() gives them."""
-    occ = occurrences(docs, unit, sentences, min_words)
+    occ = occurrences(docs, unit, sentences, min_words, whole)
     # rank, not row_number: rows of one document given twice tie and are treated alike.
     order = F.rank().over(Window.partitionBy("h1", "h2", "later").orderBy("doc", "rid", "start"))
     return occ.withColumn("r", order).where("later or r > 1").select("doc", "rid", "start", "end").distinct()
 
 
-def removals(documents: DataFrame, unit: str = "line", sentences: bool = True, min_words: int = MIN_WORDS) -> DataFrame:
+def removals(documents: DataFrame, unit: str = "line", sentences: bool = True, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """Per document: doc_id, n_chars, n_removed (characters), n_spans, spans (start, end), text (what stays)."""
     docs = keyed(documents)
-    gone = saved(removed_spans(docs, unit, sentences, min_words), "substring")
+    gone = saved(removed_spans(docs, unit, sentences, min_words, whole), "substring")
     release(documents.sparkSession)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -120,4 +152,4 @@ def removals(documents: DataFrame, unit: str = "line", sentences: bool = True, m
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return removals(table(spark, sf_dir, "documents"))
+    return removals(table(spark, sf_dir, "documents"), whole=True)

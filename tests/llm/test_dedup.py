@@ -163,6 +163,27 @@ def test_lines_awkward(awkward, no_documents):
     assert next(r for r in got if r.doc_id == 6).text == ""
 
 
+def test_whole_lines_and_copies_go(spark, sf_dir):
+    """As in the query: lines of any length and copies go whole, and short sentences inside a passage that repeats."""
+    passage = "One two three four five six. Ha. Seven eight nine ten eleven."
+    rows = [(1, f"Of.\n{passage}\nNo."), (2, f"Of.\n{passage}\nNo."), (3, "new words stay\nof."), (4, f"Words that are new here today. {passage} Others that are new as well.")]
+    got = [r.text for r in sorted(substring_dedup.removals(frame(spark, rows), whole=True).collect(), key=lambda r: r.doc_id)]
+    assert got == [rows[0][1], "", "new words stay\n", "Words that are new here today. Others that are new as well."]
+    rows = documents(spark, sf_dir)
+    rows += [(10_000, rows[0][1]), (10_001, f"Quite new words at the top.\n{rows[1][1]}")]
+    got = {r.doc_id: r for r in substring_dedup.op2_substring_dedup(spark, sf_dir).union(substring_dedup.removals(frame(spark, rows), whole=True).where("doc_id >= 10000")).collect()}
+    assert got[10_000].text.strip() == "" and got[10_001].text.strip() == "Quite new words at the top."
+    seen = set()
+    for d, t in sorted(rows):
+        gone = {i for x in got[d].spans for i in range(x.start, x.end)}
+        for m in re.finditer(r"[^\n]+", t or ""):
+            key = " ".join(m[0].lower().split())
+            if key in seen:
+                assert all(i in gone or m.string[i].isspace() for i in range(*m.span()))
+            elif key:
+                seen.add(key)
+
+
 def brute_windows(rows, window=100):
     seen, out = set(), {}
     for d, t in sorted(rows):
