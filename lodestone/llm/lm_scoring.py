@@ -3,10 +3,11 @@
 Training documents are counted once: unigrams and bigrams, as 64-bit hashes summed per slice
 before the shuffle. The model is a Bloom filter: an n-gram of count c is entered at levels 1 to
 1 + floor(log2 c), and a count is read back by probing level after level until one is missing.
-The filter is built in blocks by the executors, gathered and broadcast. Its size follows the
-number of entries up to MAX_FILTER_BYTES, the bound on what is broadcast; n-grams below a count
-threshold (bigrams: MIN_BIGRAM at least) stay out of the model, and where the entries would not
-fit the threshold is the least that makes them fit.
+The filter is built in blocks by the executors, and its size follows the number of entries. Up to
+MAX_FILTER_BYTES it is gathered and broadcast. A larger one stays dealt over parts of PART_BLOCKS
+blocks: each slice of texts sends its distinct n-grams to the parts that hold them and gets their
+levels back, by two shuffles. Blocks and bits are the same, and so is every score. Bigrams below
+MIN_BIGRAM stay out of the model.
 
 Score: log10 of the product over tokens w after u (the end token before the first one) of
 L(u) * low(u w) / high(u) + (1 - L(u)) * (mid(w) + 1) / (M + V + 1). low and high are the ends and
@@ -40,6 +41,7 @@ FOLDS, HELD = 7, 2
 LAMBDA, MIN_BIGRAM = 0.3, 2
 MAX_FILTER_BYTES = 128 << 20
 BITS_PER_ENTRY, PROBES, BLOCK_BYTES = 10, 5, 1 << 16
+PART_BLOCKS = 256
 HEAD_TOKENS = 1 << 20
 SLICE_BYTES = 4 << 20
 END = b""
@@ -113,8 +115,9 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
 class Filter:
     """Log-frequency Bloom filter in blocks; all probes of an n-gram fall into one block."""
 
-    def __init__(self, data: np.ndarray):
-        self.data, self.blocks = data, max(1, len(data) // BLOCK_BYTES)
+    def __init__(self, data: np.ndarray, first: int = 0, blocks: int | None = None):
+        """data: blocks from number first on, of so many in all."""
+        self.data, self.first, self.blocks = data, first, blocks or max(1, len(data) // BLOCK_BYTES)
 
     @staticmethod
     def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
@@ -128,7 +131,7 @@ class Filter:
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The highest level up to which all are present, 0 where there is none."""
         out, alive, level = np.zeros(len(h), dtype=np.int8), np.arange(len(h)), 0
-        base = self.block_of(h, self.blocks) * BLOCK_BYTES
+        base = (self.block_of(h, self.blocks) - self.first) * BLOCK_BYTES
         mask = np.uint64(8 * BLOCK_BYTES - 1)
         while len(alive) and level < 63:
             level += 1
@@ -141,15 +144,28 @@ class Filter:
         return out
 
 
-def build_filter(entries: DataFrame, n_entries: int) -> np.ndarray:
-    """entries: h, c. Blocks are made by the executors; the driver joins them."""
-    blocks = max(1, min(MAX_FILTER_BYTES, math.ceil(n_entries * BITS_PER_ENTRY / 8)) // BLOCK_BYTES + 1)
-    number = {"blocks": blocks}
+class Levels:
+    """Levels that the parts of a filter have sent back, in place of the filter."""
+
+    def __init__(self, h: np.ndarray, level: np.ndarray):
+        order = np.argsort(h)
+        self.h, self.level = h[order], level[order]
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        return self.level[np.searchsorted(self.h, h)]
+
+
+def n_blocks(n_entries: int) -> int:
+    return math.ceil(n_entries * BITS_PER_ENTRY / 8) // BLOCK_BYTES + 1
+
+
+def filter_blocks(entries: DataFrame, blocks: int) -> DataFrame:
+    """block, bits of the blocks that have entries. entries: h, c."""
 
     def place(batches):
         for b in batches:
             h = b.column(0).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(Filter.block_of(h, number["blocks"])), b.column(0), b.column(1)], ["block", "h", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(Filter.block_of(h, blocks)), b.column(0), b.column(1)], ["block", "h", "c"])
 
     def make(batches):
         held, last = [], None
@@ -178,15 +194,66 @@ def build_filter(entries: DataFrame, n_entries: int) -> np.ndarray:
             yield flush()
 
     n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    made = entries.select("h", "c").mapInArrow(place, "block long, h long, c long").repartition(n, "block").sortWithinPartitions("block").mapInArrow(make, "block long, bits binary")
+    return entries.select("h", "c").mapInArrow(place, "block long, h long, c long").repartition(n, "block").sortWithinPartitions("block").mapInArrow(make, "block long, bits binary")
+
+
+def build_filter(entries: DataFrame, n_entries: int) -> np.ndarray:
+    """entries: h, c. Blocks are made by the executors; the driver joins them."""
+    blocks = n_blocks(n_entries)
     data = np.zeros(blocks * BLOCK_BYTES, dtype=np.uint8)
-    for row in made.toLocalIterator():
+    for row in filter_blocks(entries, blocks).toLocalIterator():
         data[row.block * BLOCK_BYTES : (row.block + 1) * BLOCK_BYTES] = np.frombuffer(row.bits, dtype=np.uint8)
     return data
 
 
-def _thresholds(counts: DataFrame) -> tuple[int, int, int, int, int, float]:
-    """N, V, least unigram count of the head, least model count (of bigrams, at least MIN_BIGRAM; of unigrams from 1 on), number of entries, and M. One row per order and capped count comes to the driver."""
+def _asked(ids: np.ndarray, bounds: np.ndarray, hashes: np.ndarray, blocks: int, per_part: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a slice and the parts that hold them, in the order of parts and hashes."""
+    before = contexts(ids, bounds, int(ids[bounds[1] - 1]))
+    pairs = np.unique(before * len(hashes) + ids)
+    h = np.unique(np.concatenate([hashes, pair_hashes(hashes[pairs // len(hashes)], hashes[pairs % len(hashes)])]))
+    part = Filter.block_of(h, blocks) // per_part
+    order = np.argsort(part, kind="stable")
+    return h[order], part[order]
+
+
+def levels_by_shuffle(cut: DataFrame, made: DataFrame, blocks: int) -> DataFrame:
+    """slice, part, level (a byte for each n-gram that _asked() gives for the part). cut: as score() writes slices; made: as filter_blocks() gives it."""
+    per_part = PART_BLOCKS
+
+    def ask(batches):
+        for b in batches:
+            for key, *held in zip(*(b.column(c).to_pylist() for c in ("slice", "ids", "bounds", "hashes")), strict=True):
+                h, part = _asked(*_numbers(*held), blocks, per_part)
+                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+                n = len(cuts) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.nulls(n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array([h[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["part", "block", "slice", "data"])
+
+    def answer(batches):
+        at, data = None, None
+        for b in batches:
+            out = []
+            for part, block, key, held in zip(*(b.column(c).to_pylist() for c in ("part", "block", "slice", "data")), strict=True):
+                if part != at:
+                    at, data = part, np.zeros(per_part * BLOCK_BYTES, dtype=np.uint8)
+                if block is not None:
+                    data[(block - part * per_part) * BLOCK_BYTES :][:BLOCK_BYTES] = np.frombuffer(held, dtype=np.uint8)
+                else:
+                    out.append((key, part, Filter(data, part * per_part, blocks).levels(np.frombuffer(held, dtype=np.uint64)).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["slice", "part", "level"])
+
+    n = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = made.select(F.floor(F.col("block") / per_part).cast("long").alias("part"), "block", F.lit(None).cast("long").alias("slice"), F.col("bits").alias("data"))
+    asked = cut.select("slice", "ids", "bounds", "hashes").mapInArrow(ask, "part long, block long, slice long, data binary")
+    return held.union(asked).repartition(n, "part").sortWithinPartitions("part", F.col("block").isNull()).mapInArrow(answer, "slice long, part long, level binary")
+
+
+def _numbers(ids: bytes, bounds: bytes, hashes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, np.int32).astype(np.int64), np.frombuffer(bounds, np.int64), np.frombuffer(hashes, np.uint64)
+
+
+def _thresholds(counts: DataFrame) -> tuple[int, int, int, int, float]:
+    """N, V, least unigram count of the head, number of entries of the model, and M. One row per order and capped count comes to the driver."""
     order = F.col("h").bitwiseAND(1)
     level = F.floor(F.log2("c")).cast("int") + 1
     rows = counts.groupBy(order.alias("two"), F.least("c", F.lit(4096)).alias("c")).agg(F.count("*").alias("n"), F.sum("c").alias("total"), F.sum(level).alias("levels"), F.sum(F.pow(F.lit(2.0), level - 1)).alias("lows")).collect()
@@ -197,11 +264,9 @@ def _thresholds(counts: DataFrame) -> tuple[int, int, int, int, int, float]:
         if held + n > HEAD_TOKENS:
             break
         head, held = c, held + n
-    most = 8 * MAX_FILTER_BYTES // BITS_PER_ENTRY
-    fits = lambda t: sum(r.levels for r in rows if r.c >= (max(t, MIN_BIGRAM) if r.two else t))
-    least = next((t for t in sorted({1, *(r.c for r in rows)}) if fits(t) <= most), 4096)
-    mids = sum(MID * r.lows for r in rows if not r.two and r.c >= least)
-    return tokens, types, head, least, fits(least), mids
+    n_entries = sum(r.levels for r in rows if not r.two or r.c >= MIN_BIGRAM)
+    mids = sum(MID * r.lows for r in rows if not r.two)
+    return tokens, types, head, n_entries, mids
 
 
 def probabilities(f: Filter, hashes: np.ndarray, ids: np.ndarray, before: np.ndarray, middle: float, weight: float = LAMBDA) -> np.ndarray:
@@ -224,17 +289,22 @@ def score(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -
     # Singleton bigrams, the bulk, are in no model: they are dropped before the table is written.
     counts = saved(count_ngrams(docs.where("not held_out")).where(F.col("h").bitwiseAND(1).eqNullSafe(0) | (F.col("c") >= MIN_BIGRAM)), "ngrams")
     release(spark)
-    total, types, head_from, least, n_entries, mids = _thresholds(counts)
+    total, types, head_from, n_entries, mids = _thresholds(counts)
     two = F.col("h").bitwiseAND(1) == 1
-    data = build_filter(counts.where(F.col("c") >= F.when(two, max(least, MIN_BIGRAM)).otherwise(least)), n_entries)
+    entries = counts.where(~two | (F.col("c") >= MIN_BIGRAM))
+    blocks = n_blocks(n_entries)
+    per_part = PART_BLOCKS
+    dealt = blocks * BLOCK_BYTES > MAX_FILTER_BYTES
+    data = None if dealt else build_filter(entries, n_entries)
     head = counts.where(~two & (F.col("c") >= head_from)).orderBy("h").toArrow()  # HEAD_TOKENS rows at most
     shipped = spark.sparkContext.broadcast((data, head.column("h").to_numpy(), head.column("c").to_numpy()))
     spread, middle = float(total + types + 1), mids + types + 1
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits, head_h, head_c = shipped.value
-        f = Filter(bits)
-        ids, bounds, hashes = tokenise(_bytes(batch.column(2)))
+    names = ["doc_id", "held_out", "n_tokens", "n_head", "head_log", "score", "tail"]
+    schema = "doc_id long, held_out boolean, n_tokens long, n_head long, head_log double, score double, tail array<long>"
+
+    def measured(f: Filter | Levels, doc_id: pa.Array, held: pa.Array, ids: np.ndarray, bounds: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+        _, head_h, head_c = shipped.value
         signed = hashes.view(np.int64)
         at = np.minimum(np.searchsorted(head_h, signed), max(0, len(head_h) - 1))
         in_head = head_h[at] == signed if len(head_h) else np.zeros(len(signed), bool)
@@ -244,11 +314,41 @@ def score(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -
         p = probabilities(f, hashes, ids, contexts(ids, bounds, end), middle)
         tail = ~in_head[ids]
         n_tail = sums(tail.astype(np.int64))
-        arrays = [batch.column(0), batch.column(1), pa.array(np.diff(bounds)), pa.array(sums(in_head[ids].astype(np.int64))), pa.array(sums(np.log10(c + 1.0)[ids])), pa.array(sums(np.log10(p)))]
+        arrays = [doc_id, held, pa.array(np.diff(bounds)), pa.array(sums(in_head[ids].astype(np.int64))), pa.array(sums(np.log10(c + 1.0)[ids])), pa.array(sums(np.log10(p)))]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_tail)]).astype(np.int32)), pa.array(signed[ids[tail]]))
-        return pa.RecordBatch.from_arrays([*arrays, lists], ["doc_id", "held_out", "n_tokens", "n_head", "head_log", "score", "tail"])
+        return pa.RecordBatch.from_arrays([*arrays, lists], names)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return measured(Filter(shipped.value[0]), batch.column(0), batch.column(1), *tokenise(_bytes(batch.column(2))))
 
-    rows = map_slices(docs, "text", run, "doc_id long, held_out boolean, n_tokens long, n_head long, head_log double, score double, tail array<long>", SLICE_BYTES)
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """One row a slice, known by its first row."""
+        ids, bounds, hashes = tokenise(_bytes(batch.column(2)))
+        cols = [pa.array([batch.column(3)[0].as_py()], pa.int64()), *(pa.array([batch.column(k).to_pylist()], pa.list_(t)) for k, t in ((0, pa.int64()), (1, pa.bool_()))), *(pa.array([x.tobytes()], pa.binary()) for x in (ids.astype(np.int32), bounds, hashes))]
+        return pa.RecordBatch.from_arrays(cols, ["slice", "docs", "held", "ids", "bounds", "hashes"])
+
+    def gather(batches):
+        """Levels of a slice come in the order of their parts, the slice after them."""
+        got = []
+        for b in batches:
+            for part, level, docs_, held, *numbers in zip(*(b.column(c).to_pylist() for c in ("part", "level", "docs", "held", "ids", "bounds", "hashes")), strict=True):
+                if part is not None:
+                    got.append(level)
+                    continue
+                ids, bounds, hashes = _numbers(*numbers)
+                f = Levels(_asked(ids, bounds, hashes, blocks, per_part)[0], np.frombuffer(b"".join(got), dtype=np.int8))
+                got = []
+                yield measured(f, pa.array(docs_, pa.int64()), pa.array(held, pa.bool_()), ids, bounds, hashes)
+
+    if dealt:
+        pieces = "slice long, docs array<long>, held array<boolean>, ids binary, bounds binary, hashes binary"
+        written = saved(map_slices(docs.withColumn("row", F.monotonically_increasing_id()), "text", cut, pieces, SLICE_BYTES), "lm-slices")
+        levels = saved(levels_by_shuffle(written, filter_blocks(entries, blocks), blocks), "lm-levels")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        both = levels.unionByName(written, allowMissingColumns=True)
+        rows = both.repartition(n, "slice").sortWithinPartitions("slice", F.col("part").isNull(), "part").mapInArrow(gather, schema)
+    else:
+        rows = map_slices(docs, "text", run, schema, SLICE_BYTES)
     rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
     rare = counts.where(~two & (F.col("c") < head_from))
     tails = rows.select("row", F.explode("tail").alias("h")).join(rare, "h").groupBy("row").agg(F.count("*").alias("n_tail"), F.sum(F.log10(F.col("c") + 1)).alias("tail_log"))

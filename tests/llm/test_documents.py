@@ -303,6 +303,17 @@ def test_thresholds_fit_the_bound(spark, sf_dir, monkeypatch):
     assert got.where("score >= 0 or score is null").count() == 0
 
 
+def test_scores_beyond_one_broadcast(spark, sf_dir, awkward, monkeypatch):
+    """A filter beyond the bound of a broadcast holds the same n-grams and gives the same scores."""
+    docs = documents(spark, sf_dir).select("doc_id", "text").union(awkward.select("doc_id", "text")).persist()
+    key = lambda r: repr((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)))
+    want = sorted(map(key, lm_scoring.score(docs).collect()))
+    monkeypatch.setattr(lm_scoring, "MAX_FILTER_BYTES", 1 << 12)
+    monkeypatch.setattr(lm_scoring, "PART_BLOCKS", 1)
+    monkeypatch.setattr(lm_scoring, "SLICE_BYTES", 1 << 15)
+    assert sorted(map(key, lm_scoring.score(docs).collect())) == want
+
+
 def test_lm_awkward(awkward, no_documents):
     got = lm_scoring.score(awkward).collect()
     assert len(got) == len(AWKWARD) and {r.doc_id: r.n_tokens for r in got}[2] == 1
