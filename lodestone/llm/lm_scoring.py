@@ -6,13 +6,13 @@ before the shuffle. The model is a Bloom filter: an n-gram of count c is entered
 The filter is built in blocks by the executors, and its size follows the number of entries. Up to
 MAX_FILTER_BYTES it is gathered and broadcast. A larger one stays dealt over parts of PART_BLOCKS
 blocks: each slice of texts sends its distinct n-grams to the parts that hold them and gets their
-levels back, by two shuffles. Blocks and bits are the same, and so is every score. Bigrams below
-MIN_BIGRAM stay out of the model.
+levels back, by two shuffles. Blocks and bits are the same, and so is every score. Every n-gram that
+occurs is in the model, once or often.
 
 Score: log10 of the product over tokens w after u (the end token before the first one) of
 L(u) * low(u w) / high(u) + (1 - L(u)) * (mid(w) + 1) / (M + V + 1). low and high are the ends and
 mid the middle of the count range that the filter reads, M is the sum of mid over all unigrams, and
-L(u) = LAMBDA * (1 - 1 / low(u)): contexts are trusted by their count. Rounding bigrams down and
+L(u) = LAMBDA * (1 - 1 / (low(u) + 1)): contexts are trusted by their count. Rounding bigrams down and
 their contexts up keeps the sum over w within 1, false positives aside.
 
 The base score needs exact counts. Tokens of at least the count that leaves HEAD_TOKENS of
@@ -38,7 +38,7 @@ from .common import map_slices, saved, table, text_or_empty
 from .spans import release
 
 FOLDS, HELD = 7, 2
-LAMBDA, MIN_BIGRAM = 0.3, 2
+LAMBDA = 0.3
 MAX_FILTER_BYTES = 128 << 20
 BITS_PER_ENTRY, PROBES, BLOCK_BYTES = 10, 5, 1 << 16
 PART_BLOCKS = 256
@@ -264,7 +264,7 @@ def _thresholds(counts: DataFrame) -> tuple[int, int, int, int, float]:
         if held + n > HEAD_TOKENS:
             break
         head, held = c, held + n
-    n_entries = sum(r.levels for r in rows if not r.two or r.c >= MIN_BIGRAM)
+    n_entries = sum(r.levels for r in rows)
     mids = sum(MID * r.lows for r in rows if not r.two)
     return tokens, types, head, n_entries, mids
 
@@ -276,8 +276,8 @@ def probabilities(f: Filter, hashes: np.ndarray, ids: np.ndarray, before: np.nda
     high = np.maximum(1.0, 2.0**level)
     level2 = f.levels(pair_hashes(hashes[before], hashes[ids])).astype(np.int64)
     low2 = np.where((level2 > 0) & (level[before] > 0), 2.0 ** (level2 - 1), 0.0)
-    # Contexts are trusted by their count: what was seen once has no bigram in the model, and all weight goes to the unigram.
-    trust = np.where(level > 0, weight * (1 - 2.0 ** (1 - level)), 0.0)[before]
+    # Contexts are trusted by their count; after one that was never seen all weight goes to the unigram.
+    trust = np.where(level > 0, weight * (1 - 1 / (2.0 ** (level - 1) + 1)), 0.0)[before]
     return trust * np.minimum(1.0, low2 / high[before]) + (1 - trust) * (mid[ids] + 1) / middle
 
 
@@ -286,16 +286,14 @@ def score(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -
     spark = documents.sparkSession
     key = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), (F.crc32(key.cast("binary")) % FOLDS == HELD).alias("held_out"), text_or_empty(text).alias("text"))
-    # Singleton bigrams, the bulk, are in no model: they are dropped before the table is written.
-    counts = saved(count_ngrams(docs.where("not held_out")).where(F.col("h").bitwiseAND(1).eqNullSafe(0) | (F.col("c") >= MIN_BIGRAM)), "ngrams")
+    counts = saved(count_ngrams(docs.where("not held_out")), "ngrams")
     release(spark)
     total, types, head_from, n_entries, mids = _thresholds(counts)
     two = F.col("h").bitwiseAND(1) == 1
-    entries = counts.where(~two | (F.col("c") >= MIN_BIGRAM))
     blocks = n_blocks(n_entries)
     per_part = PART_BLOCKS
     dealt = blocks * BLOCK_BYTES > MAX_FILTER_BYTES
-    data = None if dealt else build_filter(entries, n_entries)
+    data = None if dealt else build_filter(counts, n_entries)
     head = counts.where(~two & (F.col("c") >= head_from)).orderBy("h").toArrow()  # HEAD_TOKENS rows at most
     shipped = spark.sparkContext.broadcast((data, head.column("h").to_numpy(), head.column("c").to_numpy()))
     spread, middle = float(total + types + 1), mids + types + 1
@@ -343,7 +341,7 @@ def score(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -
     if dealt:
         pieces = "slice long, docs array<long>, held array<boolean>, ids binary, bounds binary, hashes binary"
         written = saved(map_slices(docs.withColumn("row", F.monotonically_increasing_id()), "text", cut, pieces, SLICE_BYTES), "lm-slices")
-        levels = saved(levels_by_shuffle(written, filter_blocks(entries, blocks), blocks), "lm-levels")
+        levels = saved(levels_by_shuffle(written, filter_blocks(counts, blocks), blocks), "lm-levels")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         both = levels.unionByName(written, allowMissingColumns=True)
         rows = both.repartition(n, "slice").sortWithinPartitions("slice", F.col("part").isNull(), "part").mapInArrow(gather, schema)

@@ -314,6 +314,17 @@ def test_scores_beyond_one_broadcast(spark, sf_dir, awkward, monkeypatch):
     assert sorted(map(key, lm_scoring.score(docs).collect())) == want
 
 
+def test_bigrams_seen_once_are_in_the_model(spark):
+    """Two held-out texts of the same words: the one whose pairs the training text has, once each, scores higher."""
+    train, held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2], [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2]
+    w = [f"w{i}" for i in range(200)]
+    rows = [(train[0], " ".join(w)), (held[0], " ".join(w[:100])), (held[1], " ".join(w[:100:2] + w[1:100:2]))]
+    got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen, unseen = got[held[0]], got[held[1]]
+    assert seen.n_tokens == unseen.n_tokens and seen.base_score == pytest.approx(unseen.base_score)
+    assert seen.score > unseen.score + 0.1 * seen.n_tokens
+
+
 def test_lm_awkward(awkward, no_documents):
     got = lm_scoring.score(awkward).collect()
     assert len(got) == len(AWKWARD) and {r.doc_id: r.n_tokens for r in got}[2] == 1
