@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import shared_dir, table
 
 LEAST_REVISIT_BYTES = 100
-ROLL_BYTES = 256 << 20
+#: Below the compressed size of a shard, so that files do roll by it.
+ROLL_BYTES = 512 << 10
 #: A shard holds so many payload bytes at least, and there are so many shards at most.
 SHARD_BYTES, MOST_SHARDS = 4 << 20, 16_384
 BINS = 65_536

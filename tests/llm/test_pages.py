@@ -53,6 +53,17 @@ def test_archive_round_trip(spark, pages, tmp_path, roll):
     assert warc.read_archive(spark, out, payloads=False).count() == len(PAGES)
 
 
+def test_files_roll_as_in_the_query(spark, tmp_path):
+    """With the query's own sizes: shards of pages as compressible as prose are more than a file each."""
+    rng = random.Random(6)
+    vocabulary = words(rng, 3000).split()
+    rows = [(i, f"http://a.org/{i}", "<p>" + " ".join(rng.choices(vocabulary, k=2500)) + "</p>") for i in range(600)]
+    made = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/q").collect()
+    assert len({m.shard for m in made}) > 1 and sum(m.records for m in made) == len(rows)
+    several = [m for m in made if sum(x.shard == m.shard for x in made) > 1]
+    assert several and max(m.bytes for m in made) < warc.ROLL_BYTES + (1 << 16)
+
+
 def test_damage_is_found():
     record = warc.encode_record(1, "u", b"payload")
     assert warc.decode_record(record)[2:5] == (7, hashlib.sha256(b"payload").hexdigest(), "response")
