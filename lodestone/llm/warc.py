@@ -1,9 +1,11 @@
 """WARC: a deterministic sharded writer and a reader.
 
-Records are range-sorted by page_id. Shards are contiguous ranges of ids: a histogram of bytes
-over at most BINS equal-width bins of ids (all that reaches the driver) is cut into shards of
-about equal bytes, so shard boundaries depend on the data alone and not on a sample, on
-partitions or on the cluster. Within a shard the writer streams sorted records, compresses each
+Records are range-sorted by page_id. Shards are contiguous ranges of ids of about equal bytes, cut by a
+histogram: at most BINS bins of ids reach the driver, and bins that hold more than a shard are split
+again between their smallest and largest id, until they fit or hold one id. So a few far-off ids don't
+spoil the cut, and boundaries depend on the data alone, not on a sample, on partitions or on the
+cluster. A single id (or the null id) of more bytes than a shard is dealt over several by the hash of its
+payload. Within a shard the writer streams sorted records, compresses each
 to a gzip member, and rolls to a new file once roll_bytes of compressed data are reached.
 Headers, record ids (UUIDs of name) and digests are generated anew. A file is written under a
 temporary name of its attempt and renamed; the manifest, a Parquet table written through
@@ -11,16 +13,20 @@ Spark's committer, lists what belongs to the archive, so files of lost attempts
 
 Of records with equal payloads of at least least_bytes, that with the smallest page_id is the
 response and the others are revisits of it. Which row refers to what travels as small rows
-through the same shuffle as the pages: page bodies are shuffled once.
+(page_id, digest, target) through the same shuffle as the pages: page bodies are shuffled once.
 
 Nulls: a null html is an empty payload, a null url an empty URI; a null page_id sorts first,
 is always a response and is never referred to. Repeated rows with a response's id are
-responses. Empty tables give an archive of no files. Extra columns are ignored.
+responses; rows that share an id but not the payload are judged by their payloads. A payload of any
+length is one record, held whole by its task. Any 64-bit id is valid. Empty tables give an archive of no
+files. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import saved, shared_dir, table
 
 LEAST_REVISIT_BYTES = 100
-#: Below the compressed size of a shard, so that files do roll by it.
+#: Files roll at an eighth of a shard's payload, below its compressed size, so that they do roll by it; at least at this size.
 ROLL_BYTES = 512 << 10
 #: A shard holds so many payload bytes at least, and there are so many shards at most.
 SHARD_BYTES, MOST_SHARDS = 4 << 20, 16_384
@@ -101,58 +107,94 @@ class _Roller:
         return self.shard, self.name, self.records, self.size, self.sha.hexdigest()
 
 
-def _shards(pages: DataFrame, shard_bytes: int):
-    """A function from the id column to its shard, and the number of shards."""
-    low, high, total = pages.agg(F.min("page_id"), F.max("page_id"), F.coalesce(F.sum("n"), F.lit(0))).first()
+def _last_at_most(values: list[int], x):
+    """The number of the last of the ascending values that is at most x, -1 where none is: two short scans instead of one long one."""
+    step = max(1, math.isqrt(len(values)))
+    literal = lambda v, kind: F.from_json(F.lit(json.dumps(v)), kind)  # noqa: E731  folded once
+    outer = F.size(F.filter(literal(values[::step], "array<bigint>"), lambda v: v <= x)) - 1
+    inner = F.get(literal([values[i : i + step] for i in range(0, len(values), step)], "array<array<bigint>>"), outer)
+    return F.when(outer < 0, F.lit(-1)).otherwise(outer * step + F.size(F.filter(inner, lambda v: v <= x)) - 1)
+
+
+def _ranges(sized: DataFrame, each: int, bins: int = BINS) -> list[tuple[int, int, int]]:
+    """(smallest id, largest id, bytes) of ascending ranges that hold at most `each` bytes or one id. sized: page_id (not null), n."""
+    low, high, total = sized.agg(F.min("page_id"), F.max("page_id"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if low is None:
-        return F.lit(0), 1
-    width = (high - low) // BINS + 1
-    bin_of = F.floor((F.col("page_id") - F.lit(low)) / F.lit(width)).cast("int") if width > 1 else (F.col("page_id") - F.lit(low)).cast("int")
-    sizes = dict(pages.where("page_id is not null").groupBy(bin_of.alias("b")).agg(F.sum("n")).collect())  # BINS rows at most
-    each, of_bin, shard, held = max(shard_bytes, total // MOST_SHARDS), [], 0, 0
-    for b in range((high - low) // width + 1):
-        if held >= each:
-            shard, held = shard + 1, 0
-        held += sizes.get(b, 0)
-        of_bin.append(shard)
-    if not shard:
-        return F.lit(0), 1
-    steps = F.from_json(F.lit(f"[{','.join(map(str, of_bin))}]"), "array<int>")  # a literal, folded once
-    return F.coalesce(F.get(steps, bin_of), F.lit(0)), shard + 1
-
-
-def write_archive(pages: DataFrame, out: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
-    """Writes pages (page_id, url, html) below out and returns the committed manifest."""
+        return []
+    done, open_ = [], [(low, high, total)]
+    while open_:
+        per = max(2, bins // len(open_))
+        widths = [(b - a) // per + 1 for a, b, _ in open_]
+        wide = F.col("page_id").cast("decimal(20,0)")
+        at = _last_at_most([a for a, _, _ in open_], F.col("page_id"))
+        pick = lambda v: F.get(F.from_json(F.lit(json.dumps(v)), "array<decimal(20,0)>"), F.col("k"))
+        found = sized.withColumn("k", at).where("k >= 0").where(wide <= pick([b for _, b, _ in open_])).withColumn("low", pick([a for a, _, _ in open_])).withColumn("width", pick(widths))
+        rows = found.groupBy("k", F.expr("(cast(page_id as decimal(20,0)) - low) div width").alias("b")).agg(F.min("page_id").alias("a"), F.max("page_id").alias("z"), F.sum("n").alias("n")).collect()  # bins rows at most
+        parts = [(r.a, r.z, r.n) for r in rows]
+        open_ = sorted(p for p in parts if p[2] > each and p[0] < p[1])
+        done += [p for p in parts if p[2] <= each or p[0] == p[1]]
+    return sorted(done)
+
+
+def _shards(sized: DataFrame, shard_bytes: int):
+    """A function from the columns page_id and h to the shard, the number of shards, and the bytes of one."""
+    total, nulls = sized.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("page_id").isNull(), F.col("n"))), F.lit(0))).first()
+    each = max(shard_bytes, total // MOST_SHARDS)
+    starts, bases, spreads, held = [], [], [], 0
+    count = null_shards = max(1, nulls // each) if nulls else 0
+    for a, b, n in _ranges(sized.where("page_id is not null"), each):
+        many = n // each if a == b and n > each else 1
+        if not starts or held >= each or held + n > 2 * each or many > 1:
+            starts.append(a)
+            bases.append(count)
+            spreads.append(many)
+            count, held = count + many, 0
+        held += n if many == 1 else 2 * each
+    if count <= 1:
+        return F.lit(0), 1, each
+    at = _last_at_most(starts, F.col("page_id"))
+    pick = lambda v: F.get(F.from_json(F.lit(json.dumps(v)), "array<int>"), at)
+    by_id = pick(bases) + (F.pmod(F.col("h"), pick(spreads)).cast("int") if max(spreads) > 1 else F.lit(0)) if starts else F.lit(0)
+    none = F.pmod(F.col("h"), F.lit(max(1, null_shards))).cast("int")
+    return F.when(F.col("page_id").isNull(), none).otherwise(by_id), count, each
+
+
+def write_archive(pages: DataFrame, out: str, roll_bytes: int | None = None, shard_bytes: int = SHARD_BYTES, least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
+    """Writes pages (page_id, url, html) below out and returns the committed manifest. Files roll at roll_bytes of compressed data."""
     spark = pages.sparkSession
     fs, root = _fs(out)
     fs.create_dir(root, recursive=True)
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    sized = p.select("page_id", F.octet_length("html").cast("long").alias("n"))
-    shard, count = _shards(sized, shard_bytes)
-    digests = p.where(F.octet_length("html") >= least_bytes).select("page_id", F.unhex(F.sha2(F.col("html").cast("binary"), 256)).alias("digest"))
+    p = p.withColumn("h", F.xxhash64("html"))
+    sized = saved(p.select("page_id", F.octet_length("html").cast("long").alias("n")), "warc-sizes")
+    shard, count, each = _shards(sized, shard_bytes)
+    roll_bytes = roll_bytes or max(ROLL_BYTES, each // 8)
+    digests = p.where(F.octet_length("html") >= least_bytes).select("page_id", "h", F.unhex(F.sha2(F.col("html").cast("binary"), 256)).alias("digest"))
     # Only digests that occur again come back to be joined: for most data a small share.
     firsts = digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
-    refs = digests.join(firsts, "digest").where("page_id > first").select("page_id", F.col("first").alias("refers_to")).distinct()
+    refs = digests.join(firsts, "digest").where("page_id > first").select("page_id", "h", "digest", F.col("first").alias("refers_to")).distinct()
     none = F.lit(None)
-    rows = p.select("page_id", F.lit(1).alias("kind"), "url", "html", none.cast("long").alias("refers_to"), F.xxhash64("html").alias("h"))
-    rows = rows.unionByName(refs.select("page_id", F.lit(0).alias("kind"), none.cast("string").alias("url"), none.cast("string").alias("html"), "refers_to", none.cast("long").alias("h")))
+    rows = p.select("page_id", F.lit(1).alias("kind"), "url", "html", none.cast("binary").alias("digest"), none.cast("long").alias("refers_to"), "h")
+    rows = rows.unionByName(refs.select("page_id", F.lit(0).alias("kind"), none.cast("string").alias("url"), none.cast("string").alias("html"), "digest", "refers_to", "h"))
     rows = rows.withColumn("shard", shard.cast("long"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, refers, done = None, {}, []
+        roller, owner, refers, done = None, None, {}, []
         for batch in batches:
-            cols = [batch.column(n) for n in ("page_id", "kind", "url", "html", "refers_to", "shard")]
+            cols = [batch.column(n) for n in ("page_id", "kind", "url", "html", "digest", "refers_to", "shard")]
             html = cols[3].cast(pa.binary() if pa.types.is_string(cols[3].type) else pa.large_binary())
-            for i, (page_id, kind, url, to, at) in enumerate(zip(*(c.to_pylist() for c in (cols[0], cols[1], cols[2], cols[4], cols[5])), strict=True)):
+            for i, (page_id, kind, url, digest, to, at) in enumerate(zip(*(c.to_pylist() for c in (cols[0], cols[1], cols[2], cols[4], cols[5], cols[6])), strict=True)):
+                if owner != page_id:
+                    owner, refers = page_id, {}  # a page's references come before its records
                 if kind == 0:
-                    refers = {page_id: to}  # the next rows are those of this page
+                    refers[digest] = to
                     continue
                 if roller is None or roller.shard != at:
                     if roller and (row := roller.close()):
                         done.append(row)
                     roller = _Roller(out, at, roll_bytes)
                 payload = html[i].as_py()
-                row = roller.write(encode_record(page_id, url, payload, refers.get(page_id) if len(payload) >= least_bytes else None))
+                row = roller.write(encode_record(page_id, url, payload, refers.get(hashlib.sha256(payload).digest()) if refers else None))
                 if row:
                     done.append(row)
         if roller and (row := roller.close()):

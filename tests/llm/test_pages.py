@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import html_extract, warc
 
@@ -64,6 +65,35 @@ def test_files_roll_as_in_the_query(spark, tmp_path):
     assert several and max(m.bytes for m in made) < warc.ROLL_BYTES + (1 << 16)
 
 
+def test_one_id_and_several_payloads(spark, tmp_path):
+    """A revisit is decided by the payload of its row, not by its id alone; ids may lie anywhere in 64 bits."""
+    a, b, c = ("<p>" + x * 60 + "</p>" for x in ("a ", "b ", "c "))
+    far = (1 << 62) + 5
+    rows = [(1, "u", a), (5, "u", a), (5, "u", b), (7, "u", b), (5, "u", c), (-far, "u", c), (far, "u", a), ((1 << 63) - 1, "u", "z" * 200), (-(1 << 63), "u", "z" * 200), (None, "u", b)]
+    out = f"file://{tmp_path}/r"
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), out, shard_bytes=150)
+    got = sorted(((r.page_id, r.payload_digest, r.refers_to, r.payload and bytes(r.payload)) for r in warc.read_archive(spark, out).collect()), key=repr)
+    first = {a: 1, b: 5, c: -far, "z" * 200: -(1 << 63)}
+    want = []
+    for i, _, h in rows:
+        to = first[h] if i is not None and i > first[h] else None
+        want.append((i, hashlib.sha256(h.encode()).hexdigest(), to, h.encode() if to is None else None))
+    assert got == sorted(want, key=repr)
+
+
+def test_shards_hold_equal_bytes(spark, tmp_path):
+    """Far-off ids, one id of many payloads and many null ids: none fills one shard."""
+    rows = [(i, "u", f"{i:09d}" * 20) for i in range(400)] + [(1 << 60, "u", "far"), (-(1 << 61), "u", "far too")] + [(500, "u", f"{i:09d}" * 20) for i in range(200)] + [(None, "u", f"{i:09d}" * 21) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    made = warc.write_archive(pages, f"file://{tmp_path}/s", shard_bytes=3600, least_bytes=10**6).collect()
+    records = {}
+    for m in made:
+        records[m.shard] = records.get(m.shard, 0) + m.records
+    assert sum(records.values()) == len(rows) and len(records) > 20 and max(records.values()) <= 60
+    order = sorted((r.shard, r.page_id) for r in spark.createDataFrame(rows, "page_id long, url string, html string").where("page_id is not null").withColumn("h", F.xxhash64("html")).withColumn("n", F.octet_length("html").cast("long")).transform(lambda d: d.withColumn("shard", warc._shards(d, 3600)[0])).collect())
+    assert [i for _, i in order] == sorted(i for i, _, _ in rows if i is not None)
+
+
 def test_damage_is_found():
     record = warc.encode_record(1, "u", b"payload")
     assert warc.decode_record(record)[2:5] == (7, hashlib.sha256(b"payload").hexdigest(), "response")
