@@ -84,6 +84,25 @@ def stem(word: str) -> str:
     return w
 
 
+class _Stems(dict):
+    """Stems of the words of a worker: most words of a text are few."""
+
+    def __missing__(self, word):
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = s = stem(word)
+        return s
+
+
+_STEMS = _Stems()
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stem_lists(lists: pd.Series) -> pd.Series:
+    """For columns of the words of a text, in order: rows stay where they are."""
+    return lists.map(lambda words: [_STEMS[w] for w in words])
+
+
 @F.pandas_udf(T.StringType())
 def stem_column(words: pd.Series) -> pd.Series:
     """For columns of distinct terms: a vocabulary, not a text."""

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.porter import stem, stem_column
+from ..functions.porter import stem, stem_lists
 from ..functions.text import _ACCENTED, _PLAIN, fts_tokens
 
 COLUMNS = ("path", "symbol_name", "symbol_type", "content")
@@ -42,8 +42,9 @@ class FtsIndex:
     buckets: int | None = None
 
     def statistics(self) -> tuple[float, float]:
-        """Rows and mean length, counted once an index."""
+        """Rows and mean length, counted once an index. Lengths of an index that isn't stored are kept: a number a symbol, for which all texts are read."""
         if self.counted is None:
+            self.lengths = self.lengths.persist()
             self.counted = tuple(self.lengths.agg(F.count("*").cast("double"), F.coalesce(F.avg("n"), F.lit(1.0))).first())
         return self.counted
 
@@ -52,11 +53,10 @@ def build_index(symbols: DataFrame, stemmed: bool = True) -> FtsIndex:
     """symbols: symbol_id and the four searched columns."""
     tokens = symbols.select("symbol_id", *(fts_tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in COLUMNS))
     lengths = tokens.select("symbol_id", sum(F.size(c) for c in COLUMNS).alias("n"))
+    if stemmed:  # before terms are rows: a join with stems would bring all postings of a frequent term together
+        tokens = tokens.select("symbol_id", *(stem_lists(c).alias(c) for c in COLUMNS))
     entries = tokens.select("symbol_id", F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).alias("terms")) for c in COLUMNS))).alias("e"))
     postings = entries.select("symbol_id", "e.col", F.posexplode("e.terms").alias("pos", "term"))
-    if stemmed:
-        vocabulary = postings.select("term").distinct().select("term", stem_column("term").alias("stem"))
-        postings = postings.join(vocabulary, "term").select("symbol_id", "col", "pos", F.col("stem").alias("term"))
     return FtsIndex(postings, lengths, stemmed)
 
 
@@ -366,8 +366,8 @@ def search(index: FtsIndex, queries: dict[int, str], spark: SparkSession) -> Dat
         kept = groups.select("query_id", "symbol_id", "col", F.explode(_near_clumps("all", "sizes", "distance")).alias("e")).select("query_id", "e.phrase", "symbol_id", "col", F.col("e.p").alias("p"))
         placed = placed.where("near < 0").select(*keys, "col", "p").unionByName(kept)
     tf = placed.groupBy(*keys).agg(F.count("*").cast("double").alias("f"))
+    rows_, mean = index.statistics()  # keeps the lengths, if they aren't stored
     scored = tf.join(F.broadcast(seen), ["query_id", "phrase"]).join(index.lengths, "symbol_id")
-    rows_, mean = index.statistics()
     idf = F.log((F.lit(rows_) - F.col("hits") + 0.5) / (F.col("hits") + 0.5))
     idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
     gain = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n") / F.lit(mean)))

@@ -15,8 +15,6 @@ IMPORT_SUFFIXES = (".py", "/__init__.py", ".ts", ".js", ".tsx", ".jsx")
 IMPORT = r"(?U)(?:from\s+(\.{0,3}[\w.]*)\s+import\s+[\w,\s*]+)|(?:import\s+([\w.]+))"
 CALLING_TYPES = ("function", "method", "chunk")
 LEAST_NAME = 3
-#: Names with a bracket in them are looked for by one pattern; more than this many are an error.
-MOST_ODD_NAMES = 10_000
 
 
 def node_id(path: Column, name: Column) -> Column:
@@ -58,26 +56,29 @@ def _odd_sites(s: DataFrame, odd: DataFrame) -> DataFrame:
     """Call sites of names with other characters, such as headings or line ranges.
 
     What stands before an opening bracket is cut to each length that a name has and joined by equality, so that
-    the number of names doesn't matter. Names that hold a bracket themselves are looked for by a pattern.
+    the number of names doesn't matter. For names that hold a bracket themselves, what stands before it goes back to the
+    beginning of the text, else to the bracket before.
     """
     keys = ("path", "symbol_name", "line_start")
     content = F.coalesce("content", F.lit(""))
-    plain = odd.where(~F.contains("callee", F.lit("(")))
-    lengths = [r[0] for r in plain.select(F.length("callee").alias("n")).distinct().collect()]
+    held = odd.select("callee", F.length("callee").alias("n"), F.contains("callee", F.lit("(")).alias("bracket")).distinct()
+    lengths = held.select("n", "bracket").distinct().collect()  # as many as names have lengths
     parts = F.split(content, r"\(", -1)
-    tails = s.select(*keys, F.explode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("part")).select(*keys, F.regexp_replace("part", r"(?U)\s+$", "").alias("tail"))
-    cuts = tails.select(*keys, "tail", F.explode(F.array(*(F.lit(n) for n in lengths)).cast("array<int>")).alias("n")).where(F.length("tail") >= F.col("n"))
-    callee, before = F.substring(F.col("tail"), F.length("tail") - F.col("n") + 1, F.col("n")), F.when(F.length("tail") > F.col("n"), F.substring(F.col("tail"), F.length("tail") - F.col("n"), F.lit(1))).otherwise("")
-    named = cuts.select(*keys, callee.alias("callee"), before.alias("before")).where(_is_word(F.substring("callee", 1, 1)) != _is_word(F.col("before")))
-    found = named.join(plain.distinct(), "callee", "left_semi").select(*keys, "callee").distinct()
-    bracketed = sorted((r.callee for r in odd.where(F.contains("callee", F.lit("("))).limit(MOST_ODD_NAMES + 1).collect()), key=lambda x: (-len(x), x))
-    if len(bracketed) > MOST_ODD_NAMES:
-        raise ValueError(f"more than {MOST_ODD_NAMES} names of functions hold a bracket")
-    if bracketed:
-        quoted = "|".join("\\Q" + n.replace("\\E", "\\E\\\\E\\Q") + "\\E" for n in bracketed)
-        more = F.array_distinct(F.regexp_extract_all(content, F.lit(rf"(?U)\b({quoted})\s*\("), F.lit(1)))
-        found = found.unionByName(s.select(*keys, F.explode(more).alias("callee")))
-    return found
+    inner = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    whole = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "("))
+    found = []
+    for bracket in (False, True):
+        sizes = sorted(r.n for r in lengths if r.bracket == bracket)
+        if not sizes:
+            continue
+        before = F.when(F.size(parts) > 1, whole if bracket else inner).otherwise(F.array().cast("array<string>"))
+        tails = s.select(*keys, F.explode(before).alias("part")).select(*keys, F.regexp_replace("part", r"(?U)\s+$", "").alias("tail"))
+        cuts = tails.select(*keys, "tail", F.explode(F.array(*(F.lit(n) for n in sizes)).cast("array<int>")).alias("n")).where(F.length("tail") >= F.col("n"))
+        callee = F.substring(F.col("tail"), F.length("tail") - F.col("n") + 1, F.col("n"))
+        left = F.when(F.length("tail") > F.col("n"), F.substring(F.col("tail"), F.length("tail") - F.col("n"), F.lit(1))).otherwise("")
+        named = cuts.select(*keys, callee.alias("callee"), left.alias("before")).where(_is_word(F.substring("callee", 1, 1)) != _is_word(F.col("before")))
+        found.append(named.join(held.where(F.col("bracket") == bracket).select("callee"), "callee", "left_semi").select(*keys, "callee").distinct())
+    return reduce(DataFrame.unionByName, found) if found else s.select(*keys, F.lit(None).cast("string").alias("callee")).limit(0)
 
 
 def import_refs(symbols: DataFrame) -> DataFrame:

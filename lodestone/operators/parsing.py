@@ -10,6 +10,7 @@ import ast
 import importlib
 import re
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -96,44 +97,70 @@ def python_symbols(text: str) -> list[Row]:
     return out
 
 
-#: Grammar node types to symbol types, by what their names contain; asked in this order.
-NODE_RULES: tuple[tuple[str, str], ...] = (
-    (r"^(import|use|using|include|preproc_include|package_clause|require|command|call)(_|$)|import", "import"),
-    (r"class|struct|interface|enum|trait|impl_item|type_alias|type_declaration|object_declaration|protocol|module$|instance|data_type", "class"),
-    (r"function|method|constructor|subroutine|arrow", "function"),
-    (r"variable|assignment|field_declaration|const|let_declaration|static_item|property|declaration$", "variable"),
-)
-
-
-def node_kind(node_type: str, rules=NODE_RULES) -> str | None:
-    return next((kind for pattern, kind in rules if re.search(pattern, node_type)), None)
-
-
-def grammar_symbols(text: str, language: str, rules=NODE_RULES) -> list[Row] | None:
-    """By a tree-sitter grammar; None where no grammar is installed or parsing fails."""
+# Languages whose grammar module has another name than their own, and the node types of each language that are symbols.
+GRAMMAR_MODULES = {"jsx": "tree_sitter_javascript", "tsx": "tree_sitter_typescript", "csharp": "tree_sitter_c_sharp"}
+_JAVASCRIPT = {
+    "function_declaration": "function", "function_expression": "function", "arrow_function": "function", "method_definition": "function",
+    "class_declaration": "class", "import_statement": "import", "variable_declaration": "variable", "lexical_declaration": "variable",
+}
+_TYPESCRIPT = {**_JAVASCRIPT, "interface_declaration": "class", "type_alias_declaration": "class", "enum_declaration": "class", "abstract_class_declaration": "class"}
+_C = {"function_definition": "function", "struct_specifier": "class", "enum_specifier": "class", "typedef_declaration": "class", "preproc_include": "import", "preproc_define": "variable"}
+NODE_TYPES: dict[str, dict[str, str]] = {
+    "python": {"function_definition": "function", "async_function_definition": "function", "class_definition": "class", "import_statement": "import", "import_from_statement": "import", "assignment": "variable"},
+    "javascript": _JAVASCRIPT,
+    "jsx": _JAVASCRIPT,
+    "typescript": _TYPESCRIPT,
+    "tsx": _TYPESCRIPT,
+    "java": {"method_declaration": "function", "constructor_declaration": "function", "class_declaration": "class", "interface_declaration": "class", "enum_declaration": "class", "import_declaration": "import", "field_declaration": "variable"},
+    "c": _C,
+    "cpp": {**_C, "class_specifier": "class", "function_declarator": "function", "namespace_definition": "class", "template_declaration": "function"},
+    "csharp": {"method_declaration": "function", "constructor_declaration": "function", "class_declaration": "class", "interface_declaration": "class", "struct_declaration": "class", "enum_declaration": "class", "using_directive": "import", "field_declaration": "variable", "property_declaration": "variable"},
+    "go": {"function_declaration": "function", "method_declaration": "function", "type_declaration": "class", "import_declaration": "import", "var_declaration": "variable", "const_declaration": "variable", "short_var_declaration": "variable"},
+    "rust": {"function_item": "function", "impl_item": "class", "struct_item": "class", "enum_item": "class", "trait_item": "class", "use_declaration": "import", "const_item": "variable", "static_item": "variable", "let_declaration": "variable", "mod_item": "class"},
+    "ruby": {"method": "function", "singleton_method": "function", "class": "class", "module": "class", "call": "import", "assignment": "variable"},
+    "php": {"function_definition": "function", "method_declaration": "function", "class_declaration": "class", "interface_declaration": "class", "trait_declaration": "class", "namespace_use_declaration": "import"},
+    "swift": {"function_declaration": "function", "class_declaration": "class", "struct_declaration": "class", "protocol_declaration": "class", "enum_declaration": "class", "import_declaration": "import", "variable_declaration": "variable"},
+    "kotlin": {"function_declaration": "function", "class_declaration": "class", "object_declaration": "class", "interface_declaration": "class", "import_header": "import", "property_declaration": "variable"},
+    "scala": {"function_definition": "function", "class_definition": "class", "object_definition": "class", "trait_definition": "class", "import_declaration": "import", "val_definition": "variable"},
+    "haskell": {"function": "function", "type_class": "class", "data_declaration": "class", "import": "import"},
+    "lua": {"function_declaration": "function", "local_function": "function", "assignment_statement": "variable"},
+    "r": {"function_definition": "function", "left_assignment": "variable", "library_call": "import"},
+    "bash": {"function_definition": "function", "variable_assignment": "variable", "command": "import"},
+    "css": {"rule_set": "function", "at_rule": "import"},
+}
+#: Fields of a node that may hold its name, in the order in which they are asked for.
+NAME_FIELDS = ("name", "identifier", "declarator")
+
+
+def syntax_tree(text: str, language: str):
+    """The root of the tree of a grammar; None where the language or its module is unknown or parsing fails."""
     try:
         ts = importlib.import_module("tree_sitter")
-        grammar = importlib.import_module(f"tree_sitter_{language}")
-        tree = ts.Parser(ts.Language(grammar.language())).parse(text.encode())
+        grammar = importlib.import_module(GRAMMAR_MODULES.get(language, f"tree_sitter_{language}"))
+        return ts.Parser(ts.Language(grammar.language())).parse(text.encode()).root_node
     except Exception:  # noqa: BLE001  any failure of an optional grammar means: no grammar
         return None
-    out: list[Row] = []
 
-    def name_of(node) -> str:
-        for field in ("name", "declarator"):
-            if (child := node.child_by_field_name(field)) is not None:
-                return child.text.decode(errors="replace")
-        found = next((c for c in node.children if c.type == "identifier"), None)
-        return found.text.decode(errors="replace") if found is not None else node.type
 
-    def visit(node) -> None:
-        kind = node_kind(node.type, rules) if node.is_named else None
-        if kind:
-            out.append((name_of(node), kind, node.start_point[0] + 1, node.end_point[0] + 1, node.text.decode(errors="replace")))
-        for child in node.children:
-            visit(child)
+def node_name(node) -> str:
+    named = (child for field in NAME_FIELDS if (child := node.child_by_field_name(field)) is not None)
+    child = next(named, None) or next((c for c in node.children if c.type == "identifier"), None)
+    return node.type if child is None else child.text.decode(errors="replace")
 
-    visit(tree.root_node)
+
+def grammar_symbols(text: str, language: str, tree: Callable[[str, str], Any] = syntax_tree) -> list[Row] | None:
+    """Symbols of a syntax tree in source order, nested ones too; None where there is no tree."""
+    types = NODE_TYPES.get(language)
+    root = tree(text, language) if types else None
+    if root is None:
+        return None
+    out: list[Row] = []
+    todo = [root]  # a stack of our own: trees may be deep
+    while todo:
+        node = todo.pop()
+        if kind := types.get(node.type):
+            out.append((node_name(node), kind, node.start_point[0] + 1, node.end_point[0] + 1, node.text.decode(errors="replace")))
+        todo += reversed(node.children)
     return out
 
 
@@ -146,24 +173,37 @@ def parse_text(text: str, language: str) -> list[Row]:
     return found or plain_chunks(ls)
 
 
+#: Text whose symbols make one batch of parsed_symbols().
+BATCH_CHARS = 4 << 20
+
+
 def parsed_symbols(files: DataFrame, parser: Callable[[str, str], list[Row]] = parse_text) -> DataFrame:
     """Symbols of files (path, language, content) by parser. A file that a parser fails on gets line chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["path", "symbol_name", "symbol_type", "line_start", "line_end", "content"]
         kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+        as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         for batch in batches:
+            rows, held = [], 0
             for path, language, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 try:
-                    rows = parser(text, language)
+                    found = parser(text, language)
                 except Exception:  # noqa: BLE001  one bad file must not end the job
-                    rows = plain_chunks(split_lines(text))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*((path, *r) for r in rows), strict=True), kinds, strict=True)], names)
+                    found = plain_chunks(split_lines(text))
+                rows += [(path, *r) for r in found]
+                held += len(text)
+                if held >= BATCH_CHARS:
+                    yield as_batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield as_batch(rows)
 
     return files.select("path", "language", F.coalesce("content", F.lit("")).alias("content")).mapInArrow(run, SYMBOLS)
 
 
 def extract_symbols(files: DataFrame) -> DataFrame:
-    """All symbols of files (path, language, content), each language by its own extractor."""
+    """All symbols of files (path, language, content), each language by its own extractor. A null language is an unknown one."""
+    known = files.withColumn("language", F.coalesce("language", F.lit("unknown")))
     by_text = F.col("language").isin(*TEXT_LANGUAGES)
-    return section_symbols(files.where(by_text)).unionByName(parsed_symbols(files.where(~by_text)))
+    return section_symbols(known.where(by_text)).unionByName(parsed_symbols(known.where(~by_text)))

@@ -104,6 +104,9 @@ def _best(corpus: DataFrame, shipped, digits: int | None) -> DataFrame:
                     scores = np.round(scores, digits)
                 for q, most in enumerate(limits.tolist()):
                     s, i = np.concatenate([kept[q][0], scores[q]]), np.concatenate([kept[q][1], symbols])
+                    if len(s) > most > 0:  # only what is as good as the last that is kept is sorted
+                        near = np.flatnonzero(s >= np.partition(s, len(s) - most)[len(s) - most])
+                        s, i = s[near], i[near]
                     best = np.lexsort((i, -s))[:most]
                     kept[q] = (s[best], i[best])
         n = [len(s) for s, _ in kept]

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
-from functools import cached_property
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ class Engine:
     def __init__(self, spark: SparkSession, index_dir: str, embedder: Callable[[], Embedder] | None = None, chunker: str = "lines", stemmed: bool = True, flags: Flags = Flags()):
         self.spark, self.store, self.embedder, self.chunker, self.stemmed, self.flags = spark, SnapshotStore(spark, index_dir), embedder, chunker, stemmed, flags
         self.watcher = None
+        self._parts: dict[str, Any] = {}
 
     # Building
 
@@ -38,9 +40,9 @@ class Engine:
         vectors = embed_symbols(symbols, self.embedder) if self.embedder else None
         return f.select("path", "language", "last_modified", "size"), symbols, vectors
 
-    def index_files(self, files: DataFrame) -> None:
-        """Indexes files given as a table (path, content, last_modified, size[, language]); those of the same paths are replaced."""
-        self.store.write(replace_files(self.store.read(), *self._index(files)))
+    def index_files(self, files: DataFrame, paths: DataFrame | None = None) -> None:
+        """Indexes files given as a table (path, content, last_modified, size[, language]); those of the same paths are replaced. paths: theirs, where they are cheaper to get than files."""
+        self.store.update((files if paths is None else paths).select("path"), lambda tables: replace_files(tables, *self._index(files)))
         self._forget()
 
     def build_index(self, root: str) -> DataFrame:
@@ -58,10 +60,11 @@ class Engine:
 
     def index_paths(self, root: str, paths: list[str]) -> None:
         listed = self.spark.createDataFrame([(p,) for p in paths], "path string")
-        self.index_files(read_files(listed, root).where("status = 'ok'"))
+        self.index_files(read_files(listed, root).where("status = 'ok'"), listed)
 
     def remove_files(self, paths: list[str]) -> None:
-        self.store.write(remove_files(self.store.read(), self.spark.createDataFrame([(p,) for p in paths], "path string")))
+        gone = self.spark.createDataFrame([(p,) for p in paths], "path string")
+        self.store.update(gone, lambda tables: remove_files(tables, gone))
         self._forget()
 
     def drop_index(self) -> None:
@@ -69,20 +72,32 @@ class Engine:
         self._forget()
 
     def _forget(self) -> None:
-        if "graphs" in self.__dict__:
-            self.graphs.release()
-        for name in ("tables", "fts", "graphs"):
-            self.__dict__.pop(name, None)
+        if "graphs" in self._parts:
+            self._parts["graphs"].release()
+        self._parts = {}
 
     # Parts
 
-    @cached_property
+    def _part(self, name: str, make: Callable[[], Any]) -> Any:
+        """A part of the current snapshot: made anew once a stream or another writer has made another."""
+        at = self.store.current()
+        if self._parts.get("at") != at:
+            self._forget()
+            self._parts["at"] = at
+        if name not in self._parts:
+            self._parts[name] = make()
+        return self._parts[name]
+
+    @property
     def tables(self) -> dict[str, DataFrame]:
-        return self.store.read()
+        return self._part("tables", self.store.read)
 
-    @cached_property
+    @property
     def fts(self) -> FtsIndex:
         """The inverted index of the current snapshot, stored beside it on first use."""
+        return self._part("fts", self._fts)
+
+    def _fts(self) -> FtsIndex:
         at = self.store.current()
         if at is None:
             return build_index(self.tables["symbols"], self.stemmed)
@@ -91,8 +106,11 @@ class Engine:
             save_index(build_index(self.tables["symbols"], self.stemmed), folder)
         return load_index(self.spark, folder)
 
-    @cached_property
+    @property
     def graphs(self) -> retrieve.Graphs:
+        return self._part("graphs", self._graphs)
+
+    def _graphs(self) -> retrieve.Graphs:
         s = self.tables["symbols"]
         return retrieve.Graphs(graph.call_nodes(s), graph.call_edges(s), graph.import_edges(s, self.tables["files"])).kept()
 
@@ -103,8 +121,11 @@ class Engine:
     def _vectors(self, queries: dict[int, str]) -> DataFrame | None:
         if self.embedder is None:
             return None
-        embed = self.embedder()
-        vectors = embed(list(queries.values()))
+        try:
+            vectors = self.embedder()(list(queries.values()))
+        except Exception as error:  # noqa: BLE001  whatever a model fails with: the lexical side answers alone
+            warnings.warn(f"queries are not embedded: {error}", stacklevel=2)
+            return None
         return self.spark.createDataFrame([(k, [float(x) for x in v]) for k, v in zip(queries, vectors, strict=True)], "query_id long, embedding array<double>")
 
     # Questions

@@ -44,7 +44,7 @@ def diff_listing(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def watch(events: DataFrame, store: SnapshotStore, index: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame | None]], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Applies a stream of events to the store, a snapshot per micro-batch.
+    """Applies a stream of events to the store, a snapshot per micro-batch, which writes the buckets of the changed paths alone.
 
     A batch that is tried again replaces the same paths by the same content, so its effect is that
     of one try. Within a batch only the last change of a path counts, as order is by arrival.
@@ -54,7 +54,7 @@ def watch(events: DataFrame, store: SnapshotStore, index: Callable[[DataFrame],
         last = last_changes(file_changes(batch)).persist()
         try:
             if not last.isEmpty():
-                store.write(apply_changes(store.read(), last, index))
+                store.update(last, lambda tables: apply_changes(tables, last, index))
         finally:
             last.unpersist()
 

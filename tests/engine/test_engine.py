@@ -125,3 +125,91 @@ def test_log_tail(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r.value for r in got] == lines[-1200:]
     assert [r.severity for r in got[-3:]] == [{0: "error", 1: "warning", 2: "success"}[i % 3] for i in range(4997, 5000)]
+
+
+def test_answers_are_those_of_the_newest_snapshot(spark, project, tmp_path):
+    """Another engine, as a stream would, changes the index: nothing is served from before."""
+    e, other = (Engine(spark, f"file://{tmp_path}/index") for _ in range(2))
+    e.ensure_index(str(project))
+    assert e.stats().first().file_count == 5 and "README.md" in {r.path for r in e.search("sockets").collect()}
+    other.remove_files(["README.md"])
+    assert e.stats().first().file_count == 4
+    assert "README.md" not in {r.path for r in e.search("sockets").collect()}
+
+
+def test_a_failing_embedder_leaves_the_lexical_side(spark, project, tmp_path):
+    def broken():
+        raise RuntimeError("no model")
+
+    e = Engine(spark, f"file://{tmp_path}/index")
+    e.ensure_index(str(project))
+    e.embedder = broken
+    with pytest.warns(UserWarning, match="no model"):
+        found = e.search("sockets").collect()
+    assert "README.md" in {r.path for r in found} and {r.combined_score for r in found} == {0.5}
+
+
+class Node:
+    """A syntax node as grammars give it, made by hand."""
+
+    def __init__(self, kind, text, line, children=(), **fields):
+        self.type, self.text, self.children, self.fields = kind, text.encode(), list(children), fields
+        self.start_point, self.end_point = (line, 0), (line + text.count("\n"), 0)
+
+    def child_by_field_name(self, name):
+        return self.fields.get(name)
+
+
+def test_syntax_trees_of_other_languages():
+    from lodestone.operators import parsing
+
+    name = lambda t: Node("identifier", t, 0)
+    inner = Node("method_declaration", "void go() {}", 2, name=name("go"))
+    root = Node("compilation_unit", "", 0, [
+        Node("using_directive", "using System;", 0, [Node("using", "using", 0), name("System")]),
+        Node("class_declaration", "class K {\n void go() {}\n}", 1, [inner], identifier=name("K")),
+        Node("comment", "// no", 5), Node("field_declaration", "int x;", 6),
+    ])
+    got = parsing.grammar_symbols("", "csharp", lambda text, language: root)
+    assert got == [("System", "import", 1, 1, "using System;"), ("K", "class", 2, 4, "class K {\n void go() {}\n}"), ("go", "function", 3, 3, "void go() {}"), ("field_declaration", "variable", 7, 7, "int x;")]
+    assert parsing.grammar_symbols("", "brainfuck", lambda text, language: root) is None
+    assert len(parsing.NODE_TYPES) == 21 and parsing.GRAMMAR_MODULES["csharp"] == "tree_sitter_c_sharp"
+    deep = Node("module", "", 0)
+    for _ in range(5000):
+        deep = Node("block", "", 0, [deep])
+    assert parsing.grammar_symbols("", "python", lambda text, language: deep) == []
+
+
+def test_files_of_no_language(spark):
+    from lodestone.operators.parsing import extract_symbols
+
+    files = spark.createDataFrame([("a", None, "one\ntwo\n"), ("b", "unknown", "one\ntwo\n"), ("c", None, None)], "path string, language string, content string")
+    got = {r.path: (r.symbol_type, r.line_start, r.line_end, r.content) for r in extract_symbols(files).collect()}
+    assert got["a"] == got["b"] and set(got) == {"a", "b", "c"}
+
+
+def test_calls_of_names_with_brackets(spark):
+    """However many such names there are."""
+    rows = [("a.md", "f(x) y", "chunk", 1, 2, "nothing"), ("b.md", "g", "chunk", 1, 2, "then f(x) y (1) and zz(f)(2)"), ("c.md", "(f)", "function", 1, 1, "-")]
+    rows += [("d.md", f"n{i}(", "chunk", i, i, "") for i in range(10_100)]
+    rows += [("e.md", "h", "function", 1, 1, "n7((3) n10099( (")]
+    symbols = spark.createDataFrame(rows, "path string, symbol_name string, symbol_type string, line_start int, line_end int, content string")
+    got = {(r.src, r.dst) for r in graph.call_edges(symbols).collect()}
+    assert got == {("b.md::g", "a.md::f(x) y"), ("b.md::g", "c.md::(f)"), ("e.md::h", "d.md::n7("), ("e.md::h", "d.md::n10099(")}
+
+
+def test_files_of_a_store(spark, project, tmp_path, monkeypatch):
+    """A URI gives what the folder gives, whether the driver lists all or executors list most."""
+    from lodestone.sources import files
+
+    for name in (".git/x", "build/y.py", "pkg/deep/er/.hidden.py", "a.egg-info/z", "pkg/deep/w.py", "b.png"):
+        (project / name).parent.mkdir(parents=True, exist_ok=True)
+        (project / name).write_text(name)
+    key = lambda r: (r.path, r.content, r.size, round(r.last_modified, 3), r.status)
+    for folders in (1, 2, 64):
+        monkeypatch.setattr(files, "LIST_FOLDERS", folders)
+        for watch in (False, True):
+            want, got = (sorted(map(key, files.read_files(files.list_files(spark, root, watch), root).collect())) for root in (str(project), f"file://{project}"))
+            assert want == got and len(want) > 5
+    gone = files.read_files(spark.createDataFrame([("none.py",)], "path string"), f"file://{project}").first()
+    assert (gone.status, gone.content) == ("unreadable", None)
