@@ -59,6 +59,29 @@ SOURCE_FILES = [
     ("s.go", "go", "package main\nfunc main() {}\n"),
 ]
 
+# Examples of the published description of the Porter algorithm, with the stems that its five steps give.
+STEMS = tuple(
+    x.split("/")
+    for x in (
+        "caresses/caress ponies/poni ties/ti caress/caress cats/cat feed/feed agreed/agre plastered/plaster bled/bled motoring/motor sing/sing conflated/conflat troubled/troubl sized/size hopping/hop tanned/tan falling/fall hissing/hiss fizzed/fizz "
+        "failing/fail filing/file happy/happi sky/sky relational/relat conditional/condit rational/ration valenci/valenc hesitanci/hesit digitizer/digit conformabli/conform radicalli/radic differentli/differ vileli/vile analogousli/analog "
+        "vietnamization/vietnam predication/predic operator/oper feudalism/feudal decisiveness/decis hopefulness/hope callousness/callous formaliti/formal sensitiviti/sensit sensibiliti/sensibl triplicate/triplic formative/form formalize/formal "
+        "electriciti/electr electrical/electr hopeful/hope goodness/good revival/reviv allowance/allow inference/infer airliner/airlin gyroscopic/gyroscop adjustable/adjust defensible/defens irritant/irrit replacement/replac adjustment/adjust "
+        "dependent/depend adoption/adopt homologou/homolog communism/commun activate/activ angulariti/angular homologous/homolog effective/effect bowdlerize/bowdler probate/probat rate/rate cease/ceas controll/control roll/roll"
+    ).split()
+)
+
+#: What parsing SOURCE_FILES gives, written down by hand.
+_METHOD = "async def go(self):\n        def inner(): pass\n        return 1"
+SOURCE_SYMBOLS = [
+    ("q.sql", "users", "class", 2, 4, "CREATE TABLE users (\n id int\n);\n"), ("q.sql", "chunk_5", "chunk", 5, 5, "select 1;\n"), ("q.sql", "f()", "function", 6, 6, "CREATE OR REPLACE FUNCTION f() AS x;\n"),
+    ("q.sql", "ix", "variable", 7, 7, "create index ix on t(a);\n"), ("q.sql", "chunk_9", "chunk", 9, 11, "WITH a AS (SELECT 1)\nSELECT * FROM a\n"),
+    ("e.sql", "chunk_1", "chunk", 1, 1, "-- nothing\n"),
+    ("m.py", "os", "import", 1, 1, "import os"), ("m.py", "a.b", "import", 2, 2, "from a.b import c"), ("m.py", "X", "variable", 3, 3, "X = 1"), ("m.py", "K", "class", 5, 9, f"class K(Base):\n    y: int = 2\n    {_METHOD}"),
+    ("m.py", "y", "variable", 6, 6, "y: int = 2"), ("m.py", "go", "function", 7, 9, _METHOD), ("m.py", "inner", "function", 8, 8, "def inner(): pass"),
+    ("bad.py", "chunk_1", "chunk", 1, 1, "def (:\n"), ("s.go", "chunk_1", "chunk", 1, 2, "package main\nfunc main() {}\n"),
+]
+
 LOG = [
     (0, "2024 | INFO | start"), (1, "2024 | ERROR | WARNING both"), (2, "2024 | WARNING | low"), (3, "2024 | SUCCESS | ok"), (4, "✓ done"), (5, "plain"), (6, "2024 | INFO | SUCCESS and ERROR"), (7, "end"),
 ]

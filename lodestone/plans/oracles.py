@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..config import SCOPES, SIGNALS
+from ..config import LEXICAL_ONLY_SCORE, SCOPES, SIGNALS, WELL_COVERED_HITS
 from ..functions.paths import BARE_NAMES, BINARY_SUFFIXES, LANGUAGES, SKIP_DIRS, WATCH_IGNORED_DIRS, WATCH_IGNORED_SUFFIXES
 from . import fixtures as X
 from .fixtures import quoted, values
@@ -87,6 +87,14 @@ _FTS = {
     "fts_first": ([_term("the") + " AND pos = 0"], _has(0)),
 }
 assert set(_FTS) | {"fts_near"} == set(FTS_QUERIES)
+#: Instances of both terms with at most three tokens between them; how rare a term is counts everywhere.
+_NEAR = f"""
+WITH {INDEX}, ne AS (
+  SELECT DISTINCT a.symbol_id, a.col, a.pos, a.term FROM po a JOIN po b ON a.symbol_id = b.symbol_id AND a.col = b.col AND abs(a.pos - b.pos) <= 4 WHERE (a.term = 'that' AND b.term = 'with') OR (a.term = 'with' AND b.term = 'that')
+), hits AS (
+  SELECT 0 AS query_id, CASE term WHEN 'that' THEN 0 ELSE 1 END AS phrase, symbol_id, count(*)::DOUBLE AS f FROM ne GROUP BY ALL
+), {_rank().replace("SELECT query_id, phrase, count(*)::DOUBLE AS n FROM hits GROUP BY query_id, phrase", "SELECT 0 AS query_id, CASE term WHEN 'that' THEN 0 ELSE 1 END AS phrase, count(DISTINCT symbol_id)::DOUBLE AS n FROM po WHERE term IN ('that', 'with') GROUP BY ALL")}
+SELECT path, line_start, round(rank, {DIGITS}) AS rank FROM rk JOIN sy USING (symbol_id) WHERE {_has(0)} AND {_has(1)}"""
 
 
 def _fts(conditions: list[str], tree: str, counts: str = "true", tail: str = "") -> str:
@@ -193,6 +201,29 @@ cf AS (SELECT query_id, max_files, max_symbols, max_tokens FROM ex JOIN {_SCOPES
 SELECT gr.query_id::BIGINT AS query_id, lower(scope_name) AS scope, (sum(tokens) OVER (PARTITION BY gr.query_id))::BIGINT AS total_tokens, reasoning AS explanation, path, language, n_symbols, round(relevance_score, {DIGITS}) AS relevance_score
 FROM gr JOIN ex USING (query_id)"""
 
+_CONTEXT_CTES = _CONTEXT[: _CONTEXT.rindex("SELECT gr.query_id")].rstrip()
+_CONTEXT_MARKDOWN = f"""{_CONTEXT_CTES}, fm AS (
+  SELECT cp.query_id, cp.path, avg(combined_score) AS relevance, min(r) AS first, sum(tokens) AS tokens, '## File: `' || cp.path || '` (relevance: ' || printf('%.2f', avg(combined_score)) || ')' || chr(10) || '**Language:** ' || arg_min(cp.language, cp.line_start) || chr(10) || chr(10)
+    || string_agg('### chunk: `' || cp.symbol_name || '` (lines ' || cp.line_start || '–' || sy.line_end || ')' || chr(10) || chr(10) || '```' || chr(10) || regexp_replace(cp.content, '\\s+$', '') || chr(10) || '```' || chr(10), chr(10) ORDER BY cp.line_start, r) AS body
+  FROM cp JOIN sy ON sy.path = cp.path AND sy.line_start = cp.line_start GROUP BY cp.query_id, cp.path
+), qm AS (
+  SELECT query_id, string_agg(body, chr(10) ORDER BY relevance DESC, first) AS body, sum(tokens)::BIGINT AS tokens FROM fm GROUP BY query_id
+)
+SELECT ex.query_id::BIGINT AS query_id, '# lodestone context — ' || lower(scope_name) || ' scope' || chr(10) || chr(10) || '**Task:** ' || task || chr(10) || '**Reasoning:** ' || CASE WHEN ex.query_id IN (SELECT query_id FROM re) THEN '' ELSE 'No results found. ' END || reasoning || chr(10)
+  || '**Estimated tokens:** ' || format('{{:,}}', coalesce(tokens, 0)) || chr(10) || chr(10) || coalesce(body, '_No relevant context found._') AS markdown
+FROM ex LEFT JOIN qm USING (query_id)"""
+_SEARCH_MARKDOWN = f"""
+WITH {_hybrid(str(2 * SEARCH_LIMIT), str(SEARCH_LIMIT), f'lim AS (SELECT * FROM {_LIM}),')}, sm AS (
+  SELECT re.query_id, string_agg('### `' || re.path || '` — chunk: `' || re.symbol_name || '` (lines ' || re.line_start || '-' || sy.line_end || ') score: ' || round(score, 3)::VARCHAR || chr(10) || '```' || re.language || chr(10) || re.content || chr(10) || '```' || chr(10), chr(10) ORDER BY combined_score DESC, re.path, re.line_start) AS body
+  FROM re JOIN sy USING (symbol_id) GROUP BY re.query_id
+)
+SELECT v.query_id::BIGINT AS query_id, CASE WHEN body IS NULL THEN 'No results found for `' || query || '`.' ELSE '## Search results for `' || query || '`' || chr(10) || chr(10) || body END AS markdown FROM {values(TASK_TEXTS.items(), 'query_id, query')} LEFT JOIN sm ON sm.query_id = v.query_id"""
+_EXPANDED_MARKDOWN = f"""
+WITH {SYM}, em AS (
+  SELECT path, string_agg('### chunk: ' || symbol_name || ' (lines ' || line_start || '-' || line_end || ')' || chr(10) || '```unknown' || chr(10) || content || chr(10) || '```' || chr(10), chr(10) ORDER BY line_start) AS body FROM sy GROUP BY path
+)
+SELECT doc_id::VARCHAR AS path, '## Expanded: ' || doc_id || chr(10) || coalesce(chr(10) || body, '') AS markdown FROM documents LEFT JOIN em ON path = doc_id::VARCHAR"""
+
 # Paths.
 _NAME = "list_extract(string_split(path, '/'), -1)"
 _SUFFIX = f"regexp_extract({_NAME}, '^.+(\\.[^.]+)$', 1)"
@@ -263,6 +294,36 @@ SELECT '## Project Structure' || chr(10) || chr(10) || '**Files:** ' || (SELECT
   || chr(10) || '### Most Depended-On Files' || chr(10) || (SELECT string_agg('  - `' || path || '` (' || n || ' dependents)', chr(10) ORDER BY n DESC, path) FROM (SELECT * FROM dg ORDER BY n DESC, path LIMIT 10)) AS markdown"""
 
 
+_GRAPH_TASKS = [(1, "open_socket", "open", "socket"), (2, "refactor OR across OR load_config OR anything", "load", "config")]
+_HAS_PHRASE = " OR ".join(f"regexp_matches(lower({c}), '(^|[^\\p{{L}}\\p{{N}}])' || w1 || '[^\\p{{L}}\\p{{N}}]+' || w2 || '($|[^\\p{{L}}\\p{{N}}])')" for c in ("path", "symbol_name", "symbol_type", "content"))
+#: Expansion: what the lexical side finds, the files of its callers and near its files, and all their symbols.
+_WITH_GRAPH = f"""
+WITH RECURSIVE {_explained("ta AS (SELECT query_id, task FROM " + values([t[:2] for t in _GRAPH_TASKS], "query_id, task") + ")")}, {_CODE}, {_IMPORTS}, {_UNDIRECTED},
+cf AS (SELECT query_id, max_files, max_symbols, max_tokens, use_callers, use_deps, search_depth FROM ex JOIN {_SCOPES} USING (scope)), al AS (
+  SELECT * FROM {values(X.CODE + X.IMPORTS, _SYMBOL)}
+), fo AS (
+  SELECT q.query_id, al.*, list_extract(string_split(list_extract(string_split(symbol_name, ':'), -1), '/'), -1) AS bare FROM al, (SELECT * FROM {values(_GRAPH_TASKS, 'query_id, task, w1, w2')}) q WHERE {_HAS_PHRASE}
+), bfs AS (
+  SELECT DISTINCT query_id, path, 0 AS hops FROM fo JOIN cf USING (query_id) WHERE use_deps UNION SELECT query_id, b, hops + 1 FROM bfs JOIN li ON a = path JOIN cf USING (query_id) WHERE hops < search_depth
+), xf AS (
+  SELECT fo.query_id, a.path FROM fo JOIN cf USING (query_id) JOIN co b ON b.bare = fo.bare JOIN ed ON dst = b.id JOIN co a ON src = a.id WHERE use_callers
+  UNION SELECT s.query_id, e.path FROM bfs s JOIN bfs e ON e.query_id = s.query_id WHERE s.hops = 0 AND e.path <> s.path AND e.hops > 0
+), cv AS (
+  SELECT query_id, path FROM fo GROUP BY ALL HAVING count(*) >= {WELL_COVERED_HITS}
+), {_capped(f"SELECT query_id, path, line_start, symbol_name, 'unknown' AS language, content, {LEXICAL_ONLY_SCORE}::DOUBLE AS score, {LEXICAL_ONLY_SCORE}::DOUBLE AS combined_score FROM fo UNION ALL SELECT query_id, path, line_start, symbol_name, 'unknown', content, 0, 0 FROM xf JOIN al USING (path) WHERE (query_id, path) NOT IN (SELECT (query_id, path) FROM cv)")}
+SELECT g.query_id::BIGINT AS query_id, lower(scope_name) AS scope, (row_number() OVER (PARTITION BY g.query_id ORDER BY relevance_score DESC, first) - 1)::INT AS place, path, n_symbols::INT AS n_symbols, round(relevance_score, {DIGITS}) AS relevance_score
+FROM gr g JOIN (SELECT query_id, path, min(r) AS first FROM cp GROUP BY ALL) USING (query_id, path) JOIN ex USING (query_id)"""
+_GRAPH_JSON = f"""
+WITH {_CODE}
+SELECT 'node' AS kind, to_json({{'id': id, 'symbol_name': symbol_name, 'file_path': path, 'line_start': line_start}})::VARCHAR AS value FROM co
+UNION ALL SELECT 'link', to_json({{'source': src, 'target': dst, 'caller_file': caller_file, 'callee_file': callee_file, 'line': line}})::VARCHAR FROM ed"""
+
+
+def _source_symbols(*paths: str) -> str:
+    rows = [r for r in X.SOURCE_SYMBOLS if not paths or r[0] in paths]
+    return f"SELECT path, symbol_name, symbol_type, line_start::INT AS line_start, line_end::INT AS line_end, content FROM {values(rows, _SYMBOL)}"
+
+
 # Sections of literal files.
 def _section_lines(*languages: str) -> str:
     rows = [r for r in X.SECTION_FILES if r[1] in languages]
@@ -308,6 +369,17 @@ _LAST = f"la AS (SELECT user_id::VARCHAR AS path, arg_max({_OPS}, ts::VARCHAR ||
 _APPLIED = f"""
 WITH {_LAST}, k AS (SELECT doc_id::VARCHAR AS path, lang AS language, n_chars AS size, CASE WHEN text = '' THEN 0 ELSE (len(string_split(rtrim(text, chr(10)), chr(10))) + 49) // 50 END AS n FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT path FROM la))
 SELECT path, language, size, n::BIGINT AS n_symbols FROM k UNION ALL SELECT path, 'text', 0, 0 FROM la WHERE op = 'upsert'"""
+_REINDEXED = f"""
+WITH {_LAST}, dx AS (
+  SELECT doc_id, lang, CASE WHEN op = 'upsert' THEN 'changed' || chr(10) || text ELSE text END AS text, op FROM documents LEFT JOIN la ON la.path = doc_id::VARCHAR WHERE op IS NULL OR op = 'upsert'
+), {LINES.replace("FROM documents)", "FROM dx)")}, {_chunks(50)}
+SELECT ck.path, any_value(language) AS language, count(*) AS n_symbols, sum(length(content))::BIGINT AS n_chars, (CASE WHEN any_value(op) = 'upsert' THEN sum(length(content)) ELSE 0 END)::BIGINT AS embedded_chars FROM ck JOIN dx ON ck.path = dx.doc_id::VARCHAR GROUP BY ck.path"""
+_LETTERS = "list_value(length(t) - length(replace(t, 'e', '')), length(t) - length(replace(t, 'n', '')), length(t) - length(replace(t, 'a', '')), length(replace(replace(replace(t, 'e', ''), 'n', ''), 'a', '')))::DOUBLE[]"
+_EMBEDDED = f"""
+WITH {SYM}, em AS (
+  SELECT symbol_id, {_LETTERS} AS v FROM (SELECT symbol_id, symbol_name || ' ' || symbol_type || ' ' || content AS t FROM sy)
+)
+SELECT symbol_id, dim::INT AS dim, round((x / n)::FLOAT::DOUBLE, 4) AS value FROM (SELECT symbol_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim, greatest(sqrt(list_dot_product(v, v)), 1e-12::DOUBLE) AS n FROM em)"""
 _MOVES = f"""
 WITH ev AS (SELECT * FROM {values(X.FILE_EVENTS, 'event_id, op, path, dest_path, is_directory')}), st AS (
   SELECT event_id, 0 AS part, path, CASE op WHEN 'deleted' THEN 'delete' WHEN 'moved' THEN 'delete' ELSE 'upsert' END AS op FROM ev WHERE NOT is_directory AND op IN ('created', 'modified', 'deleted', 'moved')
@@ -332,9 +404,12 @@ ORACLE_SQL = {
     "indexed_lookup": "SELECT DISTINCT (o_orderkey % 2000)::VARCHAR AS path, (o_orderkey % 2000) IN (SELECT doc_id FROM documents) AS indexed FROM orders",
     "file_symbols": f"WITH {SYM} SELECT path, row_number() OVER (PARTITION BY path ORDER BY line_start)::INT AS place, line_start, line_end FROM sy",
     **{name: _fts(*x) for name, x in _FTS.items()},
+    "fts_near": _NEAR,
+    "porter_stems": f"SELECT word, expected AS stem FROM {values(X.STEMS, 'word, expected')}",
     "fts_top": _fts(*_FTS["fts_or"], tail=f"ORDER BY round(rank, {DIGITS}), path, line_start LIMIT {SEARCH_LIMIT}"),
     "fts_normalised": _NORMALISED,
     "vec_l2_normalise": f"SELECT vec_id, (i - 1)::INT AS dim, round(x / nrm, {DIGITS}) AS value FROM (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS i, sqrt(list_dot_product(e, e)) AS nrm FROM (SELECT vec_id, list_transform(embedding, lambda x: (x * 4)::FLOAT)::DOUBLE[] AS e FROM embeddings))",
+    "vec_mean_pool": f"SELECT text, dim::INT AS dim, round(CASE WHEN sum(m) > 0 THEN sum(x * m) / sum(m) ELSE 0 END, {DIGITS}) AS value FROM (SELECT vec_id // 3 AS text, CASE WHEN vec_id % 4 = 1 THEN 0 ELSE 1 END AS m, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) GROUP BY ALL",
     "vec_cosine_pairs": f"SELECT a.vec_id, round({_DOT}, {DIGITS}) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "vec_topk": f"WITH {_TOPK} SELECT * FROM tk",
     "vec_topk_labels": f"WITH {_TOPK} SELECT query_id, label, count(*) AS n, round(max(score), {DIGITS}) AS best FROM tk JOIN embeddings ON vec_id = symbol_id GROUP BY ALL",
@@ -345,6 +420,10 @@ ORACLE_SQL = {
     "budget_cap": f"{_CAPPED} SELECT query_id::BIGINT AS query_id, path, line_start, tokens, round(combined_score, {DIGITS}) AS combined_score FROM cp",
     "top_files_symbols": f"{_CAPPED} SELECT query_id::BIGINT AS query_id, path, n_symbols, round(relevance_score, {DIGITS}) AS relevance_score, tokens FROM gr",
     "context_result": _CONTEXT,
+    "context_markdown": _CONTEXT_MARKDOWN,
+    "context_with_graph": _WITH_GRAPH,
+    "search_markdown": _SEARCH_MARKDOWN,
+    "expanded_markdown": _EXPANDED_MARKDOWN,
     "expand_context": f"WITH {SYM} SELECT path, 'unknown' AS language, count(*) AS n_symbols, sum(length(content))::BIGINT AS n_chars, 1.0::DOUBLE AS relevance_score FROM sy GROUP BY path",
     "call_sites": f"WITH {SYM} SELECT DISTINCT path, line_start, unnest(regexp_extract_all(content, '\\b([\\p{{L}}\\p{{N}}_]+)\\s*\\(', 1)) AS callee FROM sy",
     "call_nodes": f"WITH {_CODE} SELECT id, symbol_name, path AS file_path, line_start::INT AS line_start FROM co",
@@ -360,6 +439,7 @@ ORACLE_SQL = {
     **{f"related_files_k{k}": _related(k) for k in (1, 2, 3)},
     "entry_points": f"WITH {_IMPORTS}, {_DEGREES} SELECT path FROM dg WHERE n = 0",
     "hotspots": f"WITH {_IMPORTS}, {_DEGREES} SELECT path AS file_path, n AS dependent_count FROM dg ORDER BY n DESC, path LIMIT 5",
+    "graph_json": _GRAPH_JSON,
     "structure_report": _STRUCTURE,
     "stats_report": _STATS.replace("SELECT (SELECT count(*) FROM documents) AS file_count, (SELECT count(*) FROM sy) AS symbol_count", "SELECT '## lodestone stats' || chr(10) || chr(10) || '**Indexed files:** ' || (SELECT count(*) FROM documents) || chr(10) || '**Total symbols:** ' || (SELECT count(*) FROM sy) || chr(10) || '**DB size:** 0 KB' || chr(10) || '**Watcher:** stopped' AS markdown"),
     "md_sections": _MD,
@@ -368,8 +448,13 @@ ORACLE_SQL = {
     "docker_blocks": _DOCKER,
     "sized_chunks": _SIZED,
     "html_document": "SELECT page_id::VARCHAR AS path, 'document' AS symbol_name, 'chunk' AS symbol_type, 1 AS line_start, len(string_split(rtrim(html, chr(10)), chr(10)))::INT AS line_end, length(html) AS n_chars FROM pages",
+    "sql_symbols": _source_symbols("q.sql", "e.sql"),
+    "py_symbols": _source_symbols("m.py", "bad.py"),
+    "parsed_symbols": _source_symbols(),
     "cdc_latest_op": f"WITH {_LAST} SELECT * FROM la",
     "cdc_apply": _APPLIED,
+    "cdc_reindex": _REINDEXED,
+    "embedded_symbols": _EMBEDDED,
     "cdc_moves": _MOVES,
     "listing_diff": "SELECT doc_id::VARCHAR AS path, 'upsert' AS op FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0 UNION ALL SELECT 'gone', 'delete'",
     "upsert_replace": "SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 10 = 3 THEN 'new' ELSE lang END AS language, n_chars AS size FROM documents UNION ALL SELECT 'new.py', 'python', 7",

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import scope_config
+from ..config import SEARCH_CAP, scope_config
 from ..functions import paths as P
+from ..functions.porter import stem_column
 from ..functions.text import estimated_tokens, lines
-from ..functions.vectors import l2_normalise
+from ..functions.vectors import l2_normalise, mean_pool
 from ..operators import chunking, classify, fts, fusion, graph, parsing, render, retrieve, store, vector_search
 from ..schemas import SYMBOL_COLUMNS, SYMBOLS
 from ..sources import logs
@@ -129,6 +130,10 @@ def fts_porter(spark, d):
     return _lexical(spark, d, {0: "anding OR handed"}, stemmed=True).join(s, "symbol_id").select("path", "line_start", F.round("rank", DIGITS).alias("rank"))
 
 
+def porter_stems(spark, d):
+    return spark.createDataFrame(list(X.STEMS), "word string, expected string").select("word", stem_column(F.col("word")).alias("stem"))
+
+
 def fts_top(spark, d):
     return _fts("fts_or")(spark, d).orderBy("rank", "path", "line_start").limit(SEARCH_LIMIT)
 
@@ -149,6 +154,15 @@ def vec_cosine_pairs(spark, d):
     return vector_search.similarity(pairs).select("vec_id", F.round("score", DIGITS).alias("score"))
 
 
+def vec_mean_pool(spark, d):
+    """Vectors of three neighbours as the tokens of one text, of which the mask leaves some out."""
+    v = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 3).alias("text"), F.struct("vec_id", F.col("embedding").cast("array<double>").alias("e"), F.when(F.col("vec_id") % 4 == 1, 0.0).otherwise(1.0).alias("m")).alias("t"))
+    tokens = v.groupBy("text").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    size = len(table(spark, d, "embeddings").select("embedding").first()[0])
+    pooled = tokens.select("text", mean_pool(F.transform("t", lambda x: x.e), F.transform("t", lambda x: x.m), size).alias("e"))
+    return pooled.select("text", F.posexplode("e").alias("dim", "x")).select("text", "dim", F.round("x", DIGITS).alias("value"))
+
+
 def _vector_queries(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
@@ -167,9 +181,9 @@ def _task_vectors(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").join(F.broadcast(asked), "vec_id").select("query_id", "embedding")
 
 
-def _hybrid(spark, d) -> DataFrame:
-    limits = spark.createDataFrame([(k, SEARCH_LIMIT) for k in TASK_TEXTS], "query_id long, fetch int")
-    semantic = vector_search.top_k(_task_vectors(spark, d), _vectors(spark, d), 2 * SEARCH_LIMIT, DIGITS)
+def _hybrid(spark, d, limit: int = SEARCH_LIMIT) -> DataFrame:
+    limits = spark.createDataFrame([(k, limit) for k in TASK_TEXTS], "query_id long, fetch int")
+    semantic = vector_search.top_k(_task_vectors(spark, d), _vectors(spark, d), 2 * limit, DIGITS)
     lexical = _lexical(spark, d, TASK_TEXTS).withColumn("rank", F.round("rank", DIGITS))
     return retrieve.hybrid(semantic, lexical, limits, digits=DIGITS)
 
@@ -219,8 +233,12 @@ def top_files_symbols(spark, d):
 
 
 def _contexts(spark, d) -> DataFrame:
+    return contexts(spark, d, _lexical(spark, d, TASK_TEXTS).withColumn("rank", F.round("rank", DIGITS)))
+
+
+def contexts(spark, d, lexical: DataFrame) -> DataFrame:
+    """Contexts of the tasks, whatever index their lexical hits come from."""
     tasks = spark.createDataFrame(list(TASK_TEXTS.items()), "query_id long, task string")
-    lexical = _lexical(spark, d, TASK_TEXTS).withColumn("rank", F.round("rank", DIGITS))
     return retrieve.get_context(tasks, _task_vectors(spark, d), lexical, _symbols(spark, d), _files(spark, d), _vectors(spark, d), None, digits=DIGITS)
 
 
@@ -233,6 +251,18 @@ def context_markdown(spark, d):
     return render.context_markdown(_contexts(spark, d))
 
 
+def search_markdown(spark, d):
+    """As Engine.search_markdown with a limit beyond the cap, for a batch of queries."""
+    asked = spark.createDataFrame(list(TASK_TEXTS.items()), "query_id long, query string")
+    hits = retrieve.hits_with_symbols(_hybrid(spark, d, min(10 * SEARCH_CAP, SEARCH_CAP)), _symbols(spark, d), _files(spark, d))
+    return render.search_markdown(asked, hits)
+
+
+def expanded_markdown(spark, d):
+    asked = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"))
+    return render.expanded_markdown(retrieve.expand_context(_symbols(spark, d), _files(spark, d), asked))
+
+
 def expand_context(spark, d):
     asked = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"))
     e = retrieve.expand_context(_symbols(spark, d), _files(spark, d), asked)
@@ -352,6 +382,18 @@ def html_document(spark, d):
     return chunking.section_symbols(pages).select("path", "symbol_name", "symbol_type", "line_start", "line_end", F.length("content").cast("long").alias("n_chars"))
 
 
+def sql_symbols(spark, d):
+    return _parsed(spark, "sql")
+
+
+def py_symbols(spark, d):
+    return _parsed(spark, "python")
+
+
+def _parsed(spark, language: str) -> DataFrame:
+    return parsing.parsed_symbols(spark.createDataFrame([r for r in X.SOURCE_FILES if r[1] == language], "path string, language string, content string"))
+
+
 def parsed_symbols(spark, d):
     return parsing.extract_symbols(spark.createDataFrame(X.SOURCE_FILES, "path string, language string, content string"))
 
@@ -386,6 +428,38 @@ def cdc_apply(spark, d):
     return counted.join(n, "path", "left").select("path", "language", "size", F.coalesce("n_symbols", F.lit(0)).cast("long").alias("n_symbols"))
 
 
+def cdc_reindex(spark, d):
+    """Documents after the changes: deleted ones gone, changed ones indexed anew with a line in front, symbols and vectors with them."""
+    f = _files(spark, d).drop("content")
+    tables = {"files": f, "symbols": _symbols(spark, d).select(*SYMBOL_COLUMNS, "symbol_id"), "embeddings": _vectors(spark, d)}
+
+    def index(paths):
+        files = _files(spark, d).join(paths, "path", "left_semi").withColumn("content", F.concat(F.lit("changed\n"), "content"))
+        symbols = chunking.chunk_files(files).withColumn("symbol_id", fts.symbol_id())
+        return files.drop("content"), symbols.select(*SYMBOL_COLUMNS, "symbol_id"), symbols.select("symbol_id", F.array(F.length("content").cast("float")).alias("embedding"))
+
+    after = cdc.apply_changes(tables, _event_changes(spark, d), index)
+    new = after["symbols"].join(after["embeddings"].where("size(embedding) = 1"), "symbol_id", "left")
+    n = new.groupBy("path").agg(F.count("*").alias("n_symbols"), F.sum(F.length("content").cast("long")).alias("n_chars"), F.coalesce(F.sum(F.get("embedding", F.lit(0)).cast("long")), F.lit(0)).cast("long").alias("embedded_chars"))
+    return after["files"].select("path", "language").join(n, "path")
+
+
+def embedded_symbols(spark, d):
+    """With a stand-in for a model: shares of three letters and all others, to unit length."""
+
+    def factory():
+        import numpy as np
+
+        def embed(texts):
+            out = np.array([[t.count("e"), t.count("n"), t.count("a"), len(t) - t.count("e") - t.count("n") - t.count("a")] for t in texts], dtype=np.float64)
+            return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+        return embed
+
+    e = vector_search.embed_symbols(_symbols(spark, d), factory)
+    return e.select("symbol_id", F.posexplode("embedding").alias("dim", "x")).select("symbol_id", "dim", F.round(F.col("x").cast("double"), 4).alias("value"))
+
+
 def cdc_moves(spark, d):
     return cdc.last_changes(cdc.file_changes(_events(spark)))
 
@@ -435,9 +509,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_lines_50, chunk_lines_30, chunk_lines_20, file_line_stats, language_breakdown, index_stats, structure_totals, token_estimate, savings_report, path_language, skip_predicate, indexed_lookup, file_symbols,
-        fts_porter, fts_top, fts_normalised, vec_l2_normalise, vec_cosine_pairs, vec_topk, vec_topk_labels, hybrid_search, classify_tasks, explain_tasks, scope_limits, budget_cap, top_files_symbols, context_result, context_markdown, expand_context, context_with_graph,
+        fts_porter, porter_stems, fts_top, fts_normalised, vec_l2_normalise, vec_mean_pool, vec_cosine_pairs, vec_topk, vec_topk_labels, embedded_symbols, hybrid_search, classify_tasks, explain_tasks, scope_limits, budget_cap, top_files_symbols, context_result, context_markdown, search_markdown, expanded_markdown, expand_context, context_with_graph,
         call_sites, call_nodes, call_edges, callers, callees, callers_markdown, import_refs, import_edges, deps, dependents, deps_markdown, entry_points, hotspots, graph_json, structure_report, stats_report,
-        md_sections, yaml_chunks, toml_symbols, docker_blocks, sized_chunks, html_document, parsed_symbols, cdc_latest_op, cdc_apply, cdc_moves, listing_diff, upsert_replace, remove_cascade, index_counts, log_tail, log_tail_by_source,
+        md_sections, yaml_chunks, toml_symbols, docker_blocks, sized_chunks, html_document, sql_symbols, py_symbols, parsed_symbols, cdc_latest_op, cdc_apply, cdc_reindex, cdc_moves, listing_diff, upsert_replace, remove_cascade, index_counts, log_tail, log_tail_by_source,
     )
 }
 QUERIES |= {name: _fts(name) for name in FTS_QUERIES}
