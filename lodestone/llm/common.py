@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -43,12 +44,52 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Paths that saved() wrote within each open scratch().
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes at its end what saved() wrote inside. What shall stay is taken out of the list that it gives; the last entry is what was written last."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
+        for path in made:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Spark's own setting by which a finished statement drops its shuffle files.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as Parquet below the shared folder and reads it back: as checkpoint(), but columnar and compressed."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    """Writes df as Parquet below the shared folder and reads it back: as checkpoint(), but columnar and compressed. What the statement shuffled is dropped with it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    schema, before = df.schema, spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    if _open:
+        _open[-1].append(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def partitions(df: DataFrame, bytes_each: int) -> int:
+    """Shuffle partitions for work on df: those of the session, or more where its files are known to be large. A count that is given can't be changed at run time."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, size // bytes_each) if size < 1 << 52 else least  # a size beyond is Spark's "unknown"
 
 
 def text_or_empty(column: str = "text"):

@@ -19,7 +19,7 @@ The base score needs exact counts. Tokens of at least the count that leaves HEAD
 them are broadcast; all rarer tokens meet their counts by a shuffle join on the hash. Which way a
 token goes changes no number.
 
-Nulls are empty texts, which have the end token alone. A null doc_id counts as the empty string
+Nulls are empty texts, which have the end token alone. Texts of any length are scored whole. A null doc_id counts as the empty string
 (remainder 0: it trains). Repeated rows count and are scored as often as they occur. Without
 any training document N and V are 0. Extra columns are ignored.
 """
@@ -34,8 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, saved, table, text_or_empty
-from .spans import release
+from .common import map_slices, partitions, saved, slices, table, text_or_empty
 
 FOLDS, HELD = 7, 2
 LAMBDA = 0.3
@@ -44,6 +43,10 @@ BITS_PER_ENTRY, PROBES, BLOCK_BYTES = 10, 5, 1 << 16
 PART_BLOCKS = 256
 HEAD_TOKENS = 1 << 20
 SLICE_BYTES = 4 << 20
+#: Bytes of stored input a shuffle partition.
+TASK_BYTES = 64 << 20
+#: An n-gram of this count in a slice is common; so many are held by a task.
+COMMON, HELD_ENTRIES = 8, 1 << 20
 END = b""
 #: Middle of a count range over its lower end.
 MID = 4 / 3
@@ -95,21 +98,47 @@ def _bytes(column: pa.Array) -> list[bytes]:
 def count_ngrams(docs: DataFrame) -> DataFrame:
     """h, c of all unigrams and bigrams of docs (text)."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def as_batch(h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
+
+    def counted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         ids, bounds, hashes = tokenise(_bytes(batch.column(0)))
-        if not len(ids):
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["h", "c"])
         end = int(ids[bounds[1] - 1])
         before = contexts(ids, bounds, end)
         # One number a pair sorts faster than two columns do.
         pairs, n2 = np.unique(before * len(hashes) + ids, return_counts=True)
         h2 = pair_hashes(hashes[pairs // len(hashes)], hashes[pairs % len(hashes)])
         n1 = np.bincount(ids, minlength=len(hashes))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([hashes, h2]).view(np.int64)), pa.array(np.concatenate([n1, n2]).astype(np.int64))], ["h", "c"])
+        return np.concatenate([hashes, h2]), np.concatenate([n1, n2])
+
+    def run(batches):
+        """N-grams that are common in a slice are summed over the slices of the task, so that each costs a row a task; the others wouldn't meet."""
+        held, size = [], 0
+
+        def summed():
+            h, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            return h, np.bincount(at, weights=np.concatenate([x[1] for x in held]), minlength=len(h)).astype(np.int64)
+
+        for part in slices(batches, "text", SLICE_BYTES):
+            if not part.num_rows:
+                continue
+            h, c = counted(part)
+            common = c >= COMMON
+            yield as_batch(h[~common], c[~common])
+            held.append((h[common], c[common]))
+            size += len(held[-1][0])
+            if size > HELD_ENTRIES:
+                held = [summed()]
+                size = len(held[0][0])
+                if size > HELD_ENTRIES // 2:
+                    yield as_batch(*held[0])
+                    held, size = [], 0
+        if held:
+            yield as_batch(*summed())
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions(docs, TASK_BYTES // 4)
     # Slices are counted already: another partial aggregation would hash mostly distinct pairs for nothing.
-    return map_slices(docs.select("text"), "text", run, "h long, c long", SLICE_BYTES).repartition(n, "h").groupBy("h").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, "h long, c long").repartition(n, "h").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 class Filter:
@@ -193,7 +222,7 @@ def filter_blocks(entries: DataFrame, blocks: int) -> DataFrame:
         if held:
             yield flush()
 
-    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions(entries, TASK_BYTES)
     return entries.select("h", "c").mapInArrow(place, "block long, h long, c long").repartition(n, "block").sortWithinPartitions("block").mapInArrow(make, "block long, bits binary")
 
 
@@ -242,7 +271,7 @@ def levels_by_shuffle(cut: DataFrame, made: DataFrame, blocks: int) -> DataFrame
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["slice", "part", "level"])
 
-    n = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions(cut, TASK_BYTES)
     held = made.select(F.floor(F.col("block") / per_part).cast("long").alias("part"), "block", F.lit(None).cast("long").alias("slice"), F.col("bits").alias("data"))
     asked = cut.select("slice", "ids", "bounds", "hashes").mapInArrow(ask, "part long, block long, slice long, data binary")
     return held.union(asked).repartition(n, "part").sortWithinPartitions("part", F.col("block").isNull()).mapInArrow(answer, "slice long, part long, level binary")
@@ -287,7 +316,6 @@ def score(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -
     key = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), (F.crc32(key.cast("binary")) % FOLDS == HELD).alias("held_out"), text_or_empty(text).alias("text"))
     counts = saved(count_ngrams(docs.where("not held_out")), "ngrams")
-    release(spark)
     total, types, head_from, n_entries, mids = _thresholds(counts)
     two = F.col("h").bitwiseAND(1) == 1
     blocks = n_blocks(n_entries)
@@ -342,7 +370,7 @@ def score(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -
         pieces = "slice long, docs array<long>, held array<boolean>, ids binary, bounds binary, hashes binary"
         written = saved(map_slices(docs.withColumn("row", F.monotonically_increasing_id()), "text", cut, pieces, SLICE_BYTES), "lm-slices")
         levels = saved(levels_by_shuffle(written, filter_blocks(counts, blocks), blocks), "lm-levels")
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n = partitions(written, TASK_BYTES)
         both = levels.unionByName(written, allowMissingColumns=True)
         rows = both.repartition(n, "slice").sortWithinPartitions("slice", F.col("part").isNull(), "part").mapInArrow(gather, schema)
     else:

@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import gc
-import time
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-#: Stands for a null id inside the operators; sorts first.
+#: Stands for a null id inside the operators; sorts first. A real id of that value has other hashes.
 NULL_ID = -(1 << 63)
 
 
 def keyed(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, rid, text: rows that share id and text are one document, rows that share an id alone are told apart by the hash of the text."""
-    t = text_or_empty(text)
-    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(t).alias("rid"), t.alias("text"))
+    """doc, rid, text, none (whether the id is null): rows that share id and text are one document, rows that share an id alone are told apart by the hash of the text."""
+    t, none = text_or_empty(text), F.col(id_column).isNull()
+    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("doc"), F.when(none, F.xxhash64(t, F.lit("none"))).otherwise(F.xxhash64(t)).alias("rid"), t.alias("text"), none.alias("none"))
 
 
 def not_first(keys: tuple[np.ndarray, ...], places: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -41,7 +38,7 @@ def not_first(keys: tuple[np.ndarray, ...], places: tuple[np.ndarray, ...]) -> n
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc, rid, text, cuts (array of start, end; null where nothing goes). spans: doc, rid, start, end."""
+    """doc, rid, text, none, cuts (array of start, end; null where nothing goes). spans: doc, rid, start, end."""
     cuts = spans.groupBy("doc", "rid").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
     return docs.join(cuts, ["doc", "rid"], "left")
 
@@ -54,11 +51,3 @@ def merged(cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
         else:
             out.append((a, b))
     return out
-
-
-def release(spark) -> None:
-    """Lets Spark drop the shuffle files of finished jobs whose DataFrames are gone, so that they don't add up over the phases."""
-    for _ in range(2):  # the cleaner works in the background, on what a collection has found
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.8)

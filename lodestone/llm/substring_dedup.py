@@ -13,7 +13,7 @@ original text (code points, end exclusive), together with the white space that f
 Occurrences that a slice of a few megabytes already knows to be later than another are marked
 there and do not meet at the digest's task, so a very common line costs one row a slice.
 
-Nulls are empty texts without units. A null doc_id ranks before all others. Rows that share
+Nulls are empty texts without units. Texts and units of any length are taken whole. A null doc_id ranks before all others. Rows that share
 doc_id and text are one document and get the same result; within one text later repeats go.
 Extra columns are ignored by removals() and kept by nothing else; empty tables give empty results.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_slices, saved, table
-from .spans import NULL_ID, keyed, merged, not_first, release, with_spans
+from .spans import keyed, merged, not_first, with_spans
 
 MIN_WORDS = 5
 _LINE = re.compile(r"[^\n]+")
@@ -126,11 +126,10 @@ def removals(documents: DataFrame, unit: str = "line", sentences: bool = True, m
     """Per document: doc_id, n_chars, n_removed (characters), n_spans, spans (start, end), text (what stays)."""
     docs = keyed(documents)
     gone = saved(removed_spans(docs, unit, sentences, min_words, whole), "substring")
-    release(documents.sparkSession)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, out = [], []
-        for doc, text, cuts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for doc, text, none, cuts in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "none", "cuts")), strict=True):
             spans = []
             for c in cuts or ():
                 b = c["end"]
@@ -142,7 +141,7 @@ def removals(documents: DataFrame, unit: str = "line", sentences: bool = True, m
                 kept.append(text[at:a])
                 at = b
             kept.append(text[at:])
-            ids.append(None if doc == NULL_ID else doc)
+            ids.append(None if none else doc)
             out.append((len(text), sum(b - a for a, b in spans), len(spans), [{"start": a, "end": b} for a, b in spans], "".join(kept)))
         cols = list(zip(*out, strict=True))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.string())

@@ -6,7 +6,7 @@ document and earlier start) goes. Three phases, none of which holds a corpus in
 1. Dealing. Each window (string of WINDOW bytes) belongs to its minimizer, the least-hashed
    K-byte string in it; runs of windows with one minimizer form a piece, so that pieces hold
    every window once and equal windows always carry equal minimizers. Only hashes travel:
-   (minimizer, hash of the piece, place). Of equal pieces all but the earliest go whole, as all
+   (minimizer, hash of the piece in 128 bits, place). Of equal pieces all but the earliest go whole, as all
    their windows start earlier elsewhere. Minimizers with one piece content are done (unless
    the piece repeats its minimizer and so may repeat itself). Later copies within a slice are
    marked before the shuffle, so a group of copies costs its tasks one row a slice.
@@ -22,11 +22,11 @@ document and earlier start) goes. Three phases, none of which holds a corpus in
    ranked one by one, by two hashes, after each slice has dealt with its own copies.
 3. Cut. Spans are merged per document and removed.
 
-Hashes only decide who is compared, and equality of pieces by 128 bits (minimizer and piece).
+Hashes decide who is compared, and, by 128 bits, which pieces are equal; in a collection that is built, bytes do.
 
 Nulls are empty texts. A null doc_id ranks first. Rows that share doc_id and text are one
 document and get the same result; other rows that share a doc_id rank by the hash of their text.
-Texts shorter than WINDOW are left alone. Extra columns are ignored.
+Texts shorter than WINDOW are left alone; longer ones of any length are taken whole, in segments. Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_slices, saved, table
-from .spans import NULL_ID, keyed, merged, not_first, release, with_spans
+from .common import checkpoint, map_slices, partitions, saved, table
+from .spans import keyed, merged, not_first, with_spans
 
 WINDOW, K = 100, 16
 #: Windows a piece at most: bounds the rounds of the construction to MOST_WINDOWS + WINDOW.
@@ -163,8 +163,8 @@ def _utf8(column: pa.Array) -> list[bytes]:
 
 
 def deal(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """mini, content, doc, rid, place of all pieces."""
-    names = ["mini", "content", "doc", "rid", "place"]
+    """mini, c1, c2 (a hash of the piece in 128 bits), doc, rid, place of all pieces."""
+    names = ["mini", "c1", "c2", "doc", "rid", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,30 +177,31 @@ def deal(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     starts, counts, mini, twice = pieces(np.frombuffer(blob, dtype=np.uint8), bounds, window)
                     if not len(starts):
                         continue
-                    digest, view = xxhash.xxh3_64_intdigest, memoryview(blob)
-                    content = np.fromiter((digest(view[a:b]) for a, b in zip(starts.tolist(), (starts + counts + window - 1).tolist(), strict=True)), dtype=np.uint64, count=len(starts))
+                    digest, view = xxhash.xxh3_128_digest, memoryview(blob)
+                    content = np.frombuffer(b"".join(digest(view[a:b]) for a, b in zip(starts.tolist(), (starts + counts + window - 1).tolist(), strict=True)), dtype="<i8").reshape(-1, 2)
+                    c1, c2 = content[:, 0].copy(), content[:, 1].copy()
                     at = np.searchsorted(bounds, starts, side="right") - 1
                     row = np.array(number)[at] + i
                     start = starts - bounds[at] + np.array(offset)[at]
                     d, r = doc[row], rid[row]
-                    later = not_first((mini, content), (d, r, start))
+                    later = not_first((mini, c1, c2), (d, r, start))
                     # Marked rows meet nobody: they take a key of their own.
                     key = np.where(later, (r.view(np.uint64) + start.astype(np.uint64)) * np.uint64(_B), mini)
                     place = (start << _START) | (later.astype(np.int64) << _LATER) | (twice.astype(np.int64) << _TWICE) | counts
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), content.view(np.int64), d, r, place)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), c1, c2, d, r, place)], names)
 
-    return docs.select("doc", "rid", "text").mapInArrow(run, "mini long, content long, doc long, rid long, place long")
+    return docs.select("doc", "rid", "text").mapInArrow(run, "mini long, c1 long, c2 long, doc long, rid long, place long")
 
 
 def judge(dealt: DataFrame) -> DataFrame:
     """mini, doc, rid, place, build: pieces that go whole (build false) and those whose windows must be compared (build true). Streams over sorted partitions and keeps one row."""
-    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions(dealt, 32 << 20)  # pieces take more than their texts do
     names = ["mini", "doc", "rid", "place", "build"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = first = None  # the row before; the first content of its minimizer, until that is asked for
         for batch in batches:
-            mini, content, doc, rid, place = (batch.column(i).to_numpy() for i in range(5))
+            mini, c1, c2, doc, rid, place = (batch.column(i).to_numpy() for i in range(6))
             if not len(mini):
                 continue
             later = (place >> _LATER) & 1 == 1
@@ -208,15 +209,15 @@ def judge(dealt: DataFrame) -> DataFrame:
             start = place >> _START
             prev = lambda x, k: np.concatenate([[x[0] if last is None else last[k]], x[:-1]])
             same_mini = prev(mini, 0) == mini
-            same_content = same_mini & (prev(content, 1) == content)
+            same_content = same_mini & (prev(c1, 1) == c1) & (prev(c2, 2) == c2)
             if last is None:
                 same_mini[0] = same_content[0] = False
-            same_place = same_content & (prev(doc, 2) == doc) & (prev(rid, 3) == rid) & (prev(start, 4) == start)
+            same_place = same_content & (prev(doc, 3) == doc) & (prev(rid, 4) == rid) & (prev(start, 5) == start)
             same_mini, same_content = same_mini & ~later, same_content & ~later
             # first of its content: begins the content, or ties in place with such a row directly before it
             begins = ~same_content & ~later
             is_first = begins.copy()
-            carried = last is not None and last[5]
+            carried = last is not None and last[6]
             for i in np.flatnonzero(same_place & ~later).tolist():
                 is_first[i] = is_first[i - 1] if i else carried
             out = [np.flatnonzero(~is_first)]
@@ -237,7 +238,7 @@ def judge(dealt: DataFrame) -> DataFrame:
             if len(heads):
                 h = int(heads[-1])
                 first = None if len(heads) - 1 in asked or twice[h] else (mini[h], doc[h], rid[h], place[h])
-            last = (mini[-1], content[-1], doc[-1], rid[-1], start[-1], bool(is_first[-1]))
+            last = (mini[-1], c1[-1], c2[-1], doc[-1], rid[-1], start[-1], bool(is_first[-1]))
             rows = np.concatenate([out[0], build])
             cols = [x[rows] for x in (mini, doc, rid, place)]
             if wanted:
@@ -245,7 +246,7 @@ def judge(dealt: DataFrame) -> DataFrame:
             flag = np.concatenate([np.zeros(len(out[0]), bool), np.ones(len(cols[0]) - len(out[0]), bool)])
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(flag)], names)
 
-    return dealt.repartition(n, "mini").sortWithinPartitions("mini", "content", "doc", "rid", "place").mapInArrow(run, "mini long, doc long, rid long, place long, build boolean")
+    return dealt.repartition(n, "mini").sortWithinPartitions("mini", "c1", "c2", "doc", "rid", "place").mapInArrow(run, "mini long, doc long, rid long, place long, build boolean")
 
 
 class _Column:
@@ -379,9 +380,9 @@ def repeated_windows(contents: list[bytes], window: int = WINDOW):
     return group[inside], piece[inside], start[inside]
 
 
-def compare(cut: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc, rid, start, end of repeated windows among pieces (mini, doc, rid, start, content) that share a minimizer."""
-    n = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def compare(docs: DataFrame, cut: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc, rid, start, end of repeated windows among pieces (mini, doc, rid, start, content) of docs that share a minimizer."""
+    n = partitions(docs, 32 << 20)
 
     def solve(rows):
         if not rows:
@@ -495,10 +496,8 @@ def hot_windows(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> Dat
 
 def removals(documents: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with texts, spans and kept (bytes)."""
-    spark = documents.sparkSession
     docs = keyed(documents)
     judged = saved(judge(deal(docs, window)), "suffix-judged")
-    release(spark)
     spans = judged.where("not build").select("doc", "rid", F.shiftright("place", _START).alias("start"), (F.shiftright("place", _START) + F.col("place").bitwiseAND(_COUNT) + (window - 1)).alias("end"))
     wanted = judged.where("build")
     crowded = checkpoint(wanted.groupBy("mini").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PIECES).select("mini"))
@@ -506,20 +505,18 @@ def removals(documents: DataFrame, window: int = WINDOW, texts: bool = False) ->
         hot = saved(hot_windows(docs, wanted.join(crowded, "mini", "left_semi"), window), "suffix-hot")
         spans = spans.union(hot)
         wanted = wanted.join(crowded, "mini", "left_anti")
-        release(spark)
-    built = saved(compare(cut_pieces(docs, wanted, window), window), "suffix-built")
-    release(spark)
+    built = saved(compare(docs, cut_pieces(docs, wanted, window), window), "suffix-built")
     more = ", spans array<struct<start:long,end:long>>, kept binary" if texts else ""
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, out = [], []
-        for doc, text, cuts in zip(batch.column(0).to_pylist(), _utf8(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+        for doc, text, none, cuts in zip(batch.column("doc").to_pylist(), _utf8(batch.column("text")), batch.column("none").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
             gone, kept, at = merged([(c["start"], c["end"]) for c in cuts or ()]), [], 0
             for a, b in gone:
                 kept.append(text[at:a])
                 at = b
             kept = b"".join([*kept, text[at:]])
-            ids.append(None if doc == NULL_ID else doc)
+            ids.append(None if none else doc)
             out.append((len(text), sum(b - a for a, b in gone), len(gone), hashlib.sha256(kept).hexdigest(), *(([{"start": a, "end": b} for a, b in gone], kept) if texts else ())))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
         cols = list(zip(*out, strict=True))
