@@ -7,7 +7,8 @@ abound). Decoding is Viterbi.
 
 Training: sentences of a bounded sample of the documents (SAMPLE_DOCS, each cut to SAMPLE_CHARS; the bounds are on training alone), into
 which secrets and lookalikes (phone numbers, addresses, dates, prices, card numbers, hosts) are
-planted by rule; so labels are known. Weights maximise the penalised conditional likelihood.
+planted by rule, and made-up files of settings with the same; so labels are known, and features of the file are those of
+the text around. Weights maximise the penalised conditional likelihood.
 
 Decoding is exact without tagging every token: from the weights follows, for each shape, the
 most that any context can favour a secret. Where that is below zero by more than transitions can
@@ -17,7 +18,7 @@ the weights require; elsewhere the best path is O.
 
 Base patterns are found with regular expressions and always reported; spans of the field are
 added where they touch none of them. Nulls are empty texts; those and texts without a
-secret give an empty span list. Rows are judged one by one, null ids and repeated rows included.
+secret give an empty span list. Texts of any length are scanned whole. Rows are judged one by one, null ids and repeated rows included.
 Extra columns are ignored by scan() and kept by redact(). Without a usable sample (an empty
 table) the planted examples alone train the model.
 """
@@ -39,6 +40,8 @@ from .common import map_slices, table
 #: Documents from which the sentences of the training set are taken.
 SAMPLE_DOCS, SAMPLE_CHARS, WINDOWS, WINDOW = 400, 20_000, 2400, 24
 EPOCHS, RATE, PENALTY = 120, 0.3, 1e-4
+#: Share of the training sequences that stem from files of settings.
+SETTINGS = 0.3
 CACHE_ENTRIES = 150_000
 KINDS = ("assign", "access", "hex", "crf")
 
@@ -215,6 +218,14 @@ def _plant(rng: np.random.Generator) -> list[tuple[str, int]]:
     ][int(rng.integers(12))])
 
 
+def _setting(rng: np.random.Generator) -> str:
+    """A line that sets a key, without a secret."""
+    pick = lambda x: x[int(rng.integers(len(x)))]
+    key = pick("timeout retries host port level path name user color region size mode version interval owner title".split())
+    value = pick(["true", "false", str(int(rng.integers(100_000))), f"/var/{pick(['log', 'lib', 'run'])}/{key}", f"{key}.example.org", f"{int(rng.integers(9))}.{int(rng.integers(99))}", pick("red blue north south fast slow main spare".split())])
+    return pick([f"{key} = {value}", f"{key}: {value}", f'{key}="{value}"', f"{key}={value}"])
+
+
 def training_set(texts: Iterable[tuple[str, str | None]], seed: int = 7, windows: int = WINDOWS):
     """Padded arrays: features, tags, lengths."""
     rng = np.random.default_rng(seed)
@@ -222,17 +233,25 @@ def training_set(texts: Iterable[tuple[str, str | None]], seed: int = 7, windows
     feats, tags, lens = np.zeros((windows, WINDOW, len(SIZES)), dtype=np.int64), np.full((windows, WINDOW), 2, dtype=np.int64), np.zeros(windows, dtype=np.int64)
     for k in range(windows):
         text, lang = texts[int(rng.integers(len(texts)))]
-        at = int(rng.integers(max(1, len(text) - 400)))
-        ts = TOKEN.findall(text[at : at + 400])[1:-1] or ["the"]
-        base = {t for a, _, b in base_spans(text[at : at + 400]) for t in TOKEN.findall(text[at : at + 400][a:b])}
-        seq = [(t, 2) for t in ts if t not in base][: int(rng.integers(4, WINDOW - 12))]
-        if rng.random() < 0.8:
+        planted = _plant(rng) if rng.random() < 0.8 else []
+        if rng.random() < SETTINGS:
+            # A file of settings: what is around the planted tokens sets keys too.
+            lines = [_setting(rng) for _ in range(int(rng.integers(3, 9)))]
+            cut = int(rng.integers(len(lines) + 1))
+            before, after = ([(t, 2) for line in part for t in TOKEN.findall(line)] for part in (lines[:cut], lines[cut:]))
+            seq = before[-int(rng.integers(4, WINDOW - 12)) :] + planted + after
+            where = file_feature("\n".join([*lines[:cut], " ".join(t for t, _ in planted), *lines[cut:]]), lang)
+        else:
+            at = int(rng.integers(max(1, len(text) - 400)))
+            ts = TOKEN.findall(text[at : at + 400])[1:-1] or ["the"]
+            base = {t for a, _, b in base_spans(text[at : at + 400]) for t in TOKEN.findall(text[at : at + 400][a:b])}
+            seq = [(t, 2) for t in ts if t not in base][: int(rng.integers(4, WINDOW - 12))]
             cut = int(rng.integers(len(seq) + 1))
-            seq = seq[:cut] + _plant(rng) + seq[cut:]
+            seq = seq[:cut] + planted + seq[cut:]
+            where = file_feature(text, lang)
         seq = seq[:WINDOW]
         s = np.array([shape(t) for t, _ in seq], dtype=np.int64)
         keys = np.array([LEXICON.get(t.lower(), 0) if len(t) < 16 else 0 for t, _ in seq], dtype=np.int64)
-        where = int(rng.integers(2)) + 2 * FILE_LANGS.get(lang or "", 0)
         if len(seq):
             feats[k, : len(seq)], tags[k, : len(seq)], lens[k] = features(s, keys, where), [y for _, y in seq], len(seq)
     return feats, tags, lens
@@ -281,10 +300,12 @@ def train(feats: np.ndarray, tags: np.ndarray, lens: np.ndarray, epochs: int = E
         gt += d * d
         w += RATE * g / np.sqrt(gw)
         t += RATE * d / np.sqrt(gt)
-    # Features never seen keep no opinion against O's prior: they count as weak evidence of O.
-    unseen = np.ones(size, dtype=bool)
-    unseen[used] = False
-    w[unseen] = [-0.5, -0.5, 0.5]
+    # Features never seen take the mean weights of those of their template that were.
+    seen = np.zeros(size, dtype=bool)
+    seen[used] = True
+    for a, b in zip(STARTS[:-1].tolist(), STARTS[1:].tolist(), strict=True):
+        if seen[a:b].any():
+            w[a:b][~seen[a:b]] = w[a:b][seen[a:b]].mean(axis=0)
     return Field(w, t)
 
 
