@@ -12,7 +12,8 @@ containment.
 The sketches and the candidate pairs are broadcast only below a counted size, and joined by
 shuffle beyond it. Everything runs in DataFrame functions.
 
-Nulls and empty texts contain nothing; items without a word match nothing. Null ids match as
+Nulls and empty texts contain nothing; items without a word match nothing; empty tables give empty results. Documents of any length are
+probed whole. Null ids match as
 any other id. Rows that share a doc_id are judged one by one and the largest containment is
 reported; repeated items likewise. Extra columns are ignored by contained_items() and kept by
 drop_contaminated().
@@ -85,7 +86,7 @@ def contained_items(docs: DataFrame, bench: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The documents that contain no item."""
     ids = checkpoint(contained_items(docs, bench).select(F.col("doc_id").alias("_leak")).distinct())
-    return docs.join(_small(ids, ids.count()), docs["doc_id"].eqNullSafe(F.col("_leak")), "left_anti")
+    return docs.join(_small(ids, ids.count()), docs["doc_id"].eqNullSafe(ids["_leak"]), "left_anti")
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

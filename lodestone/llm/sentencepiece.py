@@ -15,7 +15,7 @@ every position follows its output links through all pieces that end there:
 Characters outside the vocabulary become byte pieces (or the unknown id without them). Solved
 segments are cached per worker, in two generations of a fixed size.
 
-Nulls and empty texts have no ids. Decoding what was encoded gives the text again unless it holds
+Nulls and empty texts have no ids, and empty tables give empty results. Texts of any length are encoded whole. Decoding what was encoded gives the text again unless it holds
 U+2581 itself, which the format cannot tell from a space (or, in models without byte pieces, a
 character outside the vocabulary); round_trip says so per row. Repeated rows and null ids are
 treated like any other row; extra columns are ignored.

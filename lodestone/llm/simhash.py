@@ -13,7 +13,7 @@ a spanning forest of the links leaves the task; anchors with many members are de
 (homes go to every salt, replicas to one). Components come from an iterative star algorithm on
 checkpointed edges.
 
-Nulls and empty texts have fingerprint zero and link like any other. Repeated rows and ties get
+Nulls and empty texts have fingerprint zero and link like any other. Texts of any length are hashed whole. Empty tables give empty results. Repeated rows and ties get
 the same component. Null ids take part as copies and are returned with their component; a
 component of null ids alone has a null component_id. Extra columns are ignored by components() and kept by keep_first().
 """
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, map_slices, saved, table, text_or_empty
+from .common import connected_components, map_slices, partitions, saved, table, text_or_empty
 
 THRESHOLD, SHINGLE, SEED = 3, 3, 42
 #: Replicas at one salt of an anchor, in the mean.
@@ -172,7 +172,7 @@ def links(classes: DataFrame) -> DataFrame:
         if rest is not None and (out := flush(rest[2], rest[1], rest[3])):
             yield edges(out)
 
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions(classes, 8 << 20)  # each class has 32 replicas
     return dealt.repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(compare, "ia long, fa long, ib long, fb long").select(F.struct(F.col("ia").alias("id"), F.col("fa").alias("fp")).alias("a"), F.struct(F.col("ib").alias("id"), F.col("fb").alias("fp")).alias("b"))
 
 
@@ -182,9 +182,16 @@ def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
     # A class is known by its smallest id and its fingerprint: the order of nodes is that of ids, so the smallest
     # node of a component names it, and nothing has to be gathered by component. Null ids come last.
     last = F.lit((1 << 63) - 1)
-    classes = checkpoint(fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), last).alias("id")))
+    classes = saved(fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), last).alias("id")), "simhash-classes")
     found = connected_components(classes.select(F.struct("id", "fp").alias("id")), links(classes))
-    by_fp = found.select("id.fp", F.nullif("component.id", last).alias("component_id"))
+    by_fp = found.select("id.fp", F.col("component.id").alias("component_id"), "component")
+    unnamed = F.col("component_id") == last
+    real = fps.where(F.col("doc_id") == last)
+    if not real.isEmpty():  # an id of the value that stands for null: its component has a name
+        named = by_fp.join(real.select("fp").distinct(), "fp").select("component", F.lit(True).alias("named")).distinct()
+        by_fp = by_fp.join(named, "component", "left")
+        unnamed = unnamed & F.col("named").isNull()
+    by_fp = by_fp.select("fp", F.when(~unnamed, F.col("component_id")).alias("component_id"))
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
