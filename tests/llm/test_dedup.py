@@ -259,6 +259,22 @@ def test_suffixes_awkward(awkward, no_documents):
     assert six.n_removed == 600 and six.n_spans == 1 and bytes(six.kept) == b""
 
 
+def test_ids_at_the_ends(spark):
+    """The least and the greatest id are ids, and not the null that they might stand for."""
+    low, high = -(1 << 63), (1 << 63) - 1
+    line = "some words that make up a line of text which is long enough for a window of the suffix array, and then some more"
+    rows = [(low, line), (None, line), (high, line + " end"), (None, "x y z"), (high, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.components(docs).collect()}
+    assert {v for (i, _), v in got.items() if i == high} == {low, high} or {v for (i, _), v in got.items() if i == high} == {high}
+    assert all(v is not None for v in got.values())
+    for found in (suffix_dedup.removals(docs), substring_dedup.removals(docs)):
+        ids = sorted(map(repr, (r.doc_id for r in found.collect())))
+        assert ids == sorted(map(repr, (i for i, _ in rows)))
+    gone = {r.doc_id: r.n_removed for r in substring_dedup.removals(docs.limit(2)).collect()}
+    assert sorted(gone.values()) == [0, len(line)]
+
+
 def test_not_first():
     k = np.array([1, 1, 1, 2, 2, 3])
     p = np.array([5, 4, 4, 7, 7, 1])

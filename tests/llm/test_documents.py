@@ -40,6 +40,25 @@ def test_cascade_stops_early(spark):
     assert [r[0] for r in spark.createDataFrame([(1,)], "x int").select(quality_rules.cascade(rules)).collect()] == [False]
 
 
+def test_measures_inside_one_expression(spark, sf_dir):
+    """What the cascade computes on demand equals what the query computes in steps, and the filter keeps what the query keeps."""
+    docs = documents(spark, sf_dir).select("doc_id", "text").union(spark.createDataFrame([(-1, "a b c d a b c x a b c"), (-2, "a a a a a"), (-3, "a b"), (-4, None), (-5, "x y z " * 30)], "doc_id long, text string"))
+    both = quality_rules.prepare(docs).select(F.col("_repeat").alias("a"), quality_rules.repeat_words(F.col("_words")).alias("b"), quality_rules.barrier()).collect()
+    assert all(r.a == r.b for r in both) and any(r.a for r in both)
+    kept = {r.doc_id for r in quality_rules.quality_measures(docs).collect() if r.kept}
+    assert {r.doc_id for r in quality_rules.quality_filter(docs).collect()} == kept and len(kept) > 20
+
+
+def test_rules_are_asked_by_cost(spark, sf_dir):
+    """A rule whose cost is out of all proportion is found to be costly, whatever it rejects."""
+    work = lambda: F.aggregate(F.sequence(F.lit(0), F.lit(4000)), F.length("_text").cast("long"), lambda a, x: a + x % 7) < 0
+    rules = (quality_rules.Rule("slow", lambda: work() | (F.size("_words") > 0)), quality_rules.Rule("quick", lambda: F.size("_words") > 0))
+    for _ in range(3):
+        found = {n: (cost, share) for n, cost, share in quality_rules.estimate(documents(spark, sf_dir), rules)}
+        assert found["slow"][1] == found["quick"][1] > 0.9 and found["slow"][0] > 3 * found["quick"][0]
+        assert quality_rules.order_rules([(n, *x) for n, x in found.items()])[0] == "quick"
+
+
 def test_quality_agrees_with_labels(spark, sf_dir):
     got = quality_rules.quality_measures(documents(spark, sf_dir)).where("n_words >= 50").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
     n = {(r.quality, r.kept): r["count"] for r in got.groupBy("quality", "kept").count().collect()}
@@ -102,6 +121,13 @@ def test_decontamination_awkward(spark, awkward, no_documents):
     assert decontaminate.contained_items(awkward, bench.limit(0)).count() == 0
 
 
+def test_a_column_of_our_own_name(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40)), 7), (2, "other words", 8)], "doc_id long, text string, _leak long")
+    bench = docs.where("doc_id = 1").select(F.lit(5).alias("item_id"), "text")
+    left = decontaminate.drop_contaminated(docs, bench)
+    assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [2]
+
+
 # Secrets
 
 
@@ -156,6 +182,47 @@ def test_held_out_accuracy(spark, sf_dir, field):
     assert hit / (hit + missed) > 0.95 and hit / (hit + wrong) > 0.95
 
 
+def other_files(rng):
+    """(text, spans of its secrets) of kinds and forms of file that training doesn't know."""
+    chars = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    any_, b64 = low + low.upper() + digits, low + low.upper() + digits + "-_"
+    secret = rng.choice([lambda: f"xoxb-{chars(digits, 11)}-{chars(digits, 11)}-{chars(any_, 24)}", lambda: f"rk_live_{chars(any_, 24)}", lambda: f"eyJ{chars(b64, 33)}", lambda: f"glpat-{chars(any_, 20)}", lambda: chars(any_, 40), lambda: f"npm_{chars(any_, 36)}", lambda: chars("0123456789ABCDEF", 32)])()
+    harmless = [f"order {chars(digits, 7)} of {rng.randint(1, 28)}.{rng.randint(1, 12)}.2021 was sent to 4{chars(digits, 2)} Elm Street .", f"see page {rng.randint(1, 900)} , section {rng.randint(1, 9)}.{rng.randint(1, 9)} .", f"mail to {chars(low, 7)}@{chars(low, 6)}.org or call 0{chars(digits, 3)} {chars(digits, 6)}", f"the {chars(low, 8)} and the {chars(low, 12)} were {chars(low, 9)} by then ,", f"ISBN 978-{chars(digits, 10)} , EUR {chars(digits, 3)}.{chars(digits, 2)}"]
+    lines = [rng.choice(harmless) for _ in range(rng.randint(2, 6))]
+    at = rng.randrange(len(lines) + 1)
+    if rng.random() < 0.8:
+        line = rng.choice(['  "apiToken" : "{}" ,', "export SERVICE_TOKEN={}", "credentials : {} # rotate", "Bearer {}", "secret -> '{}'", "the private key is {} , keep it"]).format(secret)
+        lines.insert(at, line)
+        start = sum(len(x) + 1 for x in lines[:at]) + line.index(secret)
+        return "\n".join(lines), [(start, start + len(secret))]
+    return "\n".join(lines), []
+
+
+def test_accuracy_on_secrets_of_another_make(field):
+    """Files, secrets and lookalikes that training doesn't plant: what is found, by overlap."""
+    rng, shapes = random.Random(11), secrets._Shapes()
+    hit = missed = wrong = 0
+    for _ in range(500):
+        text, want = other_files(rng)
+        got = [(a, b) for a, _, b in secrets.all_spans(text, "en", field, shapes)[1]]
+        touch = lambda x, y: x[0] < y[1] and y[0] < x[1]
+        hit += sum(any(touch(w, g) for g in got) for w in want)
+        missed += sum(not any(touch(w, g) for g in got) for w in want)
+        wrong += sum(not any(touch(w, g) for w in want) for g in got)
+    assert hit / (hit + missed) > 0.9 and hit / (hit + wrong) > 0.9
+
+
+def test_training_knows_the_file(spark, sf_dir):
+    """The feature of settings files in training is that of the text around, and not chance."""
+    texts = [(r.text, r.lang) for r in documents(spark, sf_dir).limit(30).collect()]
+    f, _, n = secrets.training_set(texts, seed=5, windows=600)
+    where = (f[:, 0, 6] - secrets.STARTS[6]) // secrets.N_COARSE % 2
+    prose = max(secrets.file_feature(t, lang) % 2 for t, lang in texts if t)
+    share = where[n > 0].mean()
+    assert prose == 0 and 0.15 < share < 0.5
+
+
 def test_scan(spark, sf_dir, field):
     docs = documents(spark, sf_dir)
     got = {r.doc_id: r for r in secrets.scan(docs, field).collect()}
@@ -303,6 +370,44 @@ def test_thresholds_fit_the_bound(spark, sf_dir, monkeypatch):
     assert got.where("score >= 0 or score is null").count() == 0
 
 
+@pytest.mark.parametrize("bound", [128 << 20, 1 << 12])
+def test_scores_equal_brute_force(spark, sf_dir, monkeypatch, bound):
+    """The score from exact counts, each rounded as the filter does it. The filter is made so large that it reads nothing that isn't there."""
+    monkeypatch.setattr(lm_scoring, "BITS_PER_ENTRY", 400)
+    monkeypatch.setattr(lm_scoring, "MAX_FILTER_BYTES", bound)
+    rows = documents(spark, sf_dir).collect()
+    one, two = Counter(), Counter()
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 7 != 2:
+            t = tokens(r.text)
+            one.update(t)
+            two.update(zip(["", *t], t, strict=False))
+    low = lambda c: 2 ** math.floor(math.log2(c)) if c else 0
+    middle = sum(lm_scoring.MID * low(c) for c in one.values()) + len(one) + 1
+
+    def logp(u, w):
+        trust = lm_scoring.LAMBDA * (1 - 1 / (low(one[u]) + 1)) if one[u] else 0.0
+        pair = min(1.0, low(two[u, w]) / (2 * low(one[u]))) if one[u] else 0.0
+        return math.log10(trust * pair + (1 - trust) * (lm_scoring.MID * low(one[w]) + 1) / middle)
+
+    got = {r.doc_id: r.score for r in lm_scoring.score(documents(spark, sf_dir).repartition(3)).collect()}
+    for r in rows:
+        t = tokens(r.text)
+        assert got[r.doc_id] == pytest.approx(sum(map(logp, ["", *t], t)), rel=1e-9)
+
+
+@pytest.mark.parametrize("held", [1 << 20, 50])
+def test_counts_over_slices(spark, sf_dir, monkeypatch, held):
+    """Common n-grams are summed by task; however few are held, the counts are exact."""
+    monkeypatch.setattr(lm_scoring, "HELD_ENTRIES", held)
+    monkeypatch.setattr(lm_scoring, "SLICE_BYTES", 1 << 13)
+    monkeypatch.setattr(lm_scoring, "COMMON", 2)
+    docs = documents(spark, sf_dir).select("text")
+    want = Counter(t for r in docs.collect() for t in tokens(r.text))
+    got = Counter({r.h: r.c for r in lm_scoring.count_ngrams(docs).where("h & 1 = 0").collect()})
+    assert sorted(got.values()) == sorted(want.values()) and sum(got.values()) == sum(want.values())
+
+
 def test_scores_beyond_one_broadcast(spark, sf_dir, awkward, monkeypatch):
     """A filter beyond the bound of a broadcast holds the same n-grams and gives the same scores."""
     docs = documents(spark, sf_dir).select("doc_id", "text").union(awkward.select("doc_id", "text")).persist()

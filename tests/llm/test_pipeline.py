@@ -1,9 +1,12 @@
 """The pipeline's stages: each takes all that the one before kept, and its decisions take effect."""
 
+import os
+
 import corpus_pipeline as p
 from test_near_copies import brute_pairs, groups
 
 from lodestone.llm import decontaminate, quality_rules, secrets
+from lodestone.llm.common import saved, shared_dir
 
 
 def test_stages(spark, sf_dir):
@@ -28,4 +31,19 @@ def test_stages(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     a, b = p.run(spark, sf_dir), p.run(spark, sf_dir)
+    left = [n for n in os.listdir(shared_dir(spark).removeprefix("file:")) if n.startswith(("pipeline-", "near-"))]
+    assert len([n for n in left if n.startswith("pipeline-sentencepiece")]) >= 2 and not [n for n in left if n.startswith("pipeline-") and "sentencepiece" not in n]
     assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect())) and a.count() > 0
+
+
+def test_awkward_rows(spark, sf_dir, awkward, no_documents):
+    """Nulls, repeats, ties and columns of the operators' own names go through all stages; so does a table without rows."""
+    for rows in (awkward, no_documents):
+        kept = rows
+        for name, stage in p.STAGES[:-1]:
+            kept = saved(stage(spark, kept, sf_dir), f"awkward-{name}")
+            assert kept.columns == awkward.columns
+        out = p.STAGES[-1][1](spark, kept, sf_dir)
+        assert out.count() == kept.count()
+        ids = {r.doc_id for r in kept.collect()}
+        assert ids <= {5, 7, 8, None} and (7 in ids or rows is no_documents)
