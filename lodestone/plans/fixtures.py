@@ -71,6 +71,12 @@ STEMS = tuple(
     ).split()
 )
 
+#: Query texts, and whether they are errors.
+QUERY_TEXTS = [
+    ("run", False), ("run OR parse", False), ("run AND", True), ("OR run", True), ('"the of"', False), ('"open', True), ("don't", True), ("user.login", True), ("rate-limiting", True), ("foo: bar", True), ("content: run", False), ("{path symbol_name}: run", False),
+    ("NEAR(run parse, 5)", False), ("what is this?", True), ("fix the crash in parse_tokens()", True), ("nat*", False), ("^run", False), ("(run OR parse) AND token", False), ("run AND NOT parse", True), ("run NOT parse", False), ("the + of", False),
+]
+
 #: What parsing SOURCE_FILES gives, written down by hand.
 _METHOD = "async def go(self):\n        def inner(): pass\n        return 1"
 SOURCE_SYMBOLS = [

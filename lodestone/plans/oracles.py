@@ -106,6 +106,11 @@ _NORMALISED = f"""
 WITH {INDEX}, hits AS ({_hit(1, 0, _term('that'))} UNION ALL {_hit(2, 0, _term('que'))} UNION ALL {_hit(2, 1, _term('les'))}), {_rank()}
 SELECT query_id::BIGINT AS query_id, symbol_id, round(1 - abs(rank) / max(abs(rank)) OVER (PARTITION BY query_id), {DIGITS}) AS fts_score FROM rk"""
 
+_FALLBACK = f"""
+WITH {INDEX}, hits AS ({_hit(1, 0, _term('that'))} UNION ALL {_hit(2, 0, _term('que'))} UNION ALL {_hit(2, 1, _term('les'))}), {_rank()}
+SELECT query_id::BIGINT AS query_id, path, line_start, 'unknown' AS language, {LEXICAL_ONLY_SCORE}::DOUBLE AS score, {LEXICAL_ONLY_SCORE}::DOUBLE AS combined_score FROM rk JOIN sy USING (symbol_id)
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rank, {DIGITS}), symbol_id) <= CASE query_id WHEN 1 THEN 15 ELSE 25 END"""
+
 _DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
 _TOPK = f"""
 tk AS (
@@ -394,6 +399,7 @@ ORACLE_SQL = {
     "chunk_lines_30": _chunk_query(30, "'chunk_' || line_start"),
     "chunk_lines_20": _chunk_query(20, "'chunk_' || line_start"),
     "file_line_stats": f"WITH {LINES} SELECT doc_id::VARCHAR AS path, documents.lang AS language, n_chars AS size, count(i)::BIGINT AS n_lines FROM documents LEFT JOIN ln ON ln.path = doc_id::VARCHAR GROUP BY ALL",
+    "file_scan": "SELECT 'src/.part' || (doc_id % 20) || '/' || doc_id || '.py' AS path, 'python' AS language, strlen(text)::BIGINT AS size, length(text)::BIGINT AS n_chars, md5(text) AS digest, 'ok' AS status FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0",
     "language_breakdown": "SELECT lang AS language, count(*) AS n_files FROM documents GROUP BY lang",
     "index_stats": _STATS,
     "structure_totals": _STATS.replace("AS symbol_count", "AS symbol_count, (SELECT (sum(length(content)) // 4)::BIGINT FROM sy) AS total_tokens_estimate"),
@@ -401,13 +407,15 @@ ORACLE_SQL = {
     "savings_report": "SELECT count(*) AS file_count, count(*) * 2000 AS raw_tokens, greatest(0, count(*) * 2000 - 4000) AS saved_tokens, round(100 * greatest(0, count(*) * 2000 - 4000)::DOUBLE / (count(*) * 2000), 1) AS reduction FROM documents",
     "path_language": _PATH_LANGUAGE,
     "skip_predicate": _SKIP,
-    "indexed_lookup": "SELECT DISTINCT (o_orderkey % 2000)::VARCHAR AS path, (o_orderkey % 2000) IN (SELECT doc_id FROM documents) AS indexed FROM orders",
+    "indexed_lookup": "SELECT DISTINCT o_orderkey::VARCHAR AS path, o_orderkey IN (SELECT doc_id FROM documents) AS indexed FROM orders",
     "file_symbols": f"WITH {SYM} SELECT path, row_number() OVER (PARTITION BY path ORDER BY line_start)::INT AS place, line_start, line_end FROM sy",
     **{name: _fts(*x) for name, x in _FTS.items()},
     "fts_near": _NEAR,
     "porter_stems": f"SELECT word, expected AS stem FROM {values(X.STEMS, 'word, expected')}",
     "fts_top": _fts(*_FTS["fts_or"], tail=f"ORDER BY round(rank, {DIGITS}), path, line_start LIMIT {SEARCH_LIMIT}"),
     "fts_normalised": _NORMALISED,
+    "fts_syntax": f"SELECT query, error FROM {values(X.QUERY_TEXTS, 'query, error')}",
+    "lexical_fallback": _FALLBACK,
     "vec_l2_normalise": f"SELECT vec_id, (i - 1)::INT AS dim, round(x / nrm, {DIGITS}) AS value FROM (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS i, sqrt(list_dot_product(e, e)) AS nrm FROM (SELECT vec_id, list_transform(embedding, lambda x: (x * 4)::FLOAT)::DOUBLE[] AS e FROM embeddings))",
     "vec_mean_pool": f"SELECT text, dim::INT AS dim, round(CASE WHEN sum(m) > 0 THEN sum(x * m) / sum(m) ELSE 0 END, {DIGITS}) AS value FROM (SELECT vec_id // 3 AS text, CASE WHEN vec_id % 4 = 1 THEN 0 ELSE 1 END AS m, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) GROUP BY ALL",
     "vec_cosine_pairs": f"SELECT a.vec_id, round({_DOT}, {DIGITS}) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
@@ -440,6 +448,7 @@ ORACLE_SQL = {
     "entry_points": f"WITH {_IMPORTS}, {_DEGREES} SELECT path FROM dg WHERE n = 0",
     "hotspots": f"WITH {_IMPORTS}, {_DEGREES} SELECT path AS file_path, n AS dependent_count FROM dg ORDER BY n DESC, path LIMIT 5",
     "graph_json": _GRAPH_JSON,
+    "graph_loaded": f"WITH {_CODE} SELECT * FROM ed",
     "structure_report": _STRUCTURE,
     "stats_report": _STATS.replace("SELECT (SELECT count(*) FROM documents) AS file_count, (SELECT count(*) FROM sy) AS symbol_count", "SELECT '## lodestone stats' || chr(10) || chr(10) || '**Indexed files:** ' || (SELECT count(*) FROM documents) || chr(10) || '**Total symbols:** ' || (SELECT count(*) FROM sy) || chr(10) || '**DB size:** 0 KB' || chr(10) || '**Watcher:** stopped' AS markdown"),
     "md_sections": _MD,
@@ -454,6 +463,7 @@ ORACLE_SQL = {
     "cdc_latest_op": f"WITH {_LAST} SELECT * FROM la",
     "cdc_apply": _APPLIED,
     "cdc_reindex": _REINDEXED,
+    "store_reindex": _REINDEXED,
     "embedded_symbols": _EMBEDDED,
     "cdc_moves": _MOVES,
     "listing_diff": "SELECT doc_id::VARCHAR AS path, 'upsert' AS op FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0 UNION ALL SELECT 'gone', 'delete'",

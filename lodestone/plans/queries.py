@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +20,7 @@ from ..functions.vectors import l2_normalise, mean_pool
 from ..operators import chunking, classify, fts, fusion, graph, parsing, render, retrieve, store, vector_search
 from ..schemas import SYMBOL_COLUMNS, SYMBOLS
 from ..sources import logs
+from ..sources.files import list_files, read_files
 from ..sources.tables import documents_as_files, is_indexed, table
 from ..streaming import cdc
 from . import fixtures as X
@@ -27,6 +35,18 @@ TASK_VECTORS = {1: 3, 2: 14, 3: 159, 4: 265}
 SEARCH_LIMIT, DIGITS = 20, 6
 
 
+def _folder(spark, what: str) -> str:
+    """A new folder that all nodes share: below spark.checkpoint.dir, or a local one where that is unset, in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        root = f"file://{made}"
+    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def _files(spark, d) -> DataFrame:
     return documents_as_files(table(spark, d, "documents"))
 
@@ -78,6 +98,28 @@ def file_line_stats(spark, d):
     return _files(spark, d).select("path", "language", "size", F.size(lines(F.col("content"))).cast("long").alias("n_lines"))
 
 
+def file_scan(spark, d):
+    """Documents written as files, some under names that are skipped, then listed and read like a project."""
+    root = _folder(spark, "files")
+    i = F.col("doc_id")
+    name = F.concat(F.when(i % 7 == 0, "build/").otherwise(F.concat(F.lit("src/.part"), (i % 20).cast("string"), F.lit("/"))), i.cast("string"), F.when(i % 11 == 0, ".png").otherwise(".py"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, text in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                store.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{base}/{path}") as f:
+                    f.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    table(spark, d, "documents").select(name.alias("path"), "text").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    read = read_files(list_files(spark, root), root)
+    return read.select("path", P.language(F.col("path")).alias("language"), "size", F.length("content").cast("long").alias("n_chars"), F.md5(F.col("content").cast("binary")).alias("digest"), "status")
+
+
 def language_breakdown(spark, d):
     return retrieve.language_breakdown(_files(spark, d))
 
@@ -109,7 +151,7 @@ def skip_predicate(spark, d):
 
 
 def indexed_lookup(spark, d):
-    asked = table(spark, d, "orders").select((F.col("o_orderkey") % 2000).cast("string").alias("path")).distinct()
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("path")).distinct()
     return is_indexed(_files(spark, d), asked)
 
 
@@ -138,6 +180,19 @@ def fts_top(spark, d):
     return _fts("fts_or")(spark, d).orderBy("rank", "path", "line_start").limit(SEARCH_LIMIT)
 
 
+def fts_syntax(spark, d):
+    """Which query texts are errors."""
+    return spark.createDataFrame([(q, fts.parse_query(q).error is not None) for q, _ in X.QUERY_TEXTS], "query string, error boolean")
+
+
+def lexical_fallback(spark, d):
+    """Without vectors: the lexical side alone, at a fixed score."""
+    limits = spark.createDataFrame([(1, 15), (2, 25)], "query_id long, fetch int")
+    lexical = _lexical(spark, d, {1: "that", 2: "que OR les"}).withColumn("rank", F.round("rank", DIGITS))
+    hits = retrieve.hits_with_symbols(retrieve.hybrid(None, lexical, limits), _symbols(spark, d), _files(spark, d))
+    return hits.select("query_id", "path", "line_start", "language", "score", "combined_score")
+
+
 def fts_normalised(spark, d):
     hits = _lexical(spark, d, {1: "that", 2: "que OR les"})
     return hits.select("query_id", "symbol_id", F.round(fusion.normalised_rank(F.col("rank")), DIGITS).alias("fts_score"))
@@ -308,6 +363,13 @@ def callers_markdown(spark, d):
     return render.callers_markdown(_names(spark), callers(spark, d))
 
 
+def graph_loaded(spark, d):
+    """Edges that went through a stored graph."""
+    folder = _folder(spark, "graph")
+    graph.save_graph(graph.call_nodes(_code(spark)), graph.call_edges(_code(spark)), folder)
+    return graph.load_graph(spark, folder)[1]
+
+
 def import_refs(spark, d):
     return graph.import_refs(_imports(spark)[0])
 
@@ -428,8 +490,8 @@ def cdc_apply(spark, d):
     return counted.join(n, "path", "left").select("path", "language", "size", F.coalesce("n_symbols", F.lit(0)).cast("long").alias("n_symbols"))
 
 
-def cdc_reindex(spark, d):
-    """Documents after the changes: deleted ones gone, changed ones indexed anew with a line in front, symbols and vectors with them."""
+def _reindexed(spark, d):
+    """The tables of documents, and what indexes changed ones anew with a line in front."""
     f = _files(spark, d).drop("content")
     tables = {"files": f, "symbols": _symbols(spark, d).select(*SYMBOL_COLUMNS, "symbol_id"), "embeddings": _vectors(spark, d)}
 
@@ -438,12 +500,32 @@ def cdc_reindex(spark, d):
         symbols = chunking.chunk_files(files).withColumn("symbol_id", fts.symbol_id())
         return files.drop("content"), symbols.select(*SYMBOL_COLUMNS, "symbol_id"), symbols.select("symbol_id", F.array(F.length("content").cast("float")).alias("embedding"))
 
-    after = cdc.apply_changes(tables, _event_changes(spark, d), index)
+    return tables, index
+
+
+def _reindex_counts(after: dict[str, DataFrame]) -> DataFrame:
     new = after["symbols"].join(after["embeddings"].where("size(embedding) = 1"), "symbol_id", "left")
     n = new.groupBy("path").agg(F.count("*").alias("n_symbols"), F.sum(F.length("content").cast("long")).alias("n_chars"), F.coalesce(F.sum(F.get("embedding", F.lit(0)).cast("long")), F.lit(0)).cast("long").alias("embedded_chars"))
     return after["files"].select("path", "language").join(n, "path")
 
 
+def cdc_reindex(spark, d):
+    """Documents after the changes: deleted ones gone, changed ones indexed anew, symbols and vectors with them."""
+    last = _event_changes(spark, d)
+    tables, index = _reindexed(spark, d)
+    return _reindex_counts(cdc.apply_changes(tables, last, index))
+
+
+def store_reindex(spark, d):
+    """The same through a stored index, which writes the buckets of the changed paths alone."""
+    last = _event_changes(spark, d)
+    tables, index = _reindexed(spark, d)
+    s = store.SnapshotStore(spark, _folder(spark, "index"), 16)
+    s.write(tables)
+    s.update(last, lambda held: cdc.apply_changes(held, last, index))
+    return _reindex_counts(s.read())
+
+
 def embedded_symbols(spark, d):
     """With a stand-in for a model: shares of three letters and all others, to unit length."""
 
@@ -508,10 +590,10 @@ def file_symbols(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_lines_50, chunk_lines_30, chunk_lines_20, file_line_stats, language_breakdown, index_stats, structure_totals, token_estimate, savings_report, path_language, skip_predicate, indexed_lookup, file_symbols,
-        fts_porter, porter_stems, fts_top, fts_normalised, vec_l2_normalise, vec_mean_pool, vec_cosine_pairs, vec_topk, vec_topk_labels, embedded_symbols, hybrid_search, classify_tasks, explain_tasks, scope_limits, budget_cap, top_files_symbols, context_result, context_markdown, search_markdown, expanded_markdown, expand_context, context_with_graph,
-        call_sites, call_nodes, call_edges, callers, callees, callers_markdown, import_refs, import_edges, deps, dependents, deps_markdown, entry_points, hotspots, graph_json, structure_report, stats_report,
-        md_sections, yaml_chunks, toml_symbols, docker_blocks, sized_chunks, html_document, sql_symbols, py_symbols, parsed_symbols, cdc_latest_op, cdc_apply, cdc_reindex, cdc_moves, listing_diff, upsert_replace, remove_cascade, index_counts, log_tail, log_tail_by_source,
+        chunk_lines_50, chunk_lines_30, chunk_lines_20, file_line_stats, file_scan, language_breakdown, index_stats, structure_totals, token_estimate, savings_report, path_language, skip_predicate, indexed_lookup, file_symbols,
+        fts_porter, porter_stems, fts_top, fts_normalised, fts_syntax, lexical_fallback, vec_l2_normalise, vec_mean_pool, vec_cosine_pairs, vec_topk, vec_topk_labels, embedded_symbols, hybrid_search, classify_tasks, explain_tasks, scope_limits, budget_cap, top_files_symbols, context_result, context_markdown, search_markdown, expanded_markdown, expand_context, context_with_graph,
+        call_sites, call_nodes, call_edges, callers, callees, callers_markdown, import_refs, import_edges, deps, dependents, deps_markdown, entry_points, hotspots, graph_json, graph_loaded, structure_report, stats_report,
+        md_sections, yaml_chunks, toml_symbols, docker_blocks, sized_chunks, html_document, sql_symbols, py_symbols, parsed_symbols, cdc_latest_op, cdc_apply, cdc_reindex, store_reindex, cdc_moves, listing_diff, upsert_replace, remove_cascade, index_counts, log_tail, log_tail_by_source,
     )
 }
 QUERIES |= {name: _fts(name) for name in FTS_QUERIES}
