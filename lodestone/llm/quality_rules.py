@@ -17,7 +17,6 @@ left out by quality_measures.
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -30,7 +29,7 @@ from .common import table, text_or_empty, words
 MIN_WORDS, MOST_REPEATED_PERCENT = 50, 50
 #: Rows on which costs and selectivities are estimated, their characters, how many rows there are to one that the hash of its text chooses,
 #: how often they are repeated, and runs over them. They bear on the order of the rules alone.
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_STEP, SAMPLE_REPEATS, SAMPLE_RUNS = 500, 4000, 4, 8, 3
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_STEP, SAMPLE_REPEATS, SAMPLE_RUNS = 500, 2000, 4, 32, 3
 SYMBOLS = "#*$%&|<>"
 
 
@@ -130,13 +129,13 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", sampl
     t = text_or_empty(text)
     # Read partition by partition until there are enough; the rest of the table isn't touched.
     texts = [r[0] for r in docs.where(F.pmod(F.xxhash64(t), F.lit(SAMPLE_STEP)) == 0).select(F.substring(t, 1, SAMPLE_CHARS)).limit(sample_rows).collect()]
-    literal = F.from_json(F.lit(json.dumps(texts)), "array<string>")
-    sample = light(docs.sparkSession.range(SAMPLE_REPEATS).select(F.explode(literal).alias("text"))).select("_text", "_words", "_chars", "_symbols").persist()
+    sample = light(docs.sparkSession.createDataFrame([(x,) for x in texts], "text string")).select("_text", "_words", "_chars", "_symbols").persist()
     try:
-        n = max(1, sample.count())
+        n = max(1, sample.count() * SAMPLE_REPEATS)
+        repeated = sample.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(SAMPLE_REPEATS))))
 
         def seconds(c: Column) -> tuple[float, int]:
-            asked, times = sample.agg(F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("bigint")), F.lit(0))), []
+            asked, times = repeated.agg(F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("bigint")), F.lit(0))), []
             for _ in range(SAMPLE_RUNS):
                 began = time.perf_counter()
                 hits = asked.first()[0]
