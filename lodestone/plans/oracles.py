@@ -411,6 +411,8 @@ ORACLE_SQL = {
     "file_symbols": f"WITH {SYM} SELECT path, row_number() OVER (PARTITION BY path ORDER BY line_start)::INT AS place, line_start, line_end FROM sy",
     **{name: _fts(*x) for name, x in _FTS.items()},
     "fts_near": _NEAR,
+    # The forms that the steps of the algorithm reduce to "and" and to "hand".
+    "fts_porter": _fts([f"regexp_matches(term, '^{w}(s|e|es|ed|eds|ing|ings|ness|ful)?$')" for w in ("and", "hand")], "true"),
     "porter_stems": f"SELECT word, expected AS stem FROM {values(X.STEMS, 'word, expected')}",
     "fts_top": _fts(*_FTS["fts_or"], tail=f"ORDER BY round(rank, {DIGITS}), path, line_start LIMIT {SEARCH_LIMIT}"),
     "fts_normalised": _NORMALISED,
