@@ -10,7 +10,7 @@ which secrets and lookalikes (phone numbers, addresses, dates, prices, card numb
 planted by rule, and made-up files of settings with the same; so labels are known, and features of the file are those of
 the text around. Weights maximise the penalised conditional likelihood.
 
-Decoding is exact without tagging every token: from the weights follows, for each shape, the
+Decoding is exact without tagging every token: from the weights follows, for each shape and kind of file, the
 most that any context can favour a secret. Where that is below zero by more than transitions can
 give back, the token is "cold": a run of cold tokens alone is never tagged, and a run ends at its
 last other token. Viterbi runs over windows around the others, which reach so far to the left as
@@ -42,7 +42,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, WINDOWS, WINDOW = 400, 20_000, 2400, 24
 EPOCHS, RATE, PENALTY = 120, 0.3, 1e-4
 #: Share of the training sequences that stem from files of settings.
 SETTINGS = 0.3
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 60_000
 KINDS = ("assign", "access", "hex", "crf")
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -142,8 +142,9 @@ class Field:
         rest, kinds = 0.0, np.arange(N_SHAPES)
         by_coarse = lambda k, other: favour[STARTS[k] : STARTS[k + 1]].reshape(N_COARSE, other).max(axis=1)
         rest = sum(by_coarse(k, o) for k, o in ((1, N_KEYS), (2, N_KEYS), (3, N_KEYS), (4, N_COARSE), (5, N_COARSE)))
-        rest = rest + favour[STARTS[6] : STARTS[7]].reshape(N_FILE, N_COARSE).max(axis=0)
-        most = favour[:N_SHAPES] + rest[coarse(kinds)]
+        # What the file is, is known for all its tokens: each kind of file has bounds of its own.
+        rest = rest[None, :] + favour[STARTS[6] : STARTS[7]].reshape(N_FILE, N_COARSE)
+        most = favour[None, :N_SHAPES] + rest[:, coarse(kinds)]
         finite = np.where(np.isfinite(self.t), self.t, -np.inf)
         gain = max(0.0, finite.max() - self.t[2, 2]) * 2 + max(0.0, finite[:, 2].max() - self.t[2, 2])
         #: A cold token costs at least this in any run, transitions included.
@@ -173,10 +174,10 @@ class Field:
         if not tokens:
             return []
         s = np.fromiter(map(shapes.__getitem__, tokens), dtype=np.int32, count=len(tokens))
-        hot = np.arange(len(s)) if whole else np.flatnonzero(self.hot[s])
+        where, out, ends = file_feature(text, lang), [], None
+        hot = np.arange(len(s)) if whole else np.flatnonzero(self.hot[where][s])
         if not len(hot):
             return []
-        where, out, ends = file_feature(text, lang), [], None
         cuts = np.flatnonzero(np.diff(hot) > self.left + 2) + 1
         for part in np.split(hot, cuts):
             a, b = max(0, int(part[0]) - self.left), min(len(s), int(part[-1]) + 2)
@@ -300,12 +301,10 @@ def train(feats: np.ndarray, tags: np.ndarray, lens: np.ndarray, epochs: int = E
         gt += d * d
         w += RATE * g / np.sqrt(gw)
         t += RATE * d / np.sqrt(gt)
-    # Features never seen take the mean weights of those of their template that were.
-    seen = np.zeros(size, dtype=bool)
-    seen[used] = True
-    for a, b in zip(STARTS[:-1].tolist(), STARTS[1:].tolist(), strict=True):
-        if seen[a:b].any():
-            w[a:b][~seen[a:b]] = w[a:b][seen[a:b]].mean(axis=0)
+    # Features never seen count as weak evidence of O, a prior: with weights of no opinion rare shapes would all be decoded.
+    unseen = np.ones(size, dtype=bool)
+    unseen[used] = False
+    w[unseen] = [-0.5, -0.5, 0.5]
     return Field(w, t)
 
 
