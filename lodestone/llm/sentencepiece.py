@@ -36,7 +36,7 @@ from .common import map_slices, table, text_or_empty
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE_ENTRIES, CACHE_CHARS, PAIR_ENTRIES = 200_000, 64, 300_000
+CACHE_ENTRIES, CACHE_CHARS, PAIR_ENTRIES = 70_000, 64, 150_000
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
