@@ -10,7 +10,7 @@ in all, whatever the data); homes are compared with replicas per anchor. No link
 
 Equal fingerprints are one class before the search, so copies are never paired. Per anchor only
 a spanning forest of the links leaves the task; anchors with many members are dealt over salts
-(homes go to every salt, replicas to one). Components come from an iterative star algorithm on
+(homes go to every salt, replicas to one). Joins are by shuffle alone, so the driver's memory doesn't grow with the input. Components come from an iterative star algorithm on
 checkpointed edges.
 
 Nulls and empty texts have fingerprint zero and link like any other. Texts of any length are hashed whole. Empty tables give empty results. Repeated rows and ties get
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_slices, partitions, saved, table, text_or_empty
+from .common import connected_components, map_slices, partitions, saved, table, text_or_empty, unsent
 
 THRESHOLD, SHINGLE, SEED = 3, 3, 42
 #: Replicas at one salt of an anchor, in the mean.
@@ -140,7 +140,7 @@ def links(classes: DataFrame) -> DataFrame:
     replicas = classes.mapInArrow(replicate, "anchor long, home boolean, fp long, id long")
     # Anchors with a single member can link nothing, and a count of members tells how many salts an anchor needs.
     sizes = replicas.groupBy("anchor").agg(F.count("*").alias("n"), F.max("home").alias("any_home")).where("n > 1 and any_home").withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("int")).select("anchor", "salts")
-    members = replicas.join(sizes, "anchor")
+    members = replicas.join(unsent(sizes), "anchor")
     dealt = members.select("anchor", "home", "fp", "id", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")))).alias("salt"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,17 +188,17 @@ def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
     unnamed = F.col("component_id") == last
     real = fps.where(F.col("doc_id") == last)
     if not real.isEmpty():  # an id of the value that stands for null: its component has a name
-        named = by_fp.join(real.select("fp").distinct(), "fp").select("component", F.lit(True).alias("named")).distinct()
-        by_fp = by_fp.join(named, "component", "left")
+        named = by_fp.join(unsent(real.select("fp").distinct()), "fp").select("component", F.lit(True).alias("named")).distinct()
+        by_fp = by_fp.join(unsent(named), "component", "left")
         unnamed = unnamed & F.col("named").isNull()
     by_fp = by_fp.select("fp", F.when(~unnamed, F.col("component_id")).alias("component_id"))
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(unsent(by_fp), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents whose id is the smallest of their component; of repeated rows with that id, all stay."""
     kept = components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    return docs.join(unsent(kept), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

@@ -99,6 +99,18 @@ def test_no_link_is_lost(spark, monkeypatch, salt_rows):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_simhash_broadcasts_nothing(spark):
+    """Sides grow with the input, and a dozen of 10 MB exceeded a driver's memory."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    base = [f"word{i}" for i in range(200)]
+    simhash.components(spark.createDataFrame([(i, " ".join([*base[:-1], f"x{i}"])) for i in range(20)], "doc_id long, text string")).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList(int(before), 1000)
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    assert sum("SortMergeJoin" in p for p in plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
 def test_long_chain(spark):
     n = 200
     ids = spark.range(n).select("id")
