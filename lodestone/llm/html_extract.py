@@ -16,19 +16,19 @@ half is repeated. What that means depends on the markup around it:
 * Inside an article, repetition alone is not enough, as a passage that two articles share is part of
   both. A repeated block goes if its context (the path of block elements with their classes and ids) is
   mostly repeated on that host, over CONTEXT_PAGES pages or more: that is a template's element, whatever
-  its class is called. It also goes if it lies on most pages of its shard (FREQUENT_PAGES at
+  its class is called. It also goes if it lies on most pages of its host that have an article (FREQUENT_PAGES at
   least), unless more than half of the article would go that way: such pages are copies of each other.
   Pages whose article is mostly repeated don't count for contexts.
 
 A page's text is that of its article elements; without one, of its main container or else of its body.
 
-Hosts of any size: a host's pages are dealt by hash over shards of about SHARD_BYTES, hundreds of pages each.
-Outside articles what counts is the whole host: shards of a
+Hosts of any size: a host's pages are dealt by hash over shards of about SHARD_BYTES, thousands of pages each.
+What counts is the whole host, outside articles and inside: shards of a
 split host send the hashes of their prefixes, each once with its number of pages, to buckets, which
-add them up and answer; a page lies in one shard, so the sums are those of the host. Hashes have 40 bits, which
-decide about a block only where several in a row collide. Inside articles a block is compared with those of its shard (all
-of the host's, if it is not split), and contexts are summed over the shards. Streams travel compressed, article text
-once. The blocks to drop are joined to the pages by broadcast below a counted size, else by shuffle.
+add them up and tell every shard the host's number of pages for each of its prefixes that several hold, and the number of
+pages with an article. A page lies in one shard, so the sums are those of the host, and the size of a shard changes no result. Hashes have 40 bits, which
+decide about a block only where several in a row collide. Contexts are summed over the shards, too. Streams travel compressed, article text
+twice (once where no host is split); hashes travel as differences. The blocks to drop are joined to the pages by broadcast below a counted size, else by shuffle.
 
 Nulls: a null html is an empty page with empty text, a null url belongs to the host "". Rows
 that share page_id, url and html are one page for counting distinct pages, and all are returned; so are those
@@ -56,7 +56,9 @@ MIN_TOKENS, COVERED = 5, 0.5
 #: Pages on which a block must lie to be on most of a host's, and pages that speak for a context.
 FREQUENT_PAGES, CONTEXT_PAGES = 4, 3
 #: Bytes of html a shard, and shards at most before they grow up to the second size.
-SHARD_BYTES, LARGEST_SHARD_BYTES, MOST_SHARDS = 1 << 20, 64 << 20, 32_768
+SHARD_BYTES, LARGEST_SHARD_BYTES, MOST_SHARDS = 8 << 20, 64 << 20, 32_768
+#: Shards whose prefixes fill about one bucket.
+BUCKET_SHARDS = 8
 BROADCAST_ROWS = 500_000
 
 #: A tag with its attributes (no ">" where a quote is never closed), or the start of a comment or declaration. Possessive: nothing is tried twice.
@@ -243,25 +245,58 @@ def prefix_ranks(ids: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
+HASH_BITS = 40
+
+
+def _mixed(words: list[str], ids: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Hashes of the depth tokens from each place on. ids: numbers in words."""
+    own = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint64, count=len(words))
+    h = np.zeros(len(at), dtype=np.uint64)
+    for k in range(depth if len(own) else 0):
+        h = (h ^ own[ids[at + k]]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h >> np.uint64(64 - HASH_BITS)
+
+
+def _numbered(streams: list[list[str]]) -> tuple[list[str], np.ndarray]:
+    """The distinct tokens, and the number of each token of all streams in a row."""
+    numbers: dict[str, int] = {}
+    parts: list[int] = []
+    for i, tokens in enumerate(streams):
+        parts += [numbers.setdefault(t, len(numbers)) for t in tokens]
+        parts.append(-1 - i)  # a separator of its own, so that no substring goes on into the next page
+    return list(numbers), np.array(parts, dtype=np.int64)
+
+
+def _whole(ids: np.ndarray, depth: int) -> np.ndarray:
+    """Places from which depth tokens lie in one stream."""
+    if len(ids) < depth:
+        return np.zeros(0, np.int64)
+    run = np.cumsum(np.concatenate([[0], (ids >= 0).astype(np.int64)]))
+    return np.flatnonzero(run[depth:] - run[:-depth] == depth)
+
+
+def prefixes(streams: list[list[str]], depth: int = MIN_TOKENS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, ascending, of what begins anywhere in the streams, and the number of streams that hold each: as an array's groups, without their order."""
+    words, ids = _numbered(streams)
+    at = _whole(ids, depth)
+    owner = np.repeat(np.arange(len(streams), dtype=np.uint64), [len(s) + 1 for s in streams])
+    both = np.unique(_mixed(words, ids, at, depth) << np.uint64(64 - HASH_BITS) | owner[at])
+    h = both >> np.uint64(64 - HASH_BITS)
+    heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+    return h[heads], np.diff(np.append(heads, len(h)))
+
+
 class Array:
     """The suffix array of several streams: suffixes of depth tokens within their page, in the order of their ranks, and groups of those that agree."""
 
     def __init__(self, streams: list[list[str]], pages: list[int], depth: int = MIN_TOKENS):
-        numbers: dict[str, int] = {}
-        parts: list[int] = []
-        for i, tokens in enumerate(streams):
-            parts += [numbers.setdefault(t, len(numbers)) for t in tokens]
-            parts.append(-1 - i)  # a separator of its own, so that no substring goes on into the next page
-        self.words, self.depth = list(numbers), depth
+        self.words, self.ids = _numbered(streams)
+        self.depth, ids = depth, self.ids
         self.sizes = np.array([len(s) for s in streams], dtype=np.int64)
-        self.ids = ids = np.array(parts, dtype=np.int64)
         owner = np.repeat(np.unique(np.array(pages), return_inverse=True)[1] if len(pages) else np.zeros(0, np.int64), self.sizes + 1)
         rank = prefix_ranks(ids - ids.min(initial=0), depth)
-        whole = np.zeros(len(ids), dtype=bool)
-        if len(ids) >= depth:
-            run = np.cumsum(np.concatenate([[0], (ids >= 0).astype(np.int64)]))
-            whole[: len(ids) - depth + 1] = run[depth:] - run[:-depth] == depth
-        real = np.flatnonzero(whole)
+        real = _whole(ids, depth)
         self.suffixes = real[np.lexsort((owner[real], rank[real]))]
         r, page = rank[self.suffixes], owner[self.suffixes]
         begins = np.concatenate([[True], r[1:] != r[:-1]])[: len(r)]
@@ -272,13 +307,8 @@ class Array:
         self.pages = np.add.reduceat(fresh.astype(np.int64), self.heads) if len(r) else np.zeros(0, np.int64)
 
     def hashes(self) -> np.ndarray:
-        """40 bits for the prefix of each group."""
-        own = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in self.words), dtype=np.uint64, count=len(self.words))
-        h, at = np.zeros(len(self.heads), dtype=np.uint64), self.suffixes[self.heads]
-        for k in range(self.depth if len(own) else 0):
-            h = (h ^ own[self.ids[at + k]]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        return h >> np.uint64(24)
+        """HASH_BITS bits for the prefix of each group."""
+        return _mixed(self.words, self.ids, self.suffixes[self.heads], self.depth)
 
     def marks(self, group: np.ndarray) -> list[np.ndarray]:
         """For each stream, which tokens the suffixes of the chosen groups cover."""
@@ -310,7 +340,7 @@ def _pages(pages: DataFrame) -> DataFrame:
 STREAM = "host string, shard int, shards int, page_id long, key long, kinds binary, outside binary, inside binary, contexts array<long>"
 
 
-def streams(pages: DataFrame, inside: bool) -> DataFrame:
+def streams(pages: DataFrame) -> DataFrame:
     """The blocks of every page that has any. pages: as _pages() gives them, with shard and shards."""
 
     def packed(texts: list[str]) -> bytes | None:
@@ -320,7 +350,7 @@ def streams(pages: DataFrame, inside: bool) -> DataFrame:
         rows = []
         for html in batch.column("html").to_pylist():
             blocks = parse(html)
-            article = [b for b in blocks if b.kind == ARTICLE] if inside else []
+            article = [b for b in blocks if b.kind == ARTICLE]
             rows.append((bytes(b.kind for b in blocks) or None, packed([b.text for b in blocks if b.kind != ARTICLE]), packed([b.text for b in article]), [b.context for b in article]))
         kinds = (pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
         cols = [batch.column(n) for n in ("host", "shard", "shards", "page_id", "key")]
@@ -349,17 +379,30 @@ def _distinct(rows: list[dict]) -> list[dict]:
     return [r for k, r in enumerate(rows) if not k or (rows[k - 1]["page_id"], rows[k - 1]["key"]) != (r["page_id"], r["key"])]
 
 
-def _array(pages: list[dict], part: str) -> tuple[list[list[str]], Array]:
-    """The texts of the blocks of each page, outside or inside articles, and their suffix array."""
+def _texts(pages: list[dict], part: str) -> tuple[list[list[str]], list[list[str]]]:
+    """The texts of the blocks of each page, outside or inside articles, and their tokens in a row."""
     blocks = [zlib.decompress(r[part]).decode("utf-8", "surrogatepass").split("\n") if r[part] else [] for r in pages]
-    return blocks, Array([" ".join(b).split(" ") if b else [] for b in blocks], list(range(len(pages))))
+    return blocks, [" ".join(b).split(" ") if b else [] for b in blocks]
+
 
+def _pack(h: np.ndarray) -> bytes:
+    """Ascending hashes: their number, the lower 16 bits of each, and the differences of the rest, byte by byte."""
+    rest = np.diff(h >> np.uint64(16), prepend=np.uint64(0)).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return len(h).to_bytes(4, "little") + (h & np.uint64(0xFFFF)).astype("<u2").tobytes() + zlib.compress(rest.T.tobytes(), 1)
 
-def _bucketed(a: Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the groups, their buckets, and the order of (bucket, hash)."""
-    h = a.hashes()
-    bucket = (h % np.uint64(buckets)).astype(np.int64)
-    return h, bucket, np.lexsort((h, bucket))
+
+def _unpack(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:4], "little")
+    rest = np.ascontiguousarray(np.frombuffer(zlib.decompress(b[4 + 2 * n :]), np.uint8).reshape(4, n).T).view("<u4").reshape(-1)
+    return np.cumsum(rest.astype(np.uint64), dtype=np.uint64) << np.uint64(16) | np.frombuffer(b, "<u2", n, 4)
+
+
+def _pack_counts(n: np.ndarray) -> bytes:
+    return zlib.compress(n.astype("<u4").tobytes(), 1)
+
+
+def _unpack_counts(b: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(b), "<u4").astype(np.int64)
 
 
 def _most(pages: int) -> int:
@@ -367,62 +410,75 @@ def _most(pages: int) -> int:
     return max(FREQUENT_PAGES, pages // 2 + 1)
 
 
-ASKED = "host string, bucket int, shard int, hashes binary, counts binary"
-ANSWERED = "host string, shard int, bucket int, several binary"
+#: Even buckets hold prefixes from outside articles, odd ones those from inside; bucket 1 adds up the pages with an article.
+ASKED = "host string, bucket int, shard int, hashes binary, counts binary, articles long"
+ANSWERED = "host string, shard int, bucket int, hashes binary, counts binary, articles long"
+_ASKS = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
 JUDGED = "host string, page_id long, key long, open boolean, blocks array<struct<i:int,context:long,frequent:boolean>>, contexts array<struct<context:long,n:long,covered:long,pages:long>>"
 
 
+def _asks(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _ASKS, strict=True)], schema.replace(",", "").split()[::2])
+
+
 def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a shard tells each bucket: hashes (five bytes each, ascending) and their pages."""
+    """What a shard tells each bucket, which has a range of the hashes: hashes and their pages."""
     for host, shard, rows in _groups(batches):
-        a = _array(_distinct(rows), "outside")[1]
-        h, bucket, order = _bucketed(a, rows[0]["shards"])
-        cuts = np.searchsorted(bucket[order], np.arange(rows[0]["shards"] + 1)).tolist()
-        out = []
-        for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            part = order[x:y]
-            if len(part):
-                out.append((host, b, shard, h[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), a.pages[part].astype("<u4").tobytes()))
-        if not out:
-            continue
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ASKED.replace(",", "").split()[::2])
+        pages, buckets, out = _distinct(rows), -(-rows[0]["shards"] // BUCKET_SHARDS), []
+        for side, part in enumerate(("outside", "inside")):
+            h, n = prefixes(_texts(pages, part)[1])
+            cuts = np.searchsorted(h, np.array([(b << HASH_BITS) // buckets for b in range(buckets + 1)], np.uint64)).tolist()
+            for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                first = side and not b
+                if x < y or first:
+                    out.append((host, 2 * b + side, shard, _pack(h[x:y]), _pack_counts(n[x:y]), sum(r["inside"] is not None for r in pages) if first else None))
+        yield _asks(out, ASKED)
 
 
 def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a bucket tells each shard of its hashes: whether they are on several pages of the host."""
+    """What a bucket tells each shard: those of its hashes that several pages of the host hold, and how many do."""
     for host, bucket, rows in _groups(batches):
-        hashes = []
-        for r in rows:
-            wide = np.zeros((len(r["hashes"]) // 5, 8), dtype=np.uint8)
-            wide[:, :5] = np.frombuffer(r["hashes"], dtype=np.uint8).reshape(-1, 5)
-            hashes.append(wide.reshape(-1).view("<u8"))
+        hashes = [_unpack(r["hashes"]) for r in rows]
         distinct, number = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(number, weights=np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]), minlength=len(distinct))
-        level = (total > 1)[number]
-        ends = np.cumsum([len(x) for x in hashes]).tolist()
-        out = [(host, r["shard"], bucket, np.packbits(level[e - len(x) : e]).tobytes()) for r, x, e in zip(rows, hashes, ends, strict=True)]
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ANSWERED.replace(",", "").split()[::2])
+        total = np.bincount(number, weights=np.concatenate([_unpack_counts(r["counts"]) for r in rows]), minlength=len(distinct)).astype(np.int64)[number]
+        articles = sum(r["articles"] for r in rows) if bucket == 1 else None
+        ends, out = np.cumsum([len(x) for x in hashes]).tolist(), []
+        for r, h, e in zip(rows, hashes, ends, strict=True):
+            n = total[e - len(h) : e]
+            if (n > 1).any() or bucket == 1:
+                out.append((host, r["shard"], bucket, _pack(h[n > 1]), _pack_counts(n[n > 1]), articles))
+        if out:
+            yield _asks(out, ANSWERED)
+
+
+def _host_pages(a: Array, told: list[dict]) -> np.ndarray:
+    """Pages of the host, instead of the shard, for each group of a shard's array. told: the answers of all buckets."""
+    out = np.ones(len(a.heads), dtype=np.int64)
+    if told:
+        told = sorted(told, key=lambda r: r["bucket"])
+        h, n = np.concatenate([_unpack(r["hashes"]) for r in told]), np.concatenate([_unpack_counts(r["counts"]) for r in told])
+        if len(h):
+            own = a.hashes()
+            at = np.minimum(np.searchsorted(h, own), len(h) - 1)
+            out = np.where(h[at] == own, n[at], 1)
+    return out
 
 
 def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated blocks of each page's main part, and what each context of the shard's articles holds."""
     for host, _, rows in _groups(batches):
-        told = {r["bucket"]: r["several"] for r in rows if r["kinds"] is None}
+        told = [r for r in rows if r["kinds"] is None]
         pages = _distinct([r for r in rows if r["kinds"] is not None])
         if not pages:
             continue
-        outside, a = _array(pages, "outside")
-        several = a.pages > 1
-        if told:
-            _, bucket, order = _bucketed(a, pages[0]["shards"])
-            n = np.bincount(bucket, minlength=pages[0]["shards"])
-            several[order] = np.concatenate([np.unpackbits(np.frombuffer(told[k], dtype=np.uint8), count=n[k]) for k in np.flatnonzero(n).tolist()]).astype(bool)
-        inside, c = _array(pages, "inside")
-        most = c.pages >= _most(sum(bool(x) for x in inside))
+        (outside, x), (inside, y) = (_texts(pages, part) for part in ("outside", "inside"))
+        a, c = (Array(t, list(range(len(pages)))) for t in (x, y))
+        several, many, articles = a.pages, c.pages, sum(bool(x) for x in inside)
+        if pages[0]["shards"] > 1:
+            several, many = (_host_pages(arr, [r for r in told if r["bucket"] % 2 == side]) for side, arr in enumerate((a, c)))
+            articles = next(r["articles"] for r in told if r["bucket"] == 1)
         out, about = [], {}
-        for page, *found in zip(pages, outside, a.marks(several), inside, c.marks(c.pages > 1), c.marks(most), strict=True):
+        for page, *found in zip(pages, outside, a.marks(several > 1), inside, c.marks(many > 1), c.marks(many >= _most(articles)), strict=True):
             kinds = np.frombuffer(page["kinds"], dtype=np.uint8)
             best = best_kind(set(kinds.tolist()))
             if best is None:
@@ -466,11 +522,15 @@ def repeated_blocks(pages: DataFrame, shard_bytes: int | None = None) -> DataFra
     total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     each = shard_bytes or min(LARGEST_SHARD_BYTES, max(SHARD_BYTES, total // MOST_SHARDS))
     large = sizes.where(F.col("bytes") > each).select("host", F.ceil(F.col("bytes") / each).cast("int").alias("shards"))
-    dealt = pages.join(_small(large, large.count()), "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1))).withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (16 * SHARD_BYTES))
-    asked = streams(dealt.where("shards > 1"), False).where("outside is not null").repartition(n, "host", "shard").sortWithinPartitions("host", "shard", "page_id", "key").mapInArrow(ask, ASKED)
-    answered = asked.repartition(n, "host", "bucket").sortWithinPartitions("host", "bucket", "shard").mapInArrow(answer, ANSWERED)
-    both = streams(dealt, True).unionByName(answered, allowMissingColumns=True)
+    n_large = large.count()
+    dealt = pages.join(_small(large, n_large), "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1))).withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (2 * SHARD_BYTES))
+    both = streams(dealt)
+    if n_large:
+        asked = streams(dealt.where("shards > 1")).repartition(n, "host", "shard").sortWithinPartitions("host", "shard", "page_id", "key").mapInArrow(ask, ASKED)
+        # Written before the rest begins, so that the hashes are gone by then.
+        answered = saved(asked.repartition(n, "host", "bucket").sortWithinPartitions("host", "bucket", "shard").mapInArrow(answer, ANSWERED), "html-answers")
+        both = both.unionByName(answered, allowMissingColumns=True)
     judged = saved(both.repartition(n, "host", "shard").sortWithinPartitions("host", "shard", "page_id", "key").mapInArrow(judge, JUDGED), "html-repeated")
     contexts = judged.where("contexts is not null").select("host", F.explode("contexts").alias("c")).groupBy("host", "c.context").agg(F.sum("c.n").alias("n"), F.sum("c.covered").alias("covered"), F.sum("c.pages").alias("pages"))
     template = contexts.where((F.col("pages") >= CONTEXT_PAGES) & (F.col("covered") > COVERED * F.col("n"))).select("host", "context", F.lit(True).alias("template"))

@@ -214,6 +214,23 @@ def test_templates_inside_articles(spark, shard_bytes):
     assert {r.page_id: html_extract.main_text(html_extract.parse(r.html), set()) for r in pages.collect()} == plain
 
 
+@pytest.mark.parametrize("shard_bytes", [100, 900, 2500])
+def test_shards_change_nothing_inside_articles(spark, shard_bytes):
+    """Notices on two pages each, a license on most pages, articles that share a passage: as if the host were not split."""
+    rng = random.Random(12)
+    notices, license_, shared = [words(rng, 14) for _ in range(12)], words(rng, 11), words(rng, 25)
+    rows, want = [], {}
+    for i in range(24):
+        own = [words(rng, 40), *([shared] if i in (3, 11) else [])]
+        last = [license_] if i % 8 else []
+        rows.append((i, "http://one.org/x", f'<article><div class="zq-box"><p>{notices[i % 12]}</p></div>' + "".join(f"<p>{p}</p>" for p in [*own, *last]) + "</article>"))
+        want[i] = "\n".join(own)
+    pages = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string").repartition(3)
+    whole = [(r.page_id, r.text) for r in html_extract.extract(pages).collect()]
+    assert dict(whole) == want and len(whole) == 25
+    assert sorted((r.page_id, r.text) for r in html_extract.extract(pages, shard_bytes).collect()) == sorted(whole)
+
+
 def test_small_hosts_keep_what_articles_share(spark):
     """Five near copies of six pages are on most of a host's pages, and stay whole."""
     rng = random.Random(9)
@@ -266,6 +283,16 @@ def test_suffix_array_covers_what_repeats(depth):
     assert [g.tolist() for g in got] == brute_covered(streams, pages, depth)
 
 
+@pytest.mark.parametrize("n", [0, 1, 3000])
+def test_prefixes_are_the_groups_of_an_array(n):
+    rng = random.Random(n)
+    streams = [[rng.choice("abcdef") for _ in range(rng.randint(0, 2 * n // 30))] for _ in range(30)] if n else []
+    h, pages = html_extract.prefixes(streams)
+    a = html_extract.Array(streams, list(range(len(streams))))
+    assert dict(zip(h.tolist(), pages.tolist(), strict=True)) == dict(zip(a.hashes().tolist(), a.pages.tolist(), strict=True))
+    assert html_extract._unpack(html_extract._pack(h)).tolist() == h.tolist() == sorted(h.tolist())
+
+
 def test_prefix_ranks_sort_suffixes():
     rng = np.random.default_rng(0)
     ids = rng.integers(0, 3, 200)
