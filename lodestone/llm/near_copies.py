@@ -16,7 +16,13 @@ nearest leaves the task, and each is verified by the exact similarity of the tex
 every text, then what is left between components. Anchors that a sample of one class in SAMPLE shows to be crowded are dealt
 over salts, each of which compares its own members with all; the sample bears on the dealing alone.
 
-Equal fingerprints are one class from the start, so copies are never paired. Nulls and texts without words are one
+The anchors link most, but not all: pairs that meet at none, whose fingerprints differ by more, or that a forest's
+link stood for which then failed. So an exact way for the rest follows (missing()). Two sets of that similarity share one of their first shingles,
+in whatever order, if a fifth of each is taken and one more; pairs of different components that share one, of sizes and places that allow the
+similarity, are verified too. No pair of similar texts is left out. The order puts shingles last that are frequent in a sample, which bears on the
+work alone. A shingle's texts of one component are not compared with each other.
+
+Equal sets of shingles are one class from the start, so copies are never paired. Nulls and texts without words are one
 class. Texts of fewer words than a shingle have one shingle. Words are runs of characters outside ASCII white space,
 A-Z lower-cased. Repeated rows and rows that share an id are judged by their texts. Texts of any length are hashed whole. Null
 ids take part, come last, and a component of null ids alone has a null component_id. Empty tables give empty
@@ -34,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpoint, connected_components, saved, text_or_empty, words
+from .common import ascii_lower, checkpoint, connected_components, partitions, saved, text_or_empty, unsent, words
 from .lm_scoring import mix
 
 SHINGLE, BITS = 5, 256
@@ -50,6 +56,8 @@ SURE, MOST = 28, 54
 SAMPLE, SALT_ROWS = 16, 4096
 BROADCAST_ROWS = 500_000
 MOST_PAIRS = 1 << 17
+#: Shingles that come last: in so many texts of the sample, and at most so many of them. Groups up to SMALL are compared side by side.
+FREQUENT, MOST_FREQUENT, SMALL = 4, 200_000, 64
 _G = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -62,43 +70,74 @@ class _Hashes(dict):
         return h
 
 
-def wide(texts: list[bytes], cache: dict | None = None, block: int = 1 << 15) -> np.ndarray:
-    """Fingerprints of texts, BITS / 8 bytes each."""
-    cache = _Hashes() if cache is None else cache
-    out = np.zeros((len(texts), BITS // 64), dtype=np.uint64)
-    for i, text in enumerate(texts):
-        w = text.translate(_LOWER).split()
-        if not w:
-            continue
-        h = np.fromiter(map(cache.__getitem__, w), dtype=np.uint64, count=len(w))
-        n = max(1, len(h) - SHINGLE + 1)
-        grams = np.zeros(n, dtype=np.uint64)
-        for k in range(min(SHINGLE, len(h))):
-            grams = mix(grams * _G + h[k : k + n] + np.uint64(1))
-        grams = np.unique(grams)
-        for j in range(BITS // 64):
-            counts = np.zeros(64, dtype=np.int64)
-            for a in range(0, len(grams), block):
-                g = mix(grams[a : a + block] + np.uint64((j + 1) * int(_G) & (1 << 64) - 1))
-                counts += np.add.reduce(np.unpackbits(g.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint32)
-            out[i, j] = np.packbits(2 * counts > len(grams), bitorder="little").view("<u8")[0]
+def shingles(text: bytes, cache: dict) -> np.ndarray:
+    """Hashes of the distinct shingles of a text, ascending."""
+    w = text.translate(_LOWER).split()
+    if not w:
+        return np.zeros(0, dtype=np.uint64)
+    h = np.fromiter(map(cache.__getitem__, w), dtype=np.uint64, count=len(w))
+    n = max(1, len(h) - SHINGLE + 1)
+    grams = np.zeros(n, dtype=np.uint64)
+    for k in range(min(SHINGLE, len(h))):
+        grams = mix(grams * _G + h[k : k + n] + np.uint64(1))
+    return np.unique(grams)
+
+
+def wide(grams: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+    """The fingerprint of a set of shingles, BITS / 64 numbers."""
+    out = np.zeros(BITS // 64, dtype=np.uint64)
+    for j in range(BITS // 64 if len(grams) else 0):
+        counts = np.zeros(64, dtype=np.int64)
+        for a in range(0, len(grams), block):
+            g = mix(grams[a : a + block] + np.uint64((j + 1) * int(_G) & (1 << 64) - 1))
+            counts += np.add.reduce(np.unpackbits(g.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint32)
+        out[j] = np.packbits(2 * counts > len(grams), bitorder="little").view("<u8")[0]
     return out
 
 
+def first(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, of which two similar sets share one: what is not frequent comes first, then by hash. frequent: ascending."""
+    n = len(grams)
+    late = frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams if len(frequent) else np.zeros(n, bool)
+    return np.concatenate([grams[~late], grams[late]])[: n - -(-NUMERATOR * n // DENOMINATOR) + 1 if n else 0]
+
+
+def _texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    t = text_or_empty(text)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(t).alias("rid"), t.alias("text"))
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    cache = _Hashes()
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            column = part.column(2)
+            yield part, [shingles(t, cache) for t in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
+
+
+def frequent_shingles(texts: DataFrame) -> np.ndarray:
+    """Shingles that many texts of a sample have, ascending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _each(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["s"])
+
+    few = texts.where(F.pmod("rid", F.lit(SAMPLE)) == 0).mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    return np.sort(few.orderBy(F.desc("n")).limit(MOST_FREQUENT).select("s").toArrow().column(0).to_numpy().view(np.uint64))
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, rid (hash of the text), fp (BITS / 8 bytes)."""
+    """doc_id, rid (hash of the text), fp (BITS / 8 bytes), key (hash of the set of shingles), n (its size), first (its first shingles, 8 bytes each)."""
+    texts = _texts(docs, id_column, text)
+    frequent = frequent_shingles(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Hashes()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                column = part.column(2)
-                fps = wide(column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist(), cache)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in fps], pa.binary())], ["doc_id", "rid", "fp"])
+        for part, sets in _each(batches):
+            more = [[f(g) for g in sets] for f in (lambda g: wide(g).tobytes(), lambda g: xxhash.xxh3_128_digest(g.tobytes()), lambda g: first(g, frequent).tobytes())]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, pa.binary()) for x in more), pa.array([len(g) for g in sets], pa.int32())], ["doc_id", "rid", "fp", "key", "first", "n"])
 
-    t = text_or_empty(text)
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(t).alias("rid"), t.alias("text")).mapInArrow(run, "doc_id long, rid long, fp binary")
+    return texts.mapInArrow(run, "doc_id long, rid long, fp binary, key binary, first binary, n int")
 
 
 def meeting(bits: int, tables: int) -> float:
@@ -286,6 +325,82 @@ def links(classes: DataFrame, recall: float = RECALL) -> DataFrame:
     return found.select(pick("ia", "ib").alias("ia"), pick("ra", "rb").alias("ra"), pick("ib", "ia").alias("ib"), pick("rb", "ra").alias("rb"), "d").groupBy("ia", "ra", "ib", "rb").agg(F.min("d").alias("d"))
 
 
+def similar_sizes(token: np.ndarray, n: np.ndarray, place: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one token and different components whose sizes and places of the token allow the similarity. Rows come sorted by token and n."""
+    out_a, out_b = [], []
+
+    def keep(a, b):
+        both = 1 + np.minimum(n[a] - 1 - place[a], n[b] - 1 - place[b])
+        good = (component[a] != component[b]) & ((NUMERATOR + DENOMINATOR) * both >= NUMERATOR * (n[a] + n[b])) & (DENOMINATOR * np.minimum(n[a], n[b]) >= NUMERATOR * np.maximum(n[a], n[b]))
+        out_a.append(a[good])
+        out_b.append(b[good])
+
+    begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    sizes = np.diff(np.append(begins, len(token)))
+    mixed = np.minimum.reduceat(component, begins) != np.maximum.reduceat(component, begins)
+    alive, step = np.flatnonzero(np.repeat(mixed & (sizes <= SMALL), sizes)), 0
+    while len(alive):
+        step += 1
+        alive = alive[alive + step < len(token)]
+        alive = alive[(token[alive] == token[alive + step]) & (DENOMINATOR * n[alive] >= NUMERATOR * n[np.minimum(alive + step, len(n) - 1)])]
+        keep(alive, alive + step)
+    for k in np.flatnonzero(mixed & (sizes > SMALL)).tolist():
+        rows = np.arange(begins[k], begins[k] + sizes[k])
+        found, count = np.unique(component[rows], return_counts=True)
+        rest = component[rows] != found[count.argmax()]  # of the largest component no two rows are compared
+        for r in rows[rest].tolist():
+            low, high = begins[k] + np.searchsorted(n[rows], [-(-NUMERATOR * int(n[r]) // DENOMINATOR), DENOMINATOR * int(n[r]) // NUMERATOR + 1])
+            b = np.arange(low, high)
+            b = b[(b > r) | ~rest[b - begins[k]]]
+            keep(np.full(len(b), r), b)
+    return np.concatenate([*out_a, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*out_b, np.zeros(0, np.int64)]).astype(np.int64)
+
+
+def missing(classes: DataFrame, one: DataFrame) -> DataFrame:
+    """ia, ra, ib, rb of all pairs of classes in different components that may be similar. one: id, component of linked classes."""
+    spark = classes.sparkSession
+    own = F.struct("id", "rid")
+    named = one.select(F.col("id").alias("_node"), "component")
+    rows = classes.where("n > 0").join(unsent(named), own == F.col("_node"), "left").select("id", "rid", F.xxhash64(F.coalesce("component", own)).alias("component"), "n", "first")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                each = [np.frombuffer(x, np.int64) for x in part.column("first").to_pylist()]
+                row = np.repeat(np.arange(len(each)), [len(x) for x in each])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each)), pa.array(np.concatenate([np.arange(len(x), dtype=np.int32) for x in each])), *(pa.array(part.column(c).to_numpy()[row]) for c in ("n", "component", "id", "rid"))], ["token", "place", "n", "component", "id", "rid"])
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(cols):
+            token, place, n, component, ids, rids = cols
+            a, b = similar_sizes(token, n.astype(np.int64), place.astype(np.int64), component)
+            swap = (ids[a] > ids[b]) | (ids[a] == ids[b]) & (rids[a] > rids[b])
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[a], rids[a], ids[b], rids[b])], ["ia", "ra", "ib", "rb"])
+
+        held, size, enough = [], 0, 50_000
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            size += batch.num_rows
+            if size < enough:
+                continue
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            if last:
+                yield solve([c[:last] for c in cols])
+            held, size = [[c[last:] for c in cols]], len(cols[0]) - last
+            enough = max(50_000, 2 * size)
+        if held:
+            yield solve([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    parts = partitions(classes, 4 << 20)
+    dealt = rows.mapInArrow(spread, "token long, place int, n int, component long, id long, rid long").repartition(parts, "token").sortWithinPartitions("token", "n")
+    return dealt.mapInArrow(pair, "ia long, ra long, ib long, rb long").distinct()
+
+
 def verified(docs: DataFrame, edges: DataFrame) -> DataFrame:
     """The edges whose texts have the similarity. docs: doc_id, rid, text."""
     ends = checkpoint(edges.select(F.col("ia").alias("id"), F.col("ra").alias("rid")).union(edges.select("ib", "rb")).distinct())
@@ -315,7 +430,7 @@ def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", r
     """doc_id, rid, component_id of every row."""
     last = F.lit((1 << 63) - 1)  # null ids come last; a real id of that value meets none of them here, as ids are compared with their texts
     fps = saved(fingerprints(docs, id_column, text), "near-fingerprints")
-    classes = saved(fps.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "rid")).alias("c")).select("c.id", "c.rid", "fp"), "near-classes")
+    classes = saved(fps.groupBy("key").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "rid", "fp", "n", "first")).alias("c")).select("c.*", "key"), "near-classes")
     found = saved(links(classes, recall), "near-links")
     texts = docs.select(F.coalesce(F.col(id_column).cast("long"), last).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("rid"), text_or_empty(text).alias("text"))
     sure, unsure = found.where(F.col("d") <= SURE), found.where(F.col("d") > SURE)
@@ -331,9 +446,15 @@ def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", r
         more = checkpoint(_nodes(verified(texts, rest)))
         if not more.isEmpty():
             one = _joined(one.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+    # At last, exactly, pairs that the fingerprints left out.
+    left = saved(missing(classes, one), "near-left")
+    if not left.isEmpty():
+        more = checkpoint(_nodes(verified(texts, left)))
+        if not more.isEmpty():
+            one = _joined(one.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     named = one.select(F.col("id.id").alias("i"), F.col("id.rid").alias("r"), F.col("component.id").alias("component_id"))
-    by_fp = classes.join(named, (classes["id"] == named["i"]) & (classes["rid"] == named["r"]), "left").select("fp", F.nullif(F.coalesce("component_id", "id"), last).alias("component_id"))
-    return fps.join(by_fp, "fp").select("doc_id", "rid", "component_id")
+    by_fp = classes.join(named, (classes["id"] == named["i"]) & (classes["rid"] == named["r"]), "left").select("key", F.nullif(F.coalesce("component_id", "id"), last).alias("component_id"))
+    return fps.select("doc_id", "rid", "key").join(by_fp, "key").select("doc_id", "rid", "component_id")
 
 
 def keep_first(docs: DataFrame, recall: float = RECALL) -> DataFrame:

@@ -112,6 +112,44 @@ def test_forest(monkeypatch, pairs_at_once):
     assert len(a) == len(set(sure.values())) - len(set(every.values()))
 
 
+def test_no_similar_pair_is_left_out(spark):
+    """Every pair at 0.8 or more is in one component, also if the anchors find few, a nearer link fails, or shingles are frequent."""
+    rng = random.Random(11)
+    common = [rng.choice(VOCABULARY) for _ in range(30)]
+    rows = []
+    for k in range(120):
+        base = [rng.choice(VOCABULARY) for _ in range(rng.choice([4, 12, 60, 200]))] + common * (k % 2)
+        rows.append(" ".join(base))
+        for _ in range(3):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 40))):
+                w[rng.randrange(len(w))] = rng.choice(VOCABULARY)
+            rows.append(" ".join(w))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    pairs = brute_pairs(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_copies.components(docs, recall=0.05).collect()}
+    assert len(pairs) > 100 and [p for p in pairs if got[p[0]] != got[p[1]]] == []
+
+
+@pytest.mark.parametrize("small", [1, 64])
+def test_first_shingles_meet(monkeypatch, small):
+    """Every similar pair of different components comes out of some shingle's rows, in groups of either kind."""
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 60)).astype(np.uint64)) for _ in range(30)]
+    sets += [np.unique(np.append(rng.choice(x, max(1, int(len(x) * 0.95)), replace=False), rng.integers(0, 300, 1).astype(np.uint64))) for x in sets for _ in range(3)]
+    component = rng.integers(0, 8, len(sets))
+    rows = sorted((int(t), len(x), p, i) for i, x in enumerate(sets) for p, t in enumerate(near_copies.first(x, np.arange(0, 300, 7, dtype=np.uint64))))
+    token, n, place, owner = np.array(rows).T
+    a, b = near_copies.similar_sizes(token, n, place, component[owner])
+    got = {tuple(sorted(x)) for x in zip(owner[a].tolist(), owner[b].tolist(), strict=True)}
+    real = [set(x.tolist()) for x in sets]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if component[i] != component[j] and similarity(real[i], real[j]) >= 0.8}
+    assert len(want) > 30 and want <= got and all(component[i] != component[j] for i, j in got)
+
+
 def test_salts_change_nothing(spark, monkeypatch):
     rows = edited(random.Random(6), 3, VOCABULARY, 60)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
