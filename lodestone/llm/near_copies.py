@@ -20,7 +20,8 @@ The anchors link most, but not all: pairs that meet at none, whose fingerprints
 link stood for which then failed. So an exact way for the rest follows (missing()). Two sets of that similarity share one of their first shingles,
 in whatever order, if a fifth of each is taken and one more; pairs of different components that share one, of sizes and places that allow the
 similarity, are verified too. No pair of similar texts is left out. The order puts shingles last that are frequent in a sample, which bears on the
-work alone. A shingle's texts of one component are not compared with each other.
+work alone. A shingle's texts of one component are not compared with each other. Hardly any of these pairs are similar, so sets of shingles
+meet only after parities have (possible()): a bit for each residue of the hashes, odd counts set, so that no more bits differ than shingles do.
 
 Equal sets of shingles are one class from the start, so copies are never paired. Nulls and texts without words are one
 class. Texts of fewer words than a shingle have one shingle. Words are runs of characters outside ASCII white space,
@@ -40,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpoint, connected_components, partitions, saved, text_or_empty, unsent, words
+from .common import ascii_lower, checkpoint, connected_components, discard, partitions, saved, text_or_empty, unsent, words
 from .lm_scoring import mix
 
 SHINGLE, BITS = 5, 256
@@ -102,6 +103,23 @@ def first(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([grams[~late], grams[late]])[: n - -(-NUMERATOR * n // DENOMINATOR) + 1 if n else 0]
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """Bits, as bytes: one for each residue of the hashes modulo a power of two, at least the size of the set; it is 1 if an odd number of hashes has it."""
+    bits = 1 << max(6, (len(grams) - 1).bit_length())
+    return np.packbits(np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little")
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Elements in which two sets of these parities differ, at least. The longer parity is folded to the length of the other."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, n = int.from_bytes(a, "little"), 8 * len(a)
+    while n > 8 * len(b):
+        n //= 2
+        x = (x >> n) ^ (x & ((1 << n) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
 def _texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     t = text_or_empty(text)
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(t).alias("rid"), t.alias("text"))
@@ -128,16 +146,16 @@ def frequent_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, rid (hash of the text), fp (BITS / 8 bytes), key (hash of the set of shingles), n (its size), first (its first shingles, 8 bytes each)."""
+    """doc_id, rid (hash of the text), fp (BITS / 8 bytes), key (hash of the set of shingles), n (its size), first (its first shingles, 8 bytes each), parity."""
     texts = _texts(docs, id_column, text)
     frequent = frequent_shingles(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _each(batches):
-            more = [[f(g) for g in sets] for f in (lambda g: wide(g).tobytes(), lambda g: xxhash.xxh3_128_digest(g.tobytes()), lambda g: first(g, frequent).tobytes())]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, pa.binary()) for x in more), pa.array([len(g) for g in sets], pa.int32())], ["doc_id", "rid", "fp", "key", "first", "n"])
+            more = [[f(g) for g in sets] for f in (lambda g: wide(g).tobytes(), lambda g: xxhash.xxh3_128_digest(g.tobytes()), lambda g: first(g, frequent).tobytes(), lambda g: parity(g).tobytes())]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, pa.binary()) for x in more), pa.array([len(g) for g in sets], pa.int32())], ["doc_id", "rid", "fp", "key", "first", "parity", "n"])
 
-    return texts.mapInArrow(run, "doc_id long, rid long, fp binary, key binary, first binary, n int")
+    return texts.mapInArrow(run, "doc_id long, rid long, fp binary, key binary, first binary, parity binary, n int")
 
 
 def meeting(bits: int, tables: int) -> float:
@@ -401,8 +419,23 @@ def missing(classes: DataFrame, one: DataFrame) -> DataFrame:
     return dealt.mapInArrow(pair, "ia long, ra long, ib long, rb long").distinct()
 
 
-def verified(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """The edges whose texts have the similarity. docs: doc_id, rid, text."""
+def possible(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges whose parities and sizes allow the similarity: none goes whose sets have it, and few stay whose sets are far from it."""
+    of = lambda x: unsent(classes.select(F.col("id").alias(f"i{x}"), F.col("rid").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")))
+    names = ["ia", "ra", "ib", "rb"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m = (batch.column(c).to_pylist() for c in ("pa", "pb", "na", "nb"))
+            keep = [(DENOMINATOR + NUMERATOR) * max(differing(*x), abs(x_n - x_m)) <= (DENOMINATOR - NUMERATOR) * (x_n + x_m) for *x, x_n, x_m in zip(a, b, n, m, strict=True)]
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return edges.select(names).join(of("a"), ["ia", "ra"]).join(of("b"), ["ib", "rb"]).mapInArrow(run, "ia long, ra long, ib long, rb long")
+
+
+def verified(docs: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges whose texts have the similarity. docs: doc_id, rid, text. Sets travel with the edges that parities allow, and are removed at the end."""
+    edges = saved(possible(classes, edges), "near-possible")
     ends = checkpoint(edges.select(F.col("ia").alias("id"), F.col("ra").alias("rid")).union(edges.select("ib", "rb")).distinct())
     small = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
     h = F.transform(words(ascii_lower(F.col("text"))), lambda w: F.xxhash64(w))
@@ -412,7 +445,9 @@ def verified(docs: DataFrame, edges: DataFrame) -> DataFrame:
     sets = saved(sets, "near-sets")
     a, b = (sets.select(F.col("id").alias(f"i{x}"), F.col("rid").alias(f"r{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
-    return edges.join(a, ["ia", "ra"]).join(b, ["ib", "rb"]).where(DENOMINATOR * both >= NUMERATOR * (F.size("sa") + F.size("sb") - both)).select("ia", "ra", "ib", "rb")
+    found = saved(edges.join(a, ["ia", "ra"]).join(b, ["ib", "rb"]).where(DENOMINATOR * both >= NUMERATOR * (F.size("sa") + F.size("sb") - both)).select("ia", "ra", "ib", "rb"), "near-verified")
+    discard(sets)
+    return found
 
 
 def _nodes(edges: DataFrame) -> DataFrame:
@@ -429,32 +464,34 @@ def _joined(edges: DataFrame) -> DataFrame:
 def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
     """doc_id, rid, component_id of every row."""
     last = F.lit((1 << 63) - 1)  # null ids come last; a real id of that value meets none of them here, as ids are compared with their texts
-    fps = saved(fingerprints(docs, id_column, text), "near-fingerprints")
-    classes = saved(fps.groupBy("key").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "rid", "fp", "n", "first")).alias("c")).select("c.*", "key"), "near-classes")
+    full = saved(fingerprints(docs, id_column, text), "near-fingerprints")
+    classes = saved(full.groupBy("key").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "rid", "fp", "n", "first", "parity")).alias("c")).select("c.*", "key"), "near-classes")
+    fps = saved(full.select("doc_id", "rid", "key"), "near-keys")
+    discard(full)  # its first shingles, a third of the input, are those of the classes
     found = saved(links(classes, recall), "near-links")
     texts = docs.select(F.coalesce(F.col(id_column).cast("long"), last).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("rid"), text_or_empty(text).alias("text"))
     sure, unsure = found.where(F.col("d") <= SURE), found.where(F.col("d") > SURE)
     # First the nearest link of each end.
     ranked = unsure.select(F.struct("d", "ia", "ra", "ib", "rb").alias("e"), F.explode(F.array(F.struct(F.col("ia").alias("i"), F.col("ra").alias("r")), F.struct(F.col("ib").alias("i"), F.col("rb").alias("r")))).alias("end"))
     nearest = checkpoint(ranked.groupBy("end").agg(F.min("e").alias("e")).select("e.ia", "e.ra", "e.ib", "e.rb").distinct())
-    one = checkpoint(_joined(_nodes(sure.select("ia", "ra", "ib", "rb").union(verified(texts, nearest)))))
+    one = checkpoint(_joined(_nodes(sure.select("ia", "ra", "ib", "rb").union(verified(texts, classes, nearest)))))
     # Then what is left between components.
     part = lambda x: one.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
     rest = _nodes(unsure.join(nearest, ["ia", "ra", "ib", "rb"], "left_anti")).join(part("a"), "a", "left").join(part("b"), "b", "left").where(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b")))
     rest = checkpoint(rest.select(F.col("a.id").alias("ia"), F.col("a.rid").alias("ra"), F.col("b.id").alias("ib"), F.col("b.rid").alias("rb")))
     if not rest.isEmpty():
-        more = checkpoint(_nodes(verified(texts, rest)))
+        more = checkpoint(_nodes(verified(texts, classes, rest)))
         if not more.isEmpty():
             one = _joined(one.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     # At last, exactly, pairs that the fingerprints left out.
     left = saved(missing(classes, one), "near-left")
     if not left.isEmpty():
-        more = checkpoint(_nodes(verified(texts, left)))
+        more = checkpoint(_nodes(verified(texts, classes, left)))
         if not more.isEmpty():
             one = _joined(one.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     named = one.select(F.col("id.id").alias("i"), F.col("id.rid").alias("r"), F.col("component.id").alias("component_id"))
     by_fp = classes.join(named, (classes["id"] == named["i"]) & (classes["rid"] == named["r"]), "left").select("key", F.nullif(F.coalesce("component_id", "id"), last).alias("component_id"))
-    return fps.select("doc_id", "rid", "key").join(by_fp, "key").select("doc_id", "rid", "component_id")
+    return fps.join(by_fp, "key").select("doc_id", "rid", "component_id")
 
 
 def keep_first(docs: DataFrame, recall: float = RECALL) -> DataFrame:

@@ -1,12 +1,13 @@
 """Near copies by wide fingerprints against brute force over all pairs."""
 
+import os
 import random
 
 import numpy as np
 import pytest
 from llm_cases import AWKWARD
 
-from lodestone.llm import near_copies
+from lodestone.llm import common, near_copies
 
 
 def shingles(text):
@@ -150,6 +151,49 @@ def test_first_shingles_meet(monkeypatch, small):
     assert len(want) > 30 and want <= got and all(component[i] != component[j] for i, j in got)
 
 
+def test_parities_leave_out_no_similar_pair():
+    """Parities differ in no more bits than sets do, whatever their sizes, and in too many for a similarity of 0.8 where sets are far apart."""
+    rng = np.random.default_rng(7)
+    near_pairs, far = 0, []
+    for n in [0, 1, 2, 5, 63, 64, 65, 130, 700, 5000] * 8:
+        x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for share in (0, 0.5, 0.9, 0.95, 1):
+            y = np.concatenate([x[: int(share * n)], rng.integers(0, 1 << 63, int(rng.integers(0, 3 + n * (1 - share)))).astype(np.uint64)])
+            p, q, s, t = near_copies.parity(x).tobytes(), near_copies.parity(y).tobytes(), set(x.tolist()), set(y.tolist())
+            assert near_copies.differing(p, q) == near_copies.differing(q, p) <= len(s ^ t)
+            least = max(near_copies.differing(p, q), abs(len(s) - len(t)))
+            if s and t and similarity(s, t) >= 0.8:
+                near_pairs += 1
+                assert 9 * least <= len(s) + len(t)
+            if n > 100 and similarity(s, t) < 0.6:
+                far.append(9 * least > len(s) + len(t))
+    assert near_pairs > 50 and len(far) > 30 and all(far)
+
+
+def test_sets_travel_for_likely_pairs_alone(spark, monkeypatch):
+    """Of texts that share a passage but are not similar no sets are made and joined, and what is no longer read is gone before the stage ends."""
+    rng = random.Random(13)
+    passage = [rng.choice(VOCABULARY) for _ in range(100)]
+    rows = [" ".join(passage + [rng.choice(VOCABULARY) for _ in range(100)]) for _ in range(150)]
+    rows += [rows[0] + " more", rows[7] + " again"]
+    sizes, paths = {}, []
+
+    def saved(df, what):
+        out = common.saved(df, what)
+        sizes.setdefault(what, []).append(out.count())
+        paths.append((what, out.inputFiles()[0].removeprefix("file://")))
+        return out
+
+    monkeypatch.setattr(near_copies, "saved", saved)
+    monkeypatch.setattr(near_copies, "frequent_shingles", lambda texts: np.zeros(0, np.uint64))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_copies.components(docs, recall=0.05).collect()}
+    assert {i: c for i, c in got.items() if i != c} == {150: 0, 151: 7}
+    assert sizes["near-left"][0] > 5000 and max(sizes["near-sets"]) <= 4
+    gone = {what for what, path in paths if not os.path.exists(path)}
+    assert gone == {"near-fingerprints", "near-sets"}
+
+
 def test_salts_change_nothing(spark, monkeypatch):
     rows = edited(random.Random(6), 3, VOCABULARY, 60)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
